@@ -4,8 +4,27 @@ from __future__ import annotations
 
 from .common import scratch, table
 from .exact_dedup import exact_groups
+from .packing import pack
 from .pii import scan_pii
 from .secrets import scan_secrets
+from .sst_output import read_shards, write_shards
+
+
+def word_tokenizer() -> str:
+    """The tokenizer file that the contracts of op2 and op3 name; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+def op3_token_shards(spark, sf_dir):
+    folder = scratch(spark, "shards")
+    write_shards(table(spark, sf_dir, "documents"), folder, word_tokenizer())
+    return read_shards(spark, folder)
 
 
 def op7_secret_scan(spark, sf_dir):
@@ -20,7 +39,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_secret_scan, op9_pii, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_token_shards, op7_secret_scan, op9_pii, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": """
