@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .chat import chat_digests, format_chats
 from .common import scratch, table
 from .exact_dedup import exact_groups
+from .jaccard import jaccard_components
 from .packing import pack
 from .pii import scan_pii
 from .secrets import scan_secrets
@@ -27,10 +29,20 @@ def op3_token_shards(spark, sf_dir):
     return read_shards(spark, folder)
 
 
+def op5_chat_format(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], turns.schema)
+    return chat_digests(format_chats(turns.unionByName(extra)))
+
+
 def op7_secret_scan(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents"), scratch(spark, "ledger"))
 
 
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark, sf_dir):
     return scan_pii(table(spark, sf_dir, "documents"))
 
@@ -39,9 +51,26 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_token_shards, op7_secret_scan, op9_pii, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_token_shards, op5_chat_format, op7_secret_scan, op8_jaccard_join, op9_pii, op10_exact_dedup)}
 
 ORACLES = {
+    # a text is rendered plain if it parses back to itself: no control string in any role or text, no line feed in a role
+    "op5_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ), e AS (
+            SELECT *, role || chr(0) || text LIKE '%[INST]%' OR role || chr(0) || text LIKE '%[/INST]%' OR role || chr(0) || text LIKE '%</s>%' OR contains(role, chr(10)) AS clash,
+                length(replace(replace(replace(replace(replace(role, '\', '\b'), '</s>', '\s'), '[INST]', '\i'), '[/INST]', '\j'), chr(10), '\n')) +
+                length(replace(replace(replace(replace(text, '\', '\b'), '</s>', '\s'), '[INST]', '\i'), '[/INST]', '\j')) AS escaped,
+                CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss
+            FROM t
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256,
+            CAST(2 + sum(12 + CASE WHEN any_clash THEN escaped ELSE length(role) + length(text) END) AS BIGINT) AS formatted_chars
+        FROM (SELECT *, bool_or(clash) OVER (PARTITION BY conv_id) AS any_clash FROM e) GROUP BY conv_id
+    """,
     "op10_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
