@@ -6,6 +6,7 @@ from .chat import chat_digests, format_chats
 from .common import scratch, table
 from .exact_dedup import exact_groups
 from .jaccard import jaccard_components
+from .langid import identify
 from .packing import pack
 from .pii import scan_pii
 from .secrets import scan_secrets
@@ -29,6 +30,10 @@ def op3_token_shards(spark, sf_dir):
     return read_shards(spark, folder)
 
 
+def op4_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], turns.schema)
@@ -51,7 +56,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_token_shards, op5_chat_format, op7_secret_scan, op8_jaccard_join, op9_pii, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_token_shards, op4_language_id, op5_chat_format, op7_secret_scan, op8_jaccard_join, op9_pii, op10_exact_dedup)}
 
 ORACLES = {
     # a text is rendered plain if it parses back to itself: no control string in any role or text, no line feed in a role
