@@ -12,6 +12,12 @@ from .pii import scan_pii
 from .secrets import scan_secrets
 from .sst_output import read_shards, write_shards
 
+from .suffix_dedup import dedup_substrings
+
+
+def op1_suffix_dedup(spark, sf_dir):
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("spans")
+
 
 def word_tokenizer() -> str:
     """The tokenizer file that the contracts of op2 and op3 name; the operators take any path."""
@@ -56,7 +62,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_token_shards, op4_language_id, op5_chat_format, op7_secret_scan, op8_jaccard_join, op9_pii, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_token_shards, op4_language_id, op5_chat_format, op7_secret_scan, op8_jaccard_join, op9_pii, op10_exact_dedup)}
 
 ORACLES = {
     # a text is rendered plain if it parses back to itself: no control string in any role or text, no line feed in a role
