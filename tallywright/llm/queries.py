@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import chat_digests, format_chats
 from .common import scratch, table
+from .decontam import contaminated
 from .exact_dedup import exact_groups
 from .jaccard import jaccard_components
 from .langid import identify
@@ -46,6 +47,10 @@ def op5_chat_format(spark, sf_dir):
     return chat_digests(format_chats(turns.unionByName(extra)))
 
 
+def op6_decontamination(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_secret_scan(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents"), scratch(spark, "ledger"))
 
@@ -62,7 +67,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_token_shards, op4_language_id, op5_chat_format, op7_secret_scan, op8_jaccard_join, op9_pii, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_token_shards, op4_language_id, op5_chat_format, op6_decontamination, op7_secret_scan, op8_jaccard_join, op9_pii, op10_exact_dedup)}
 
 ORACLES = {
     # a text is rendered plain if it parses back to itself: no control string in any role or text, no line feed in a role
