@@ -3,8 +3,9 @@
 Shingle hashes fall into groups by range. The number of hashes in each of POINT groups is a document's point; the sum
 over coordinates of the smaller count bounds the overlap of two sets from above, for points and for the upper corners of
 nodes that hold many points. A distributed tree leads to the points: its first level is the class of the set's size, its
-second the content of one group. Sizes within a class need more groups than two linked sets can differ in, so two linked
-sets agree on one group at least and meet below one second-level node; nothing is lost. Below that, pages of points are
+second the content of one group. A class has more groups than two linked sets can differ in, so two linked sets agree
+on one group at least, and on one that isn't empty unless they have many empty ones, which then count as well; they meet
+below one second-level node, and nothing is lost. Below that, pages of points are
 packed by size into nodes, and node pairs, then point pairs, whose bound is too low are left. Surviving pairs are
 verified on the sets themselves.
 
@@ -47,9 +48,15 @@ def size_classes(most: int = 1 << 40) -> list[int]:
 CLASSES = size_classes()
 
 
-def groups_needed(largest: int, num: int, den: int) -> int:
-    """One more than two linked sets of at most this size can differ in: J >= num/den means |x ^ y| <= (den-num)/(den+num) (|x|+|y|)."""
-    return 2 * largest * (den - num) // (den + num) + 1
+def groups_needed(largest: int, num: int, den: int) -> tuple[int, int]:
+    """Groups, and how many of them a set may leave empty, for sets of at most this size.
+
+    J >= num/den means |x ^ y| <= (den-num)/(den+num) (|x|+|y|), so two linked sets differ in so many groups at most. There
+    are `spare` + 1 more: a set with at most `spare` empty groups shares one with content.
+    """
+    differ = 2 * largest * (den - num) // (den + num)
+    spare = differ // 10 + 2
+    return differ + 1 + spare, spare
 
 
 def group_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -67,13 +74,16 @@ def keys_of(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
     n = len(hashes)
     salted, out = mix(hashes), []
     for c in range(bisect_left(CLASSES, n), bisect_left(CLASSES, n * den // num) + 1):
-        k = groups_needed(CLASSES[c], num, den)
+        k, spare = groups_needed(CLASSES[c], num, den)
         starts = np.searchsorted(group_of(hashes, k), np.arange(k + 1, dtype=np.uint64))
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(salted, out=total[1:])
         content = total[starts[1:]] - total[starts[:-1]]
         place = np.arange(k, dtype=np.uint64) + np.uint64(c << 44)
-        out.append(mix(mix(content + np.diff(starts).astype(np.uint64)) + mix(place)))
+        filled = np.diff(starts) > 0
+        if k - filled.sum() > spare:  # sets like this may agree on empty groups only, so these count as well
+            filled[:] = True
+        out.append(mix(mix(content + np.diff(starts).astype(np.uint64)) + mix(place))[filled])
     return np.concatenate(out)
 
 
@@ -242,3 +252,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 9, den: int =
     out = points.select("doc_id", "n_shingles", "digest").join(classes, ["digest", "n_shingles"], "left")
     real = lambda c: F.nullif(c, F.lit(NO_ID))
     return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of docs, all columns, with the smallest id of their component; rows with a null id stay."""
+    others = jaccard_components(docs, size, num, den).filter("doc_id <> component_id or component_id is null and doc_id is not null")
+    return docs.join(others.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
