@@ -88,3 +88,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ((F.col("doc_id") == keep) & (turn == 1)).alias("kept"),
         "text_sha256",
     )
+
+
+def exact_distinct(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that stay: one of each text, that with the largest id."""
+    names = docs.columns
+    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    kept = exact_groups(docs).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("kept_id"), F.col("text_sha256").alias("kept_sha256"))
+    rows = docs.withColumns({"kept_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "kept_sha256": F.sha2(lower, 256)})
+    return rows.join(kept, ["kept_id", "kept_sha256"], "left_semi").dropDuplicates(["kept_id", "kept_sha256"]).select(*names)
