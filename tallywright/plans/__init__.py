@@ -1 +1,6 @@
+"""Queries by name, and their DuckDB twins."""
 
+from . import records, streams  # noqa: F401  register their queries
+from .catalogue import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
