@@ -31,6 +31,17 @@ def test_passages_repeats_and_edges(docs):
     assert found(dedup_substrings(docs(rows))) == brute(rows)
 
 
+def test_large_groups_go_window_by_window(docs, monkeypatch):
+    from tallywright.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "GROUP", 3)
+    r = random.Random(9)
+    line = lambda n: "".join(r.choice("abc d") for _ in range(n))
+    shared = [line(n) for n in (120, 160)]
+    rows = [(i, line(r.randint(0, 90)) + r.choice(shared) + line(r.randint(0, 90))) for i in range(40)]
+    assert found(dedup_substrings(docs(rows))) == brute(rows)
+
+
 def test_real_documents(spark, small):
     from tallywright.llm.queries import op1_suffix_dedup
 
