@@ -41,23 +41,29 @@ def rack_samples(records: DataFrame, k: int, seed: int) -> DataFrame:
     return keys.orderBy("draw", "rack").limit(k).select("rack")
 
 
+#: Places that one range of a level spans, and levels; the last level has one range for all that is left.
+SPAN, LEVELS = 1024, 4
+
+
 def next_key(keys: DataFrame, probes: DataFrame) -> DataFrame:
     """Forward as-of join: the first key at or after each probe, else the first key of all.
 
-    Probes, a small table, meet the keys in ranges: each range's least key is enough once a probe has left its own range,
-    so the window runs over one range at a time.
+    Probes and keys meet in ranges of the key. A probe with no key behind it in its range goes on to the next level, where
+    each range stands for one place, held by its least key; so no window spans more than SPAN places' keys.
     """
-    width = 1024
-    both = keys.select(F.col("rack").alias("at"), F.lit(1).alias("kind")).distinct().unionByName(probes.select(F.col("probe").alias("at"), F.lit(0).alias("kind"))).withColumn("range", F.floor(F.col("at") / width))
-    ahead = W.partitionBy("range").orderBy("at", "kind").rowsBetween(W.currentRow, W.unboundedFollowing)
-    inside = both.withColumn("next", F.min(F.when(F.col("kind") == 1, F.col("at"))).over(ahead)).filter("kind = 0")
-    # least key of every range, and of all ranges behind it
-    firsts = keys.groupBy(F.floor(F.col("rack") / width).alias("range")).agg(F.min("rack").alias("least"))
-    missing = inside.filter("next is null").select("at", "range")
-    later = missing.join(F.broadcast(firsts.withColumnRenamed("range", "r")), F.col("r") > F.col("range"), "left").groupBy("at").agg(F.min("least").alias("later"))
-    first = keys.agg(F.min("rack").alias("first"))
-    rows = inside.join(later, "at", "left").join(F.broadcast(first))
-    return rows.select(F.col("at").alias("probe"), F.coalesce("next", "later", "first").alias("rack"))
+    held = keys.select(F.col("rack").alias("at"), F.col("rack").alias("key")).distinct()
+    asked, found = probes.select(F.col("probe").alias("at"), "probe"), None
+    for level in range(LEVELS):
+        place = F.floor(F.col("at") / SPAN) if level < LEVELS - 1 else F.lit(0).cast("long")
+        both = held.select("at", "key", F.lit(None).cast("long").alias("probe")).unionByName(asked.select("at", F.lit(None).cast("long").alias("key"), "probe")).withColumn("range", place)
+        ahead = W.partitionBy("range").orderBy("at").rangeBetween(W.currentRow, W.unboundedFollowing)
+        answered = both.withColumn("rack", F.min("key").over(ahead)).filter("probe is not null")
+        hits = answered.filter("rack is not null").select("probe", "rack")
+        found = hits if found is None else found.unionByName(hits)
+        asked = answered.filter("rack is null").select((F.col("range") + 1).alias("at"), "probe")
+        held = held.groupBy(place.alias("at")).agg(F.min("key").alias("key"))
+    wrapped = asked.select("probe").join(F.broadcast(keys.agg(F.min("rack").alias("rack"))))
+    return found.unionByName(wrapped)
 
 
 def partners(positions: DataFrame) -> DataFrame:

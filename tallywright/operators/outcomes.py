@@ -46,10 +46,18 @@ def match_test(results: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def monitor_matches(results: DataFrame, jobs: DataFrame) -> DataFrame:
-    """The first verdict of each match job in submission order; later results don't move it."""
+    """The first verdict of each match job in submission order; later results don't move it.
+
+    Running sums are taken per day, on top of the sums of all days before it, so that no task has to hold a whole job.
+    """
     matches = jobs.filter(F.col("job_type").isin("games", "game_pairs"))
-    so_far = W.partitionBy("job_id").orderBy("submitted_at", "result_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    running = results.join(F.broadcast(matches), "job_id").withColumns({c: F.sum(c).over(so_far) for c in ("wins", "losses", "ties", *PENT)})
+    counts = ("wins", "losses", "ties", *PENT)
+    rows = results.join(F.broadcast(matches), "job_id").withColumn("day", F.to_date("submitted_at"))
+    days = rows.groupBy("job_id", "day").agg(*(F.sum(c).alias(c) for c in counts))
+    earlier = W.partitionBy("job_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    before = days.select("job_id", "day", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in counts))
+    so_far = W.partitionBy("job_id", "day").orderBy("submitted_at", "result_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = rows.join(before, ["job_id", "day"]).withColumns({c: F.sum(c).over(so_far) + F.col(f"{c}_before") for c in counts})
     decided = with_test(running).filter("status <> 'running'")
     first = F.min_by(F.struct("result_id", "units", "status"), F.struct("submitted_at", "result_id")).alias("first")
     return decided.groupBy("job_id").agg(first).select("job_id", "first.*")

@@ -33,33 +33,41 @@ def finite(x: Column) -> Column:
     return ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
-#: Tallies: what they sum to, their signs and the range of means.
-AGGREGATE = {
-    "tally_sum": c("wins") + c("losses") + c("ties") != c("games"),
-    "tally_negative": F.least("games", "wins", "losses", "ties") < 0,
-    "mean_range": ~finite(c("p1_score_mean")) | ~finite(c("p2_score_mean")) | ~c("p1_score_mean").between(MEAN_LOW, MEAN_HIGH) | ~c("p2_score_mean").between(MEAN_LOW, MEAN_HIGH),
-}
-_pairs = sum((c(x) for x in PENT[1:]), c(PENT[0]))
-#: Pairs: their number, the range of the five counts, half-points, and draws that fit the counts.
-PENTANOMIAL = {
-    "pent_games": _pairs * 2 != c("games"),
-    "pent_range": (F.least(*PENT) < 0) | (F.greatest(*PENT) > c("games")),
-    "pent_half_points": sum((c(x) * i for i, x in enumerate(PENT)), F.lit(0)) != 2 * c("wins") + c("ties"),
-    # a pair of 1 or 3 half-points holds one draw; one of 2 holds none or two
-    "pent_draws": (c("ties") < c("pent_1") + c("pent_3")) | ((c("ties") - c("pent_1") - c("pent_3")) % 2 != 0) | (c("ties") > c("pent_1") + c("pent_3") + 2 * c("pent_2")),
-}
-_same = c("games") - c("divergent_games")
-#: Divergent games as a part of all: no count exceeds, and what is left is even.
-DIVERGENT = {
-    "divergent_exceeds": (c("divergent_games") > c("games")) | (c("divergent_wins") > c("wins")) | (c("divergent_losses") > c("losses")) | (c("divergent_ties") > c("ties")),
-    "divergent_rest": (c("wins") - c("divergent_wins") != c("losses") - c("divergent_losses")) | ((c("ties") - c("divergent_ties")) % 2 != 0),
-    "divergent_unsplit": c("pent_2") - _same / 2 > c("divergent_games") / 2,
-}
+def aggregate_rules() -> dict[str, Column]:
+    """Tallies: what they sum to, their signs and the range of means."""
+    return {
+        "tally_sum": c("wins") + c("losses") + c("ties") != c("games"),
+        "tally_negative": F.least("games", "wins", "losses", "ties") < 0,
+        "mean_range": ~finite(c("p1_score_mean")) | ~finite(c("p2_score_mean")) | ~c("p1_score_mean").between(MEAN_LOW, MEAN_HIGH) | ~c("p2_score_mean").between(MEAN_LOW, MEAN_HIGH),
+    }
+
+
+def pentanomial_rules() -> dict[str, Column]:
+    """Pairs: their number, the range of the five counts, half-points, and draws that fit the counts."""
+    pairs = sum((c(x) for x in PENT[1:]), c(PENT[0]))
+    odd = c("pent_1") + c("pent_3")
+    return {
+        "pent_games": pairs * 2 != c("games"),
+        "pent_range": (F.least(*PENT) < 0) | (F.greatest(*PENT) > c("games")),
+        "pent_half_points": sum((c(x) * i for i, x in enumerate(PENT)), F.lit(0)) != 2 * c("wins") + c("ties"),
+        # a pair of 1 or 3 half-points holds one draw; one of 2 holds none or two
+        "pent_draws": (c("ties") < odd) | ((c("ties") - odd) % 2 != 0) | (c("ties") > odd + 2 * c("pent_2")),
+    }
+
+
+def divergent_rules() -> dict[str, Column]:
+    """Divergent games as a part of all: no count exceeds, and what is left is even."""
+    same = c("games") - c("divergent_games")
+    return {
+        "divergent_exceeds": (c("divergent_games") > c("games")) | (c("divergent_wins") > c("wins")) | (c("divergent_losses") > c("losses")) | (c("divergent_ties") > c("ties")),
+        "divergent_rest": (c("wins") - c("divergent_wins") != c("losses") - c("divergent_losses")) | ((c("ties") - c("divergent_ties")) % 2 != 0),
+        "divergent_unsplit": c("pent_2") - same / 2 > c("divergent_games") / 2,
+    }
 
 
 def validate_results(results: DataFrame) -> DataFrame:
     """All violations of a results table."""
-    return violations(results, "result_id", AGGREGATE | PENTANOMIAL | DIVERGENT)
+    return violations(results, "result_id", aggregate_rules() | pentanomial_rules() | divergent_rules())
 
 
 def validate_positions(positions: DataFrame, games: int) -> DataFrame:
