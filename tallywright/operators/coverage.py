@@ -133,3 +133,11 @@ def unrank(indices: DataFrame, letters: list[str], bag: list[int], size: int) ->
 def scattered(total: int):
     """Index times 2^61 - 1 modulo the total, in exact decimals."""
     return ((F.col("index").cast("decimal(18,0)") * F.lit((1 << 61) - 1).cast("decimal(19,0)")) % F.lit(total).cast("decimal(18,0)")).cast("long")
+
+
+def select_coverage(progress: DataFrame, generation: int, target: int, cursor, busy: DataFrame, k: int, switch: int = 100) -> DataFrame:
+    """The next k keys: in key order behind the cursor, and once no more than `switch` batches are left, lowest counts first."""
+    left = progress.filter((F.col("generation") == generation) & (F.col("n") < target)).limit(switch * k + 1).count()
+    if left > switch * k:
+        return select_sweep(progress, generation, target, cursor, k).select("rack", "n")
+    return select_tail(progress, generation, target, busy, k)

@@ -110,3 +110,8 @@ def export_finality(jobs: DataFrame, claims: DataFrame, staged: DataFrame) -> Da
 def truncated(moves: Column, plies: str, n: int, m: int) -> Column:
     """The first n moves, each with its plies below m only."""
     return F.transform(F.slice(moves, 1, n), lambda x: x.withField(plies, F.filter(x[plies], lambda p: p["ply"] < m)))
+
+
+def random_record(records: DataFrame, seed: int) -> DataFrame:
+    """One record by a seeded hash of its key."""
+    return records.withColumn("draw", F.xxhash64(F.lit(seed), "record_id")).orderBy("draw", "record_id").limit(1).drop("draw")

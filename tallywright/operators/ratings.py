@@ -201,3 +201,23 @@ def unplayed(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
     """Pairings without evidence in either seating."""
     played = evidence.select("pool", F.col("a").alias("x"), F.col("b").alias("y"))
     return pairs.withColumns({"x": F.least("p1", "p2"), "y": F.greatest("p1", "p2")}).join(F.broadcast(played), ["pool", "x", "y"], "left_anti").drop("x", "y")
+
+
+def standings(rated: DataFrame) -> DataFrame:
+    """Members in the order of a cross table: connected ones first, then by rating."""
+    return rated.orderBy(F.desc("connected"), F.desc("rating"), "config")
+
+
+def rating_bounds(rated: DataFrame, times: float = 1.96, most: float = 400.0) -> DataFrame:
+    """Visible errors of at most so many points, and each pool's range of them with a margin of 8 % or 10 points."""
+    error = F.least(F.col("stderr") * times, F.lit(most))
+    rows = rated.withColumns({"low": F.col("rating") - error, "high": F.col("rating") + error})
+    pool = W.partitionBy("pool")
+    margin = F.greatest(F.lit(10.0), 0.08 * (F.max("high").over(pool) - F.min("low").over(pool)))
+    return rows.select("pool", "config", "low", "high", (F.min("low").over(pool) - margin).alias("axis_low"), (F.max("high").over(pool) + margin).alias("axis_high"))
+
+
+def top_members(rated: DataFrame, k: int = 6) -> DataFrame:
+    """The k best connected members of each pool."""
+    place = F.row_number().over(W.partitionBy("pool").orderBy(F.desc("rating"), "config"))
+    return rated.filter("connected").withColumn("place", place).filter(F.col("place") <= k)

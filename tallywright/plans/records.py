@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boards, feeds, inputs, jobs, ops, quality
+from ..functions.scoring import PENT
+from ..operators import boards, coverage, feeds, inputs, jobs, ops, quality, ratings
+from ..sources import messages
 from ..sources.standins import sql
+from ..streaming.streams import scratch
 from .catalogue import AS_OF_SQL, CLAIMS, DONE, MARGIN, MERGED, MOST, MOVES, Tables, _standings, as_of, query, rounded
 
 # ---- jobs
@@ -445,3 +448,61 @@ def move_squares(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 15 + 1).cast("string").alias("r"), F.char(65 + F.col("o_custkey") % 15).alias("c"))
     moves = o.select(F.when(F.col("k") % 2 == 0, F.concat("r", "c", F.lit(".WORD"))).otherwise(F.concat("c", "r", F.lit(".WORD"))).alias("move"))
     return boards.explode_moves(moves).groupBy("kind", "direction", "row", "col").agg(F.count("*").alias("n"))
+
+
+# ---- sinks and messages
+
+
+@query(f"SELECT count(*) AS records, CAST(sum(n) AS BIGINT) AS moves FROM (SELECT record_id, count(*) AS n FROM {MOVES} GROUP BY ALL)")
+def export_lines(spark, sf_dir):
+    """Nested records through the compressed NDJSON sink, and read again."""
+    t, path = Tables(spark, sf_dir), scratch(spark, "export")
+    manifest = feeds.export_ndjson(feeds.nested_records(t.analyses.drop("top_move"), t.moves, t.standings), path)
+    again = spark.read.schema("record_id long, moves array<struct<rank:long>>").json(path)
+    return manifest.agg(F.sum("rows").alias("records")).join(again.agg(F.sum(F.size("moves")).alias("moves")))
+
+
+@query(f"SELECT CAST(rack AS VARCHAR) AS rack, CAST(n AS VARCHAR) AS n, CAST(equity_cents // 100 AS VARCHAR) || '.' || lpad(CAST(equity_cents % 100 AS VARCHAR), 2, '0') || '00000000' AS equity_sum FROM {MERGED} WHERE generation = 2")
+def generation_csv(spark, sf_dir):
+    """A generation through the CSV sink, and read again."""
+    path = scratch(spark, "generation")
+    coverage.write_generation(coverage.generation_table(Tables(spark, sf_dir).merged, 2), path)
+    return spark.read.schema("rack string, n string, equity_sum string").csv(path)
+
+
+@query(f"SELECT rack, n FROM {MERGED} WHERE generation = 1 AND n < 5000 AND rack > 10 ORDER BY rack LIMIT 1")
+def select_coverage(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return coverage.select_coverage(t.merged, 1, 5000, 10, t.claims.filter("state = 'claimed'").select(F.col("worker").alias("rack")), 1)
+
+
+@query(f"SELECT job_id, count(*) AS messages, CAST(sum(games) AS BIGINT) AS games, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in PENT)}, count(*) FILTER (wins + losses + ties <> games) AS broken FROM {sql('results_faulty')} GROUP BY job_id")
+def result_messages(spark, sf_dir):
+    """Faulty results as JSON messages, parsed, flattened and validated."""
+    rows = Tables(spark, sf_dir).results_faulty
+    games = F.struct(*(F.col(c).cast("int").alias(c) for c in ("games", "wins", "losses", "ties")), "p1_score_mean", "p2_score_mean")
+    text = F.to_json(F.struct(F.concat_ws(":", "job_id", "result_id").alias("claim_token"), F.struct(games.alias("all_games"), F.array(*(F.col(c).cast("long") for c in PENT)).alias("pentanomial")).alias("result")))
+    flat = messages.tallies(rows.select(messages.parsed(text, "games").alias("m")).select("m.*"))
+    job = F.element_at(F.split("claim_token", ":"), 1).cast("long")
+    broken = F.count_if(F.col("wins") + F.col("losses") + F.col("ties") != F.col("games"))
+    return flat.groupBy(job.alias("job_id")).agg(F.count("*").alias("messages"), F.sum("games").alias("games"), *(F.sum(c).alias(c) for c in PENT), broken.alias("broken"))
+
+
+@query()
+def random_record(spark, sf_dir):
+    return feeds.random_record(Tables(spark, sf_dir).analyses, 42)
+
+
+@query(
+    f"""SELECT pool, config, low, high, round(min(low) OVER p - greatest(10, 0.08 * (max(high) OVER p - min(low) OVER p)), 6) AS axis_low, round(max(high) OVER p + greatest(10, 0.08 * (max(high) OVER p - min(low) OVER p)), 6) AS axis_high FROM
+    (SELECT pool, run_id AS config, round(rating - least(1.96 * (run_id % 300), 400), 6) AS low, round(rating + least(1.96 * (run_id % 300), 400), 6) AS high FROM {sql("runs")}) WINDOW p AS (PARTITION BY pool)"""
+)
+def rating_bounds(spark, sf_dir):
+    runs = Tables(spark, sf_dir).runs.select("pool", F.col("run_id").alias("config"), "rating", (F.col("run_id") % 300).cast("double").alias("stderr"))
+    return rounded(ratings.rating_bounds(runs), "low", "high", "axis_low", "axis_high")
+
+
+@query(f"SELECT pool, run_id AS config, rating, row_number() OVER (PARTITION BY pool ORDER BY rating DESC, run_id) AS place FROM {sql('runs')} WHERE run_id % 3 <> 0 QUALIFY place <= 6")
+def top_members(spark, sf_dir):
+    rated = Tables(spark, sf_dir).runs.select("pool", F.col("run_id").alias("config"), "rating", (F.col("run_id") % 3 != 0).alias("connected"))
+    return ratings.top_members(rated).select("pool", "config", "rating", F.col("place").cast("long").alias("place"))
