@@ -47,3 +47,29 @@ def pieces(batch: pa.RecordBatch, text_field: int = 1, chars: int = PIECE_CHARS)
             part = batch.slice(at, i + 1 - at)
             yield part, [x or "" for x in part.column(text_field).to_pylist()]
             at, total = i + 1, 0
+
+
+def compressed(batches):
+    """(doc_id, text) as (doc_id, packed): texts as compressed bytes, for shuffles."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
+    for batch in batches:
+        for part, chunk in pieces(batch):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack(t.encode()) for t in chunk], pa.binary())], names=["doc_id", "packed"])
+
+
+def unpacked(batch: pa.RecordBatch):
+    """Slices of a batch with compressed texts in its second column, and the texts' bytes."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for part, chunk in pieces(batch, chars=PIECE_CHARS // 3):
+        yield part, [unpack(x) for x in chunk]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -8,11 +8,12 @@ by level, and each level passes on only what the level above left open, with the
 2   Runs: neighbouring windows with one anchor, as one tuple of the anchor's gram and the run's bytes. All windows of
     equal runs are equal; the run's first document keeps them, later ones lose them. Grams whose runs differ go on,
     with the first document of each run.
-3   Windows of those runs, each named by its gram and its own bytes, again with its first document.
+3   Windows of those runs, each named by its gram and its own bytes, again with its first document. Up to GROUP runs of
+    one gram travel as bytes and are compared where they meet; the windows of more are sorted and grouped one by one.
 
 Each level is a sort and grouping of tuples that Spark spills to disk; no shard has to fit into memory, and no key's
-tuples are gathered, only their minimum is. Repeats within a document are found where its text is. Names are two 64-bit
-hashes each (gram and bytes).
+tuples are gathered beyond GROUP, only their minimum is. Repeats within a document are found where its text is. Names
+are two 64-bit hashes each (gram and bytes). Texts travel compressed.
 
 Edge cases: a null text is empty; texts below WINDOW bytes lose nothing; a null id counts as the smallest id; rows that
 repeat an id lose nothing to each other; other columns are left out; an empty table gives an empty result.
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, scratch, written
+from .common import compressed, pieces, scratch, unpacked, written
 from .words import BASE, BASE_INVERSE, _bytes, mix, powers
 
-WINDOW, GRAM = 100, 32
+WINDOW, GRAM, GROUP = 100, 24, 1024
 #: Window starts whose minima are taken together; with GRAM they stay below 2^20 places.
 BLOCK = 1 << 17
 NO_ID = -(1 << 63)
@@ -40,8 +41,8 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 class Texts:
     """Bytes of some texts in a row, a byte between two of them, with hashes of any of their strings."""
 
-    def __init__(self, texts: list[str]):
-        self.raw = [t.encode() for t in texts]
+    def __init__(self, texts: list[str] | list[bytes]):
+        self.raw = [t.encode() if isinstance(t, str) else t for t in texts]
         self.bounds = np.cumsum([0] + [len(x) + 1 for x in self.raw])
         self.data = np.frombuffer(b"\0".join([*self.raw, b""]), np.uint8)
         self.total = np.zeros(len(self.data) + 1, np.uint64)
@@ -162,6 +163,15 @@ def removal(texts: Texts, later_runs: list, later_windows: list) -> tuple[np.nda
     return change[::2], change[1::2]
 
 
+def windows_of_contexts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents and grams of a batch of contexts; the context and the name of each window in them."""
+    held = Texts(batch.column("context").to_pylist())
+    sizes = np.diff(held.bounds) - WINDOW
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    start = np.repeat(held.bounds[:-1] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    return batch.column("doc_id").to_numpy(), batch.column("gram").to_numpy(), of, held.hashes(start, start + WINDOW).view(np.int64)
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: bytes, removed bytes and spans, SHA-256 of what is left, and the spans themselves."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession, "suffixes")
@@ -175,21 +185,50 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 ids = part.column(0).to_numpy()[runs["text"][kept].astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(runs["gram"][kept]), pa.array(runs["run"][kept])], names=["doc_id", "gram", "run"])
 
-    def to_windows(batches):
+    def to_contexts(batches):
         for batch in batches:
-            for part, chunk in pieces(batch):
+            for part, chunk in unpacked(batch):
                 held = Texts(chunk)
                 runs = held.runs()
-                picked = member(runs["text"], runs["run"], part.column(2).to_pylist()) & ~repeated(runs["text"], runs["run"])
-                of, _, name = held.windows(runs, picked)
-                kept = ~repeated(runs["text"][of], name)
-                of, name = of[kept], name[kept]
-                ids = part.column(0).to_numpy()[runs["text"][of].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(runs["gram"][of]), pa.array(name)], names=["doc_id", "gram", "window"])
+                small, big = (member(runs["text"], runs["run"], part.column(i).to_pylist()) for i in (2, 3))
+                picked = np.flatnonzero((small | big) & ~repeated(runs["text"], runs["run"]))
+                raw = held.data.tobytes()
+                bytes_of = [raw[s : e + WINDOW] for s, e in zip(runs["first"][picked].tolist(), runs["last"][picked].tolist())]
+                ids = part.column(0).to_numpy()[runs["text"][picked].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(runs["gram"][picked]), pa.array(big[picked]), pa.array(bytes_of, pa.binary())], names=["doc_id", "gram", "big", "context"])
+
+    def to_windows(batches):
+        for batch in batches:
+            if batch.num_rows:
+                ids, gram, of, name = windows_of_contexts(batch)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(gram[of]), pa.array(name)], names=["doc_id", "gram", "window"])
+
+    def to_lost(batches):
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*rest, batch]).combine_chunks()
+            gram = table.column("gram").to_numpy()
+            change = np.flatnonzero(gram != gram[-1])
+            cut = int(change[-1]) + 1 if len(change) else 0
+            yield from lost_in(table.slice(0, cut))
+            rest = table.slice(cut).to_batches()
+        if rest:
+            yield from lost_in(pa.Table.from_batches(rest))
+
+    def lost_in(table):
+        for batch in table.combine_chunks().to_batches(max_chunksize=None):
+            ids, gram, of, name = windows_of_contexts(batch)
+            order = np.lexsort((ids[of], name, gram[of]))
+            g, w, d = gram[of][order], name[order], ids[of][order]
+            new = np.concatenate([[True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])])
+            first = d[new][np.cumsum(new) - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(d[d > first]), pa.array(w[d > first])], names=["doc_id", "window"])
 
     def to_result(batches):
         for batch in batches:
-            for part, chunk in pieces(batch):
+            for part, chunk in unpacked(batch):
                 held = Texts(chunk)
                 starts, ends = removal(held, part.column(2).to_pylist(), part.column(3).to_pylist())
                 rows, at = [], np.searchsorted(starts, held.bounds)
@@ -206,23 +245,26 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), span)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    # level 1 and 2: grams that two documents share, and whether all their runs are alike
+    # level 1: grams that two documents share
     runs = texts.mapInArrow(to_runs, "doc_id long, gram long, run long")
-    grams = runs.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("run").alias("r0"), F.max("run").alias("r1"))
-    met = runs.join(grams.filter("lo < hi").select("gram", "lo", (F.col("r0") == F.col("r1")).alias("alike")), "gram")
-    met = written(met, f"{folder}/met")
-    unlike = met.filter("not alike")
-    firsts = unlike.groupBy("gram", "run").agg(F.min("doc_id").alias("first"))
-    later = unlike.join(firsts, ["gram", "run"]).filter("doc_id > first").select("doc_id", "run")
-    later = later.unionByName(met.filter("alike and doc_id > lo").select("doc_id", "run"))
-    # level 3: windows of runs that share a gram with another run
-    by_doc = firsts.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("run").alias("open"))
-    windows = texts.join(by_doc, "doc_id").select("doc_id", "text", "open").mapInArrow(to_windows, "doc_id long, gram long, window long")
-    windows = written(windows, f"{folder}/windows")
+    grams = runs.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("gram")
+    met = written(runs.join(grams, "gram").select("doc_id", "gram", "run"), f"{folder}/met")
+    # level 2: the first document of each run, and grams with several runs
+    firsts = written(met.groupBy("gram", "run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), f"{folder}/firsts")
+    later = met.join(firsts.filter("first < last"), ["gram", "run"]).filter("doc_id > first").select("doc_id", "run")
+    several = firsts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
+    # level 3: windows of those
+    big = F.col("n") > GROUP
+    by_doc = firsts.join(several, "gram").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.when(~big, F.col("run"))).alias("small"), F.collect_list(F.when(big, F.col("run"))).alias("big"))
+    packed = texts.mapInArrow(compressed, "doc_id long, packed binary")
+    contexts = packed.join(by_doc, "doc_id").select("doc_id", "packed", "small", "big").mapInArrow(to_contexts, "doc_id long, gram long, big boolean, context binary")
+    contexts = written(contexts, f"{folder}/contexts")
+    lost = contexts.filter("not big").repartition("gram").sortWithinPartitions("gram").mapInArrow(to_lost, "doc_id long, window long")
+    windows = contexts.filter("big").mapInArrow(to_windows, "doc_id long, gram long, window long").distinct()
     shared = windows.groupBy("gram", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
-    lost = windows.join(shared, ["gram", "window"]).filter("doc_id > lo").select("doc_id", "window")
+    lost = lost.unionByName(windows.join(shared, ["gram", "window"]).filter("doc_id > lo").select("doc_id", "window"))
     runs_of = later.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-    windows_of = lost.groupBy("doc_id").agg(F.collect_list("window").alias("windows"))
-    named = texts.join(runs_of, "doc_id", "left").join(windows_of, "doc_id", "left").select("doc_id", "text", "runs", "windows")
+    windows_of = lost.groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
+    named = packed.join(runs_of, "doc_id", "left").join(windows_of, "doc_id", "left").select("doc_id", "packed", "runs", "windows")
     out = named.mapInArrow(to_result, RESULT)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

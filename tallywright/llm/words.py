@@ -43,9 +43,9 @@ def spans_hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((total[ends] - total[starts]) * back[starts])
 
 
-def words_hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def words_hashed(texts: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in a row, and how many words each text has."""
-    raw = [t.encode().lower() for t in texts]
+    raw = [(t.encode() if isinstance(t, str) else t).lower() for t in texts]
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     inside = ~_blank[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside])))
