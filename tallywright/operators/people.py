@@ -47,7 +47,7 @@ def contributions_by_type(claims: DataFrame, jobs: DataFrame, types: list[str])
     done = claims.filter("state = 'completed'")
     per_job = done.groupBy("job_id", "worker", "is_anon").agg(F.count("*").alias("tasks"), F.sum("held_ms").alias("compute_ms"))
     per_type = per_job.join(F.broadcast(jobs.select("job_id", "job_type")), "job_id").groupBy("job_type").agg(F.sum("tasks").alias("tasks"), F.sum("compute_ms").alias("compute_ms"), F.count_distinct("worker", "is_anon").alias("contributors"))
-    known = claims.sparkSession.createDataFrame([(t,) for t in types], "job_type string")
+    known = claims.sparkSession.range(1).select(F.explode(F.lit(types)).alias("job_type"))
     return known.join(per_type, "job_type", "left").fillna(0, ["tasks", "compute_ms", "contributors"])
 
 

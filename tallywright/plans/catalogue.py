@@ -49,11 +49,12 @@ class Tables:
 
     @property
     def pools(self) -> DataFrame:
-        return self.spark.createDataFrame([(0, 0, 0, 2000.0), (1, 1, 2, 2000.0)], "pool long, variant long, anchor long, anchor_rating double")
+        return self.spark.sql("SELECT * FROM VALUES (0L, 0L, 0L, 2000.0D), (1L, 1L, 2L, 2000.0D) AS t(pool, variant, anchor, anchor_rating)")
 
     @property
     def members(self) -> DataFrame:
-        return self.spark.createDataFrame([(0, i, i) for i in range(6)] + [(1, i, 8 - i) for i in range(2, 9)], "pool long, config long, seat int")
+        rows = [(0, i, i) for i in range(6)] + [(1, i, 8 - i) for i in range(2, 9)]
+        return self.spark.sql(f"SELECT * FROM VALUES {', '.join(f'({p}L, {c}L, {s})' for p, c, s in rows)} AS t(pool, config, seat)")
 
     @property
     def ratings(self) -> DataFrame:
