@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pieces, scratch, written
+from .common import pieces, removed, scratch, written
 
 #: Bytes of the first digit, and how much longer each next one is.
 FIRST, GROWTH, LEVELS = 48, 4, 16
@@ -74,6 +74,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ended.append(state.filter(F.col("n_bytes") <= STARTS[level]))
         if state.filter(F.col("n_bytes") > STARTS[level]).isEmpty():
             break
+    removed(spark, f"{folder}/digits")
     groups = ended[0]
     for x in ended[1:]:
         groups = groups.unionByName(x)
@@ -94,6 +95,6 @@ def exact_distinct(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that stay: one of each text, that with the largest id."""
     names = docs.columns
     lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    kept = exact_groups(docs).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("kept_id"), F.col("text_sha256").alias("kept_sha256"))
-    rows = docs.withColumns({"kept_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "kept_sha256": F.sha2(lower, 256)})
-    return rows.join(kept, ["kept_id", "kept_sha256"], "left_semi").dropDuplicates(["kept_id", "kept_sha256"]).select(*names)
+    kept = exact_groups(docs).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_kept_id_"), F.col("text_sha256").alias("_kept_sha256_"))
+    rows = docs.withColumns({"_kept_id_": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_kept_sha256_": F.sha2(lower, 256)})
+    return rows.join(kept, ["_kept_id_", "_kept_sha256_"], "left_semi").dropDuplicates(["_kept_id_", "_kept_sha256_"]).select(*names)

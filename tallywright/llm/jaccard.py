@@ -4,8 +4,7 @@ Shingle hashes fall into groups by range. The number of hashes in each of POINT
 over coordinates of the smaller count bounds the overlap of two sets from above, for points and for the upper corners of
 nodes that hold many points. A distributed tree leads to the points: its first level is the class of the set's size, its
 second the content of one group. A class has more groups than two linked sets can differ in, so two linked sets agree
-on one group at least, and on one that isn't empty unless they have many empty ones, which then count as well; they meet
-below one second-level node, and nothing is lost. Below that, pages of points are
+on one group at least and meet below one second-level node (see `keys_of`); nothing is lost. Below that, pages of points are
 packed by size into nodes, and node pairs, then point pairs, whose bound is too low are left. Surviving pairs are
 verified on the sets themselves.
 
@@ -27,36 +26,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, scratch, written
+from .common import compressed, pieces, scratch, unpacked, written
 from .components import components
 from .words import mix, shingles, words_hashed
 
 #: Coordinates of a point, points of a leaf node, and points of a page; larger second-level nodes are split into pages.
 POINT, LEAF, PAGE = 256, 64, 2048
 NO_ID = -(1 << 63)
-POINTS = "doc_id long, n_shingles long, digest long, point binary, keys array<long>"
+POINTS = "doc_id long, n_shingles long, digest long, point binary"
+#: Bits of a second-level node's name. Nodes that share a name only cost time, so a shorter name does.
+KEY = np.uint64((1 << 48) - 1)
 
 
 def size_classes(most: int = 1 << 40) -> list[int]:
     """The largest size of each class."""
     out = [1]
     while out[-1] < most:
-        out.append(max(out[-1] + 1, out[-1] * 6 // 5))
+        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
     return out
 
 
 CLASSES = size_classes()
 
 
-def groups_needed(largest: int, num: int, den: int) -> tuple[int, int]:
-    """Groups, and how many of them a set may leave empty, for sets of at most this size.
-
-    J >= num/den means |x ^ y| <= (den-num)/(den+num) (|x|+|y|), so two linked sets differ in so many groups at most. There
-    are `spare` + 1 more: a set with at most `spare` empty groups shares one with content.
-    """
-    differ = 2 * largest * (den - num) // (den + num)
-    spare = differ // 10 + 2
-    return differ + 1 + spare, spare
+def most_different(a: int, b: int, num: int, den: int) -> int:
+    """The most hashes that only one of two linked sets of these sizes has: J >= num/den means |x ^ y| <= (den-num)/(den+num) (|x|+|y|)."""
+    return (a + b) * (den - num) // (den + num)
 
 
 def group_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -70,20 +65,28 @@ def point_of(hashes: np.ndarray) -> bytes:
 
 
 def keys_of(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Second-level nodes of a sorted set: (class, group, content) for its own class and those that a larger partner may have."""
+    """Second-level nodes of a sorted set: (class, group, content) for its own class and those that a larger partner may have.
+
+    A class fixes how many groups there are. A set needs the first ones only: one more than it can differ in from any
+    partner in the class, and `spare` more; so two linked sets agree on spare + 1 of those that both have. If a set has
+    more empty ones than `spare` among them, these may be all that they agree on, and count as well.
+    """
     n = len(hashes)
     salted, out = mix(hashes), []
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(salted, out=total[1:])
     for c in range(bisect_left(CLASSES, n), bisect_left(CLASSES, n * den // num) + 1):
-        k, spare = groups_needed(CLASSES[c], num, den)
-        starts = np.searchsorted(group_of(hashes, k), np.arange(k + 1, dtype=np.uint64))
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(salted, out=total[1:])
-        content = total[starts[1:]] - total[starts[:-1]]
-        place = np.arange(k, dtype=np.uint64) + np.uint64(c << 44)
-        filled = np.diff(starts) > 0
-        if k - filled.sum() > spare:  # sets like this may agree on empty groups only, so these count as well
+        largest = CLASSES[c]
+        differ = most_different(largest, largest, num, den)
+        spare = differ // 8 + 2
+        first = most_different(n, min(largest, n * den // num), num, den) + 1 + spare
+        starts = np.searchsorted(group_of(hashes, differ + 1 + spare), np.arange(first + 1, dtype=np.uint64))
+        size = np.diff(starts)
+        filled = size > 0
+        if first - filled.sum() > spare:
             filled[:] = True
-        out.append(mix(mix(content + np.diff(starts).astype(np.uint64)) + mix(place))[filled])
+        place = np.arange(first, dtype=np.uint64) + np.uint64(c << 44)
+        out.append((mix(mix(total[starts[1:]] - total[starts[:-1]] + size.astype(np.uint64)) + mix(place)) & KEY)[filled])
     return np.concatenate(out)
 
 
@@ -203,43 +206,50 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 9, den: int =
     spark, folder = docs.sparkSession, scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def sets_of(batches):
+    def sets_of(chunk):
+        words, sizes = words_hashed(chunk)
+        ends = np.cumsum(sizes)
+        return [np.unique(shingles(words[e - n : e], size)) for e, n in zip(ends.tolist(), sizes.tolist())]
+
+    def digest_of(x):
+        return int((mix(x).sum(dtype=np.uint64) ^ np.uint64(len(x))).view(np.int64))
+
+    def to_points(batches):
         for batch in batches:
             for part, chunk in pieces(batch):
-                words, sizes = words_hashed(chunk)
-                ends = np.cumsum(sizes)
-                yield part, [np.unique(shingles(words[e - n : e], size)) for e, n in zip(ends.tolist(), sizes.tolist())]
+                sets = sets_of(chunk)
+                columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array([digest_of(x) if len(x) else 0 for x in sets], pa.int64()), pa.array([point_of(x) if len(x) else b"" for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "n_shingles", "digest", "point"])
 
-    def to_points(batches):
-        for part, sets in sets_of(batches):
-            digests = [int((mix(x).sum(dtype=np.uint64) ^ np.uint64(len(x))).view(np.int64)) if len(x) else 0 for x in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    pa.array(map(len, sets), pa.int64()),
-                    pa.array(digests, pa.int64()),
-                    pa.array([point_of(x) if len(x) else b"" for x in sets], pa.binary()),
-                    pa.array([keys_of(x, num, den).view(np.int64) if len(x) else [] for x in sets], pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "n_shingles", "digest", "point", "keys"],
-            )
+    def to_keys(batches):
+        for batch in batches:
+            for _, chunk in pieces(batch):
+                sets = [x for x in sets_of(chunk) if len(x)]
+                if sets:
+                    keys = [keys_of(x, num, den) for x in sets]
+                    digests = np.repeat(np.array([digest_of(x) for x in sets], np.int64), [len(k) for k in keys])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(digests)], names=["key", "digest"])
 
     def to_sets(batches):
-        for part, sets in sets_of(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "hashes"])
+        for batch in batches:
+            for part, chunk in unpacked(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.view(np.int64) for x in sets_of(chunk)], pa.list_(pa.int64()))], names=["doc_id", "hashes"])
 
     points = written(texts.mapInArrow(to_points, POINTS), f"{folder}/points")
-    classes = written(points.filter("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("doc_id")), f"{folder}/classes")
-    one_each = points.join(classes.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
-    below = one_each.select(F.explode("keys").alias("key"), "doc_id")
-    shared = below.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    met = written(below.join(shared, "key"), f"{folder}/met")
-    located = paged(met.join(one_each.select("doc_id", "n_shingles", "point"), "doc_id"))
+    # equal sets are one class, named by its smallest id; its digest goes to the nodes
+    classes = points.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point"))
+    classes = written(classes, f"{folder}/classes")
+    below = texts.mapInArrow(to_keys, "key long, digest long")
+    shared = below.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi").select("key")
+    met = written(below.join(shared, "key").distinct(), f"{folder}/met")
+    members = met.groupBy("key").agg(F.count("*").alias("members"))
+    located = paged(met.join(members, "key").join(classes, "digest"))
     columns = ("key", "page", "side", "doc_id", "n_shingles", "point", "label")
 
     first = written(propose(located.withColumn("label", F.col("doc_id")).select(*columns), True, num, den), f"{folder}/first")
-    close = met.select("doc_id").distinct()
-    sets = written(texts.join(close, "doc_id", "left_semi").mapInArrow(to_sets, "doc_id long, hashes array<long>").dropDuplicates(["doc_id"]), f"{folder}/sets")
+    close = met.select("digest").distinct().join(classes, "digest").select("doc_id")
+    packed = texts.mapInArrow(compressed, "doc_id long, packed binary")
+    sets = written(packed.join(close, "doc_id", "left_semi").mapInArrow(to_sets, "doc_id long, hashes array<long>").dropDuplicates(["doc_id"]), f"{folder}/sets")
     links = written(verify(first, sets, num, den), f"{folder}/links1")
     label = components(links, f"{folder}/components1")
     labelled = located.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
@@ -247,9 +257,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 9, den: int =
     more = written(verify(rest, sets, num, den), f"{folder}/links2")
     label = components(links.unionByName(more), f"{folder}/components2")
 
-    classes = classes.select("digest", "n_shingles", F.col("doc_id").alias("node")).join(label, "node", "left")
-    classes = classes.select("digest", "n_shingles", F.coalesce("component", "node").alias("component"))
-    out = points.select("doc_id", "n_shingles", "digest").join(classes, ["digest", "n_shingles"], "left")
+    classes = classes.select("digest", F.col("doc_id").alias("node")).join(label, "node", "left")
+    classes = classes.select("digest", F.coalesce("component", "node").alias("component"))
+    out = points.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(classes, "digest", "left")
     real = lambda c: F.nullif(c, F.lit(NO_ID))
     return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.coalesce("component", "doc_id")).alias("component_id"))
 
