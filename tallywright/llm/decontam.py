@@ -112,6 +112,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     both = both.groupBy("doc_id", "item_id", "m", "cell").agg(F.sum("c").alias("c")).filter(DEN * F.col("c") >= NUM * F.col("m"))
     cells = both.select("doc_id", "item_id", "m", F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell")).distinct()
     close = cell.join(cells, ["doc_id", "item_id", "m", "cell"])
+    # A window of m shingles with the similarity shares 8 m / 9 of them or more. Their places in the window and in the item
+    # are two subsets of that size of 0 .. m - 1, whose means differ by m / 9 at most, so one of them is no farther off.
     shift = F.ceil(F.col("m") / 9).cast("int")
     diagonal = F.col("p") - F.col("j")
     starts = close.select("doc_id", "k", "m", "n", diagonal.alias("d"), shift.alias("shift")).distinct()
