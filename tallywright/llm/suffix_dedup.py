@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import compressed, pieces, scratch, unpacked, written
 from .words import BASE, BASE_INVERSE, _bytes, mix, powers
 
-WINDOW, GRAM, GROUP = 100, 24, 1024
+WINDOW, GRAM, GROUP = 100, 24, 1 << 14
+#: GROUP runs are about 3 MB.
 #: Window starts whose minima are taken together; with GRAM they stay below 2^20 places.
 BLOCK = 1 << 17
 NO_ID = -(1 << 63)
