@@ -4,9 +4,8 @@ Words are runs of letters and digits in lower case; shingles are five words in a
 document is contaminated by an item if one of its windows with as many shingles as the item (the whole text, if that has
 fewer) has a weighted similarity of 0.8 or more: shared shingles over all shingles, each counted as often as it stands.
 
-Windows are looked at only where enough shingles of an item lie close together, at every shift that a window of that
-similarity can have: at most a ninth of its length away from the diagonal of a shared shingle. Each such window gets a
-64-bit SimHash. RADIUS + 1 blocks of the fingerprint are indexed; fingerprints within RADIUS agree on one block at
+Windows are looked at only where enough shingles of an item lie close together: every window with as many of them as the
+similarity takes (8/9 of its length), in whatever order they stand. Each such window gets a 64-bit SimHash. RADIUS + 1 blocks of the fingerprint are indexed; fingerprints within RADIUS agree on one block at
 least, so the index finds all items within RADIUS. The exact similarity then decides.
 
 Edge cases: null texts have no words and match nothing; items without words are ignored; rows that repeat an id, of
@@ -106,20 +105,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         found = rows.join(F.broadcast(own) if n_shingles <= BROADCAST_ROWS else own, "h").drop("h")
         seeds = found if seeds is None else seeds.unionByName(found)
     # cells of the item's length: a window lies in two neighbours, which hold enough of them if it reaches the similarity
-    cell = seeds.withColumn("cell", F.floor(F.col("p") / F.col("m")).cast("int"))
-    counts = cell.select("doc_id", "item_id", "m", "cell", "p").distinct().groupBy("doc_id", "item_id", "m", "cell").agg(F.count("*").alias("c"))
-    both = counts.select("doc_id", "item_id", "m", F.explode(F.array(F.col("cell") - 1, F.col("cell"))).alias("cell"), "c")
-    both = both.groupBy("doc_id", "item_id", "m", "cell").agg(F.sum("c").alias("c")).filter(DEN * F.col("c") >= NUM * F.col("m"))
-    cells = both.select("doc_id", "item_id", "m", F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell")).distinct()
-    close = cell.join(cells, ["doc_id", "item_id", "m", "cell"])
-    # A window of m shingles with the similarity shares 8 m / 9 of them or more. Their places in the window and in the item
-    # are two subsets of that size of 0 .. m - 1, whose means differ by m / 9 at most, so one of them is no farther off.
-    shift = F.ceil(F.col("m") / 9).cast("int")
-    diagonal = F.col("p") - F.col("j")
-    starts = close.select("doc_id", "k", "m", "n", diagonal.alias("d"), shift.alias("shift")).distinct()
-    start = F.explode(F.sequence(F.col("d") - F.col("shift"), F.col("d") + F.col("shift")))
-    starts = starts.select("doc_id", "k", "m", "n", start.alias("start"))
-    starts = starts.select("doc_id", "k", "m", F.greatest(F.lit(0), F.least("start", F.col("n") - F.col("m"))).alias("start")).distinct()
+    keys = ["doc_id", "item_id", "k", "m", "n"]
+    places = seeds.select(*keys, F.floor(F.col("p") / F.col("m")).cast("int").alias("cell"), "p").distinct()
+    # A window of w shingles with the similarity shares NUM (m + w) / (NUM + DEN) of them or more, wherever they stand in it.
+    sizes_of_both = F.col("m") + F.least("m", "n")
+    need = F.floor((NUM * sizes_of_both + (NUM + DEN - 1)) / (NUM + DEN)).cast("int")
+    counts = places.groupBy(*keys, "cell").agg(F.count("*").alias("c"))
+    both = counts.select(*keys, F.explode(F.array(F.col("cell") - 1, F.col("cell"))).alias("pair"), "c")
+    both = both.groupBy(*keys, "pair").agg(F.sum("c").alias("c")).filter(F.col("c") >= need)
+    cells = both.select(*keys, "pair", F.explode(F.array(F.col("pair"), F.col("pair") + 1)).alias("cell"))
+    close = places.join(cells, [*keys, "cell"]).groupBy(*keys, "pair").agg(F.sort_array(F.collect_list("p")).alias("ps")).withColumn("need", need)
+    # Windows with enough of the places: those that start at place i or before it and end at place i + need - 1 or after it.
+    # A pair of cells has 2 m places at most.
+    last = F.slice("ps", F.col("need"), F.size("ps"))
+    ranges = F.filter(F.zip_with(F.slice("ps", 1, F.size(last)), last, lambda a, b: F.struct(F.greatest(F.lit(0), b - F.col("m") + 1).alias("low"), F.least(a, F.greatest(F.lit(0), F.col("n") - F.col("m"))).alias("high"))), lambda r: r["low"] <= r["high"])
+    starts = close.select("doc_id", "k", "m", F.explode(ranges).alias("r")).select("doc_id", "k", "m", F.explode(F.sequence("r.low", "r.high")).alias("start")).distinct()
 
     # their fingerprints
     wanted = starts.groupBy("doc_id").agg(F.collect_list(F.struct("k", "m", "start")).alias("wanted"))

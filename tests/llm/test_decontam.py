@@ -67,3 +67,20 @@ def test_empty_tables(spark, docs):
     assert contaminated(docs([]), bench).collect() == []
     assert contaminated(docs([(1, "a b c d e f g h")]), bench.limit(0)).collect() == []
     assert len(contaminated(docs([(1, "a b c d e f g h"), (1, "a b c d e f g h")]), bench.union(bench)).collect()) == 1
+
+
+def test_moved_blocks_are_found(spark, docs):
+    r = random.Random(7)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(100))) for i in range(6)]
+    rows = []
+    for i, text in items:
+        w = words(text)
+        for at, order in enumerate(([w[50:], w[:50]], [w[35:], w[:35]], [w[70:], w[35:70], w[:35]], [w[50:], w[:50], w[:50]])):
+            pad = [f"x{r.randrange(1000)}" for _ in range(120)]
+            before = r.randint(0, 60)
+            rows.append((10 * i + at, " ".join(sum(order, pad[:before]) + pad[before:])))
+        rows.append((10 * i + 8, " ".join(w[50:] + w[:50])))
+        rows.append((10 * i + 9, " ".join(w[48:] + w[:40])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    expected = brute(rows, items)
+    assert len(expected) >= 30 and found(contaminated(docs(rows), bench)) == expected
