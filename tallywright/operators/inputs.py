@@ -21,8 +21,8 @@ def nothing_new(diff: DataFrame) -> DataFrame:
 
 def expected_data(jobs: DataFrame, needs: DataFrame, files: DataFrame) -> DataFrame:
     """(job_id, path, sha256) of the files that a job's two players and board need; needs: (owner, path)."""
-    owners = jobs.select("job_id", F.explode(F.array("p1_name", "p2_name", F.concat(F.lit("board"), F.col("letterdist").cast("string")))).alias("owner"))
-    wanted = owners.join(F.broadcast(needs), "owner").select("job_id", "path").distinct()
+    owners = jobs.select("job_id", F.explode(F.array("p1_name", "p2_name", F.concat(F.lit("board"), F.col("letterdist").cast("string")))).alias("owner")).distinct()
+    wanted = needs.join(F.broadcast(owners), "owner").select("job_id", "path").distinct()
     return wanted.join(files, "path").select("job_id", "path", "sha256")
 
 

@@ -271,7 +271,7 @@ def expected_data(spark, sf_dir):
     t = Tables(spark, sf_dir)
     k = F.col("doc_id") % 12
     owner = F.when(k < 9, F.concat(F.lit("P"), k.cast("string"))).otherwise(F.concat(F.lit("board"), (k - 9).cast("string")))
-    needs = t.input_data.filter("doc_id < 4000").select(owner.alias("owner"), "path").distinct()
+    needs = t.input_data.select(owner.alias("owner"), "path").distinct()
     return inputs.expected_data(t.jobs, needs, t.input_data.groupBy("path").agg(F.min("sha256").alias("sha256")))
 
 
