@@ -11,10 +11,12 @@ from ..streaming import streams
 from .catalogue import CLAIMS, DONE, MERGED, Tables, query
 
 FILES = 4
+#: Claims in one file of stream_streaks, whose files grow with the rows.
+FILE_ROWS = 250_000
 
 
-def claims_stream(spark, sf_dir, folder, files=FILES):
-    return streams.replayed(Tables(spark, sf_dir).claims, f"{folder}/in", files, "claimed_at")
+def claims_stream(spark, sf_dir, folder):
+    return streams.replayed(Tables(spark, sf_dir).claims, f"{folder}/in", FILES, "claimed_at")
 
 
 @query(f"SELECT job_id, count(*) FILTER (state = 'completed') AS completed, CAST(coalesce(sum(movegens) FILTER (state = 'completed'), 0) AS BIGINT) AS movegens FROM {CLAIMS} GROUP BY job_id")
@@ -59,9 +61,11 @@ def stream_late(spark, sf_dir):
     WHERE state = 'abandoned' GROUP BY ALL) USING (job_id) GROUP BY job_id"""
 )
 def stream_streaks(spark, sf_dir):
-    folder = streams.scratch(spark, "streaks")
-    streams.drained(streams.streaks(claims_stream(spark, sf_dir, folder, 1)), folder, streams.upsert(folder, ["job_id"]), "update")
-    return streams.current(spark, folder, ["job_id"]).select("job_id", "longest")
+    folder, claims = streams.scratch(spark, "streaks"), Tables(spark, sf_dir).claims
+    files = max(FILES, -(-claims.count() // FILE_ROWS))
+    order = F.col("claimed_at").asc_nulls_last(), F.col("claim_id")
+    streams.drained(streams.replayed(claims, f"{folder}/in", files, *order, at_once=4 * FILES, number="slice"), folder, streams.fold_streaks(folder))
+    return streams.streaks(spark, folder).select("job_id", "longest")
 
 
 @query()

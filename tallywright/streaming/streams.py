@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,10 +31,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def replayed(df: DataFrame, folder: str, files: int, order: str) -> DataFrame:
-    """A table as a stream of so many files in the order of a column, one file a batch."""
-    df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(folder)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(folder)
+def replayed(df: DataFrame, folder: str, files: int, *order: str | Column, at_once: int = 1, number: str | None = None) -> DataFrame:
+    """A table as a stream of so many files in the order of columns, at_once files a batch; number: a column for the file's place in the order."""
+    rows = df.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    rows = rows.withColumn(number, F.spark_partition_id()) if number else rows
+    rows.write.parquet(folder)
+    return df.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", at_once).option("latestFirst", "false").parquet(folder)
 
 
 def drained(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> None:
@@ -123,19 +125,34 @@ def stale_pools(evidence: DataFrame, fitted: DataFrame) -> DataFrame:
     return now.join(fitted.select("pool", F.col("content").alias("before")), "pool", "left").filter(~F.col("content").eqNullSafe(F.col("before"))).select("pool", "content")
 
 
-def streaks(claims: DataFrame, trip: int = 3) -> DataFrame:
-    """Per job: abandoned claims in a row since the last completion and the longest run so far; update mode."""
+def fold_streaks(folder: str) -> Callable[[DataFrame, int], None]:
+    """Sum up each batch of claims per job and slice: abandoned claims before the first and after the last completion, and the longest run.
 
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        run, longest = state.get if state.exists else (0, 0)
-        rows = pd.concat(frames).sort_values(["claimed_at", "claim_id"])
-        for kind in rows["state"]:
-            run = run + 1 if kind == "abandoned" else 0 if kind == "completed" else run
-            longest = max(longest, run)
-        state.update((run, longest))
-        yield pd.DataFrame({"job_id": [key[0]], "run": [run], "longest": [longest], "tripped": [longest >= trip]})
-
-    return claims.groupBy("job_id").applyInPandasWithState(step, "job_id long, run long, longest long, tripped boolean", "run long, longest long", "update", "NoTimeout")
+    Slices are ranges of (claimed_at, claim_id) that don't overlap; they may come in any order, each whole in one batch.
+    """
+
+    def write(claims: DataFrame, batch: int) -> None:
+        place = F.struct(F.col("claimed_at").isNull().alias("open"), "claimed_at", "claim_id")
+        so_far = W.partitionBy("job_id", "slice").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
+        rows = claims.select("job_id", "slice", "state", place.alias("place"))
+        rows = rows.withColumn("island", F.count_if(F.col("state") == "completed").over(so_far))
+        runs = rows.groupBy("job_id", "slice", "island").agg(F.count_if(F.col("state") == "abandoned").alias("n"))
+        parts = runs.groupBy("job_id", "slice").agg(F.max("island").alias("completed"), F.min_by("n", "island").alias("first"), F.min("island").alias("opens"), F.max_by("n", "island").alias("last"), F.max("n").alias("longest"))
+        # a slice that opens with a completion has no run before it
+        parts = parts.withColumn("first", F.when(F.col("opens") == 0, F.col("first")).otherwise(F.lit(0))).drop("opens")
+        parts.write.mode("overwrite").parquet(f"{folder}/slices/batch={batch}")
+
+    return write
+
+
+def streaks(spark: SparkSession, folder: str, trip: int = 3) -> DataFrame:
+    """Per job: abandoned claims in a row since the last completion and the longest run so far, from the slices' sums."""
+    before = W.partitionBy("job_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    parts = spark.read.parquet(f"{folder}/slices").withColumn("island", F.count_if(F.col("completed") > 0).over(before))
+    ends = F.array(F.struct("island", F.col("first").alias("n")), F.when(F.col("completed") > 0, F.struct((F.col("island") + 1).alias("island"), F.col("last").alias("n"))))
+    runs = parts.select("job_id", "longest", F.explode(F.filter(ends, lambda e: e.isNotNull())).alias("e")).groupBy("job_id", "e.island").agg(F.sum("e.n").alias("n"), F.max("longest").alias("longest"))
+    out = runs.groupBy("job_id").agg(F.max_by("n", "island").alias("run"), F.greatest(F.max("n"), F.max("longest")).alias("longest"))
+    return out.withColumn("tripped", F.col("longest") >= trip)
 
 
 def lapses(claims: DataFrame, silent_seconds: int) -> DataFrame:

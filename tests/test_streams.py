@@ -1,6 +1,7 @@
 """Streams that have no batch twin, and rules that stand-ins don't break."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -81,3 +82,39 @@ def test_a_quarantine_keeps_every_row_once(spark, small):
     rows = Tables(spark, small).results_faulty
     clean, bad = quality.quarantined(rows, quality.validate_results(rows), "result_id")
     assert clean.count() + bad.count() == rows.count() and bad.count() > 0 and clean.select(*PENT).count() > 0
+
+
+def test_streaks_come_from_many_files(spark, small, monkeypatch):
+    from tallywright.plans import streams as plans
+
+    monkeypatch.setattr(plans, "FILE_ROWS", 100, raising=False)
+    read, replayed = [], streams.replayed
+    monkeypatch.setattr(streams, "replayed", lambda df, folder, *rest, **more: read.append(folder) or replayed(df, folder, *rest, **more))
+    found = {r.job_id: r.longest for r in QUERIES["stream_streaks"](spark, small).collect()}
+    claims = Tables(spark, small).claims.select("job_id", "state", "claimed_at", "claim_id").collect()
+    runs, longest = {}, {}
+    for r in sorted(claims, key=lambda r: (r.claimed_at, r.claim_id)):
+        runs[r.job_id] = runs.get(r.job_id, 0) + 1 if r.state == "abandoned" else 0 if r.state == "completed" else runs.get(r.job_id, 0)
+        longest[r.job_id] = max(longest.get(r.job_id, 0), runs[r.job_id])
+    assert found == longest
+    sizes = [r.n for r in spark.read.parquet(read[0]).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= len(claims) // 100 and max(sizes) < 200
+
+
+def test_streaks_join_slices_in_any_order(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(job, i, at(i // 2), "abandoned" if rng.random() < 0.75 else rng.choice(["completed", "declined"]), i // 6) for i in range(120) for job in (1, 2, 3)]
+    rows += [(4, i, at(i), "abandoned", i // 6) for i in range(60)] + [(5, 0, at(0), "completed", 0), (5, 7, at(7), "completed", 1), (5, 8, None, "abandoned", 2)]
+    write = streams.fold_streaks(str(tmp_path))
+    for batch, slices in enumerate(([7, 3, 11], [0, 19, 4, 8], [i for i in range(20) if i not in (7, 3, 11, 0, 19, 4, 8)])):
+        part = spark.createDataFrame([r for r in rows if r[4] in slices], "job_id long, claim_id long, claimed_at timestamp, state string, slice int")
+        write(part, batch)
+        write(part, batch)
+    expected = {}
+    for job in range(1, 6):
+        run = longest = 0
+        for r in sorted((r for r in rows if r[0] == job), key=lambda r: r[1]):
+            run = run + 1 if r[3] == "abandoned" else 0 if r[3] == "completed" else run
+            longest = max(longest, run)
+        expected[job] = (run, longest, longest >= 3)
+    assert {r.job_id: (r.run, r.longest, r.tripped) for r in streams.streaks(spark, str(tmp_path)).collect()} == expected
