@@ -9,24 +9,44 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Characters of text that a task looks at together.
-PIECE_CHARS = 1 << 20
+#: Bytes of text that a task looks at together, and of an Arrow batch on its way to Python (one row at least).
+PIECE_CHARS, BATCH_BYTES = 1 << 20, 4 << 20
+#: Stands for a null id inside operators: the smallest.
+NO_ID = -(1 << 63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session has a bound of its own below this one."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, None)
+    if not held or not held.isdigit() or int(held) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) of docs: the id as a long, NO_ID for null; batches to Python are bounded."""
+    bounded(docs.sparkSession)
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir, which a cluster shares; without that setting (tests) a temporary one."""
+    """A new folder below spark.checkpoint.dir, which a cluster shares; a local session without that setting gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-        if held.isEmpty():
-            spark.sparkContext.setCheckpointDir(base)
-            base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        base = held.get() if held.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}")
+        base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    bounded(spark)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

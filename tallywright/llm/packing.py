@@ -7,8 +7,9 @@ matters, fits; a triple where no two partners can beat it), as in the Martello-T
 length places the rest. The plan, runs of sequences with the same make-up, is small; pieces find their place by their
 rank among the pieces of their length, which tasks count on their own and a prefix sum over tasks completes.
 
-Edge cases: a null text is empty, and is the closing id only; a document longer than the capacity is cut; rows that
-repeat an id are separate documents; other columns are left out; an empty table gives an empty result.
+Edge cases: a null text is empty, and is the closing id only; a document longer than the capacity is cut, however long
+it is; rows that repeat an id, with one text or several, are separate documents; which of two pieces of one length comes
+first doesn't matter, so ties go by the tasks' order; other columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -117,21 +118,28 @@ def best_pair(counts: Counts, longest: int, room: int) -> int:
 
 
 def reduce_dominated(counts: Counts, capacity: int) -> list[Run]:
-    """Fix dominating sets from the longest length down until nothing more is proven for it."""
+    """Fix dominating sets, from the longest length to the shortest, and again until a pass fixes none.
+
+    A length without a proof is left for the next pass: what others take away can make its proof possible.
+    """
     runs: list[Run] = []
-    while counts.lengths:
-        longest = counts.lengths[-1]
-        partners = dominating(counts, longest, capacity - longest)
-        if partners is None:
-            break
-        need = {longest: 1}
-        for n in partners:
-            need[n] = need.get(n, 0) + 1
-        # taking pieces away never makes another set fit better, so the proof holds until one of these lengths runs out
-        times = min(counts.left[n] // per for n, per in need.items())
-        if not partners and longest + counts.lengths[0] <= capacity:
-            times = 1  # it is the last piece: copies of it would have fitted each other
-        runs.append(Run(times, [(n, counts.take(n, times * per), per) for n, per in need.items()]))
+    fixed = True
+    while fixed:
+        fixed = False
+        for n in sorted(counts.lengths, reverse=True):
+            while counts.left.get(n):
+                partners = dominating(counts, n, capacity - n)
+                if partners is None:
+                    break
+                need = {n: 1}
+                for x in partners:
+                    need[x] = need.get(x, 0) + 1
+                # taking pieces away never makes another set fit better, so the proof holds until one of these lengths runs out
+                times = min(counts.left[x] // per for x, per in need.items())
+                if not partners and n + counts.lengths[0] <= capacity:
+                    times = 1  # it is the last piece: copies of it would have fitted each other
+                runs.append(Run(times, [(x, counts.take(x, times * per), per) for x, per in need.items()]))
+                fixed = True
     return runs
 
 

@@ -3,7 +3,8 @@
 A shard holds blocks, a sparse index, a Bloom filter and a footer:
 
     block   entries in key order: shared, unshared and value lengths (varints), the key's unshared bytes, the value.
-            Every RESTART-th entry shares nothing. A block closes at BLOCK bytes.
+            Every RESTART-th entry shares nothing; behind the entries come those entries' places and their number (four
+            bytes each), so a search in a block is binary as well. A block closes at BLOCK bytes.
     index   for each block: last key, offset and length (varints)
     bloom   number of hashes (one byte), then the bits
     footer  FOOTER: offsets and lengths of index and bloom, documents, ids, bytes of an id, magic
@@ -11,8 +12,9 @@ A shard holds blocks, a sparse index, a Bloom filter and a footer:
 Key: one byte (0 for a null id) and the id as eight big-endian bytes with its sign bit turned, so byte order is id order.
 Value: little-endian ids of two or four bytes.
 
-Edge cases: a null text is empty and holds the end id only; rows that repeat an id stay in a row, as separate entries;
-a null id sorts first; other columns are left out; an empty table gives no shard and an empty result.
+Edge cases: a null text is empty and holds the end id only; rows that repeat an id stay in a row, as separate entries,
+ordered by text, so ties have one order; a null id sorts first; a very long text is one entry of a block of its own size;
+other columns are left out; an empty table gives no shard and an empty result.
 """
 
 from __future__ import annotations
@@ -20,24 +22,25 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import bounded, pieces, removed, written
 from .encode import encoder
 
 BLOCK, RESTART, SHARD = 32 << 10, 16, 64 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 FOOTER = struct.Struct("<QQQQQQI4s")
 MAGIC = b"TWST"
-MANIFEST = "shard string, first long, n_docs long, n_ids long, n_bytes long"
+MANIFEST = "shard string, first long, last long, n_docs long, n_ids long, n_bytes long"
 RESULT = "shard string, doc_id long, before long, n_tokens long, ids_crc32 long"
 
 
@@ -82,6 +85,7 @@ class Writer:
     def __init__(self, out, width: int):
         self.out, self.width, self.at = out, width, 0
         self.block, self.last, self.in_block = bytearray(), b"", 0
+        self.restarts: list[int] = []
         self.index: list[tuple[bytes, int, int]] = []
         self.keys: list[bytes] = []
         self.n_ids = 0
@@ -92,6 +96,8 @@ class Writer:
             most = min(len(key), len(self.last))
             while shared < most and key[shared] == self.last[shared]:
                 shared += 1
+        else:
+            self.restarts.append(len(self.block))
         self.block += varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:] + value
         self.last, self.in_block = key, self.in_block + 1
         self.keys.append(key)
@@ -101,10 +107,11 @@ class Writer:
 
     def close_block(self) -> None:
         if self.block:
+            self.block += np.array([*self.restarts, len(self.restarts)], "<u4").tobytes()
             self.out.write(bytes(self.block))
             self.index.append((self.last, self.at, len(self.block)))
             self.at += len(self.block)
-            self.block, self.in_block = bytearray(), 0
+            self.block, self.in_block, self.restarts = bytearray(), 0, []
 
     def close(self) -> int:
         self.close_block()
@@ -141,11 +148,16 @@ class Reader:
         source.seek(bloom_at)
         self.bloom = source.read(bloom_n)
 
-    def block(self, offset: int, length: int) -> Iterator[tuple[bytes, memoryview]]:
+    def read(self, offset: int, length: int) -> tuple[memoryview, np.ndarray]:
+        """The entries of a block and the places of those that share nothing."""
         self.source.seek(offset)
         data = memoryview(self.source.read(length))
-        at, key = 0, b""
-        while at < length:
+        count = int.from_bytes(data[-4:], "little")
+        return data[: length - 4 - 4 * count], np.frombuffer(data[length - 4 - 4 * count : length - 4], "<u4")
+
+    def entries(self, data: memoryview, at: int = 0) -> Iterator[tuple[bytes, memoryview]]:
+        key = b""
+        while at < len(data):
             shared, at = read_varint(data, at)
             rest, at = read_varint(data, at)
             n, at = read_varint(data, at)
@@ -155,7 +167,7 @@ class Reader:
 
     def __iter__(self):
         for _, offset, length in self.index:
-            yield from self.block(offset, length)
+            yield from self.entries(self.read(offset, length)[0])
 
     def ids(self, value) -> np.ndarray:
         return np.frombuffer(value, f"<u{self.width}")
@@ -165,13 +177,16 @@ class Reader:
         return all(self.bloom[1 + (h >> 3)] >> (h & 7) & 1 for h in bloom_hashes(key, bits, self.bloom[0]))
 
     def find(self, doc_id: int | None) -> list[np.ndarray]:
-        """Ids of every entry with this id: filter, binary search in the index, then its block (or a run of them)."""
+        """Ids of every entry with this id: filter, binary search in the index, then in its block (or a run of them)."""
         key, out = key_of(doc_id), []
         if not self.may_hold(key):
             return out
         i = bisect_left(self.index, key, key=lambda x: x[0])
         while i < len(self.index):
-            for k, value in self.block(*self.index[i][1:]):
+            data, restarts = self.read(*self.index[i][1:])
+            # the last restart whose key is smaller; the id may stand before the next one
+            j = max(0, bisect_left(restarts, key, key=lambda at: next(self.entries(data, int(at)))[0]) - 1)
+            for k, value in self.entries(data, int(restarts[j])):
                 if k == key:
                     out.append(self.ids(value))
                 elif k > key:
@@ -182,8 +197,6 @@ class Reader:
 
 def opened(path: str, write: bool = False):
     """A file of any store that Arrow's file systems reach, for writing or by random access."""
-    from pyarrow import fs
-
     store, inside = fs.FileSystem.from_uri(path)
     if write:
         store.create_dir(inside.rsplit("/", 1)[0], recursive=True)
@@ -192,8 +205,6 @@ def opened(path: str, write: bool = False):
 
 
 def moved(old: str, new: str) -> None:
-    from pyarrow import fs
-
     store, inside = fs.FileSystem.from_uri(old)
     store.move(inside, fs.FileSystem.from_uri(new)[1])
 
@@ -217,8 +228,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
             out.close()
             moved(draft, f"{base}/shards/{name}")
             return pa.RecordBatch.from_pylist(
-                [{"shard": name, "first": first, "n_docs": len(writer.keys), "n_ids": writer.n_ids, "n_bytes": size}],
-                pa.schema([("shard", pa.string()), ("first", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]),
+                [{"shard": name, "first": first, "last": id_of(writer.last), "n_docs": len(writer.keys), "n_ids": writer.n_ids, "n_bytes": size}],
+                pa.schema([("shard", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]),
             )
 
         rolls = 0
@@ -238,13 +249,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         if shard is not None:
             yield finish()
 
-    from pyarrow import fs
-
     store, inside = fs.FileSystem.from_uri(f"{base}/shards")
     store.create_dir(inside, recursive=True)
+    bounded(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return written(rows.mapInArrow(write, MANIFEST), f"{folder}/manifest")
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    manifest = written(rows.mapInArrow(write, MANIFEST), f"{folder}/manifest")
+    removed(docs.sparkSession, f"{folder}/drafts")  # of tasks that failed
+    return manifest
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -271,7 +283,54 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    # one row for each shard: where its ids start among those of all shards; names are in id order
-    starts = manifest.select("shard", F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)).alias("earlier"))
-    entries = manifest.select("shard").repartition("shard").mapInArrow(read, RESULT)
-    return entries.join(starts, "shard").select("doc_id", (F.coalesce("earlier", F.lit(0)) + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    # one row for each shard: where its ids start among those of all shards; names are in id order, and begin with the task
+    manifest = manifest.withColumn("task", F.substring("shard", 1, 6))
+    tasks = manifest.groupBy("task").agg(F.sum("n_ids").alias("n")).select("task", F.sum("n").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)).alias("of_tasks"))
+    own = F.sum("n_ids").over(W.partitionBy("task").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
+    starts = manifest.join(tasks, "task").select("shard", (F.coalesce("of_tasks", F.lit(0)) + F.coalesce(own, F.lit(0))).alias("earlier"))
+    # a task for each shard: the number is given, so that small rows of names aren't put together
+    entries = manifest.select("shard").repartition(max(1, manifest.count()), "shard").mapInArrow(read, RESULT)
+    return entries.join(starts, "shard").select("doc_id", (F.col("earlier") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def lookup(ids: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n_tokens, ids_crc32, ids) of every entry with an id of `ids`: each task opens the shards that may hold its ids.
+
+    The manifest has a row for each shard (SHARD bytes), which tasks read themselves. Ids without an entry give no row; an
+    id that is asked for more than once is looked up once.
+    """
+    base = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+
+    def find_shards(batches):
+        from pyarrow import dataset
+
+        store, inside = fs.FileSystem.from_uri(f"{base}/manifest")
+        held = dataset.dataset(inside, filesystem=store, format="parquet").to_table(columns=["shard", "first", "last"]).to_pylist()
+        held.sort(key=lambda x: x["shard"])
+        firsts, lasts = ([key_of(x[c]) for x in held] for c in ("first", "last"))
+        for batch in batches:
+            rows = []
+            for doc_id in batch.column(0).to_pylist():
+                key = key_of(doc_id)
+                rows += [(held[i]["shard"], doc_id) for i in range(bisect_left(lasts, key), bisect_right(firsts, key))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["shard", "doc_id"])
+
+    def find_ids(batches):
+        for batch in batches:
+            rows, reader, name, source = [], None, None, None
+            for shard, doc_id in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+                if shard != name:
+                    if source:
+                        source.close()
+                    source = opened(f"{base}/shards/{shard}")
+                    name, reader = shard, Reader(source)
+                for x in reader.find(doc_id):
+                    rows.append((doc_id, len(x), zlib.crc32(x.astype("<u4")), x.astype(np.int64)))
+            if source:
+                source.close()
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, kinds)], names=["doc_id", "n_tokens", "ids_crc32", "ids"])
+
+    wanted = ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct().mapInArrow(find_shards, "shard string, doc_id long")
+    wanted = wanted.repartition("shard").sortWithinPartitions("shard", "doc_id")
+    return wanted.mapInArrow(find_ids, "doc_id long, n_tokens long, ids_crc32 long, ids array<long>")

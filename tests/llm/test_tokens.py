@@ -8,7 +8,7 @@ from tallywright.llm.common import scratch
 from tallywright.llm.encode import Encoder
 from tallywright.llm.packing import Counts, Places, pack, plan, reduce_dominated
 from tallywright.llm.queries import op2_best_fit_packing, op3_token_shards, word_tokenizer
-from tallywright.llm.sst_output import Reader, id_of, key_of, opened, read_shards, write_shards
+from tallywright.llm.sst_output import Reader, id_of, key_of, lookup, opened, read_shards, write_shards
 
 ODD = [None, "", " ", "Thnt, ntre. don't I'LL", "<|endoftext|> a <|startoftext|>b", "é É ß µ İ Σς 日本 \U0001f600", "á x\xa0y\x85z", "x" * 3000, "word " * 5000, "1,000.5"]
 
@@ -30,13 +30,43 @@ def crc(ids):
 
 def test_encoder_equals_the_tokenizer(tokenizer):
     r = random.Random(3)
-    letters = "abcXYZ éÉßµªÀ́İΣσς\n\t\xa0\x85.,'\"!?0123<|>/日\U0001f600-sdtl"
+    letters = "abcXYZ éÉßµªÀ÷×ÿ́İΣσς\n\t\xa0\x85.,'\"!?0123<|>/日\U0001f600-sdtl"
     texts = [t or "" for t in ODD] + ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(3000)]
-    flat, sizes = Encoder(word_tokenizer()).encode(texts)
+    texts += ["".join(r.choice("aB é!.,'") for _ in range(r.randint(0, 12))) for _ in range(3000)] + ["<|ENDOFTEXT|> x!!", "A<|endoftext|>!! B,,"]
+    e = Encoder(word_tokenizer())
+    e.encode(texts[:50])
+    parts = [e.encode(texts[i : i + 7]) for i in range(0, len(texts), 7)]
+    flat, sizes = (np.concatenate(x) for x in zip(*parts))
     for text, end, n in zip(texts, np.cumsum(sizes).tolist(), sizes.tolist()):
         assert flat[end - n : end].tolist() == ids_of(tokenizer, text)
 
 
+def test_a_file_of_another_form_goes_through_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    texts = [t or "" for t in ODD] + ["plain words only", " two  blanks", "a\nb"]
+    flat, sizes = Encoder(path).encode(texts)
+    for text, end, n in zip(texts, np.cumsum(sizes).tolist(), sizes.tolist()):
+        assert flat[end - n : end].tolist() == ids_of(whole, text)
+
+
+def test_words_longer_than_a_block_and_a_full_table(tokenizer, monkeypatch):
+    from tallywright.llm import encode, words
+
+    monkeypatch.setattr(words, "BLOCK", 64)
+    monkeypatch.setattr(words, "LONG", 16)
+    monkeypatch.setattr(encode, "MOST_IDS", 40)
+    texts = ["a" * 300 + " b", "", "c " * 200, "x" * 64, "Y!! " * 50 + "é" * 90, "one two three four five six seven eight nine ten" * 3]
+    e = Encoder(word_tokenizer())
+    for _ in range(3):
+        flat, sizes = e.encode(texts)
+        for text, end, n in zip(texts, np.cumsum(sizes).tolist(), sizes.tolist()):
+            assert flat[end - n : end].tolist() == ids_of(tokenizer, text)
+
+
 def packed_rows(df, expected, capacity):
     """Check pieces against the ids of each document and the places against each other; returns the number of sequences."""
     rows = df.collect()
@@ -144,9 +174,30 @@ def test_shards(spark, docs, tokenizer):
         assert reader.find(10**12) == []
         assert len(list(reader)) == m.n_docs == reader.n_docs
     assert found == [[*ids_of(tokenizer, ODD[7]), 2]]
+    wanted = spark.createDataFrame([(i,) for i in [0, 3, 3, 7, -5, 10**12, None]], "doc_id long")
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32, tuple(r.ids)) for r in lookup(wanted, folder).collect())
+    assert got == sorted((i is not None, i or 0, len(x), crc(x), tuple(x)) for i, t in rows if i in (0, 3, 7, -5, None) for x in [[*ids_of(tokenizer, t), 2]])
     empty = scratch(spark, "shards")
     write_shards(docs([]), empty, word_tokenizer())
     assert read_shards(spark, empty).collect() == []
+    assert lookup(wanted, empty).collect() == []
+
+
+def test_every_id_is_found_through_restarts_and_blocks(tmp_path, monkeypatch):
+    from tallywright.llm import sst_output
+
+    monkeypatch.setattr(sst_output, "BLOCK", 700)
+    out = opened(f"file://{tmp_path}/x.sst", True)
+    writer = sst_output.Writer(out, 2)
+    ids = sorted([*range(0, 4000, 3), 300, 300, 300, *([999] * 90)])
+    for n, i in enumerate(ids):
+        writer.add(key_of(i), np.array([n % 60000] * (n % 5), "<u2").tobytes())
+    writer.close()
+    out.close()
+    reader = Reader(opened(f"file://{tmp_path}/x.sst"))
+    assert [id_of(k) for k, _ in reader] == ids
+    for i in range(-2, 4003):
+        assert [x.tolist() for x in reader.find(i)] == [[n % 60000] * (n % 5) for n, x in enumerate(ids) if x == i]
 
 
 def test_shard_keys_sort_like_ids():
