@@ -5,9 +5,13 @@ hash of the id, whole texts). For a text, EM estimates the share of each languag
 long as the likelihood, less half the logarithm of the number of grams for each language kept (as in BIC), does not
 fall. The largest share names the language and is the score.
 
+`identified` adds a component to the mixture that knows no language: every gram is as likely as any other. A text most
+of which comes from there (foreign script, random letters, code tables) is in no learned language.
+
 Edge cases: a null text or one without a letter is `und` with score 0, as is every text when there is no labelled row;
-among equal shares the first language by name wins; repeated rows give a row each; a null id is not held out, and is
-not learned from; other columns are left out; an empty table gives an empty result.
+among equal shares the first language by name wins; rows that repeat an id or text give a row each; a null id is not held
+out, and is not learned from; a very long text is counted block by block; other columns are left out; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,15 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import bounded, pieces
 
 #: Labelled rows that are learned from at most, for each language; hashed grams; steps of one fit.
 SAMPLE_ROWS, BUCKETS, STEPS = 500, 1 << 14, 25
 #: Added to every count of a gram.
 SMOOTHING = 0.5
-#: Where a text must be in one language, the least share of it.
-LEAST_SHARE = 0.3
+#: Where a text must be in the learned languages, the most that may come from none of them.
+MOST_UNKNOWN = 0.5
+#: Parts of a language in which its sample is looked for side by side.
+PARTS = 64
 FOLDS, HELD_OUT = 3, 1
+#: Bytes of a text that are looked at together.
+BLOCK = 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
 #: Lower-case ASCII letters and all bytes of other characters stay; everything else is a blank.
 _kept = np.full(256, 32, np.uint8)
@@ -37,17 +45,15 @@ _kept[65:91] = np.arange(97, 123)
 _kept[128:] = np.arange(128, 256)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all three-byte grams of the texts in a row (a blank at either end), and how many each text has."""
-    raw = [t.encode() for t in texts]
-    data = _kept[np.frombuffer(b" " + b"  ".join(raw) + b"  ", np.uint8)].astype(np.uint32)
-    codes = (data[:-2] << np.uint32(16)) | (data[1:-1] << np.uint32(8)) | data[2:]
-    held = (data[1:-1] != 32) | (data[:-2] != 32) & (data[2:] != 32)
-    buckets = ((codes * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int64)
-    bounds = np.cumsum([0] + [len(x) + 2 for x in raw])
-    bounds[-1] = len(codes)
-    inside = np.concatenate([[0], np.cumsum(held)])
-    return buckets[held], np.diff(inside[bounds])
+def counted(text: str) -> np.ndarray:
+    """How often each bucket's grams stand in a text; grams across the edges of blocks count once."""
+    out, raw = np.zeros(BUCKETS, np.int64), b" " + text.encode() + b" "
+    for at in range(0, len(raw) - 2, BLOCK):
+        data = _kept[np.frombuffer(raw, np.uint8, min(BLOCK + 2, len(raw) - at), at)].astype(np.uint32)
+        codes = (data[:-2] << np.uint32(16)) | (data[1:-1] << np.uint32(8)) | data[2:]
+        held = (data[1:-1] != 32) | (data[:-2] != 32) & (data[2:] != 32)
+        out += np.bincount(((codes[held] * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int64), minlength=BUCKETS)
+    return out
 
 
 def em(likelihood: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
@@ -84,19 +90,20 @@ def fold(id_col: str = "doc_id"):
 
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages by name and gram x language probabilities, from rows with a language outside the held-out fold."""
+    bounded(docs.sparkSession)
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != HELD_OUT))
-    turn = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = labelled.select("doc_id", "lang").withColumn("turn", turn).filter(F.col("turn") <= sample_rows)
+    ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"))
+    for keys in (["lang", F.pmod("hash", F.lit(PARTS))], ["lang"]):  # at most PARTS * sample_rows of a language meet
+        turn = F.row_number().over(W.partitionBy(*keys).orderBy("hash", "doc_id"))
+        ids = ids.withColumn("turn", turn).filter(F.col("turn") <= sample_rows).drop("turn")
     sample = labelled.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("lang", "text")
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             for part, texts in pieces(batch):
-                buckets, sizes = grams(texts)
-                ends = np.cumsum(sizes)
-                for lang, e, n in zip(part.column(0).to_pylist(), ends.tolist(), sizes.tolist()):
-                    held[lang] = held.get(lang, 0) + np.bincount(buckets[e - n : e], minlength=BUCKETS)
+                for lang, text in zip(part.column(0).to_pylist(), texts):
+                    held[lang] = held.get(lang, 0) + counted(text)
         for lang, counts in held.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(counts[at])], names=["lang", "bucket", "n"])
@@ -111,12 +118,11 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], n
 
 def shares(texts: list[str], languages: list[str], model: np.ndarray) -> list[np.ndarray | None]:
     """The mixture of each text; None where there is no letter or nothing was learned."""
-    buckets, sizes = grams(texts)
     out = []
-    for text, e, n in zip(texts, np.cumsum(sizes).tolist(), sizes.tolist()):
+    for text in texts:
         share = None
-        if n and languages and LETTER.search(text):
-            counts = np.bincount(buckets[e - n : e], minlength=BUCKETS)
+        if languages and LETTER.search(text):
+            counts = counted(text)
             at = np.flatnonzero(counts)
             share = mixture(model[at], counts[at].astype(float))
         out.append(share)
@@ -143,13 +149,18 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def identified(docs: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
-    """The rows of docs, all columns, whose text is mostly in one learned language; all rows when nothing was learned."""
+def identified(docs: DataFrame, most_unknown: float = MOST_UNKNOWN, wanted: set[str] | None = None) -> DataFrame:
+    """The rows of docs, all columns, with a letter and no more than this share from outside the learned languages; all rows when nothing was learned.
+
+    wanted: languages of which one must have the largest share; all that are learned by default.
+    """
     languages, model = learn(docs)
+    known = np.hstack([model, np.full((BUCKETS, 1), 1 / BUCKETS)])  # the last column knows no language
 
     def keep(batches):
         for batch in batches:
             for part, texts in pieces(batch, batch.schema.get_field_index("text")):
-                yield part.filter(pa.array([x is not None and x.max() >= least for x in shares(texts, languages, model)], pa.bool_()))
+                held = [x is not None and x[-1] <= most_unknown and (wanted is None or languages[int(x[:-1].argmax())] in wanted) for x in shares(texts, languages, known)]
+                yield part.filter(pa.array(held, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema) if languages else docs

@@ -12,7 +12,6 @@ from .packing import pack
 from .pii import scan_pii
 from .secrets import scan_secrets
 from .sst_output import read_shards, write_shards
-
 from .suffix_dedup import dedup_substrings
 
 
@@ -21,7 +20,7 @@ def op1_suffix_dedup(spark, sf_dir):
 
 
 def word_tokenizer() -> str:
-    """The tokenizer file that the contracts of op2 and op3 name; the operators take any path."""
+    """The tokenizer file that the contracts of op2 and op3 name; the operators take the path of any file of the library."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -43,7 +42,7 @@ def op4_language_id(spark, sf_dir):
 
 def op5_chat_format(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], turns.schema)
+    extra = spark.sql("VALUES (-1L, 0, 'user', '</s>[INST] ok [/INST]'), (-1L, 1, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     return chat_digests(format_chats(turns.unionByName(extra)))
 
 

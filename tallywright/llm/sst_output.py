@@ -41,7 +41,7 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 FOOTER = struct.Struct("<QQQQQQI4s")
 MAGIC = b"TWST"
 MANIFEST = "shard string, first long, last long, n_docs long, n_ids long, n_bytes long"
-RESULT = "shard string, doc_id long, before long, n_tokens long, ids_crc32 long"
+RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -266,12 +266,12 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with opened(f"{base}/shards/{name}") as source:
-                    rows, before, reader = [], 0, Reader(source)
+                    rows, reader = [], Reader(source)
                     for key, value in reader:
                         ids = reader.ids(value)
-                        rows.append((name, id_of(key), before, len(ids), zlib.crc32(ids.astype("<u4"))))
+                        rows.append((id_of(key), before, len(ids), zlib.crc32(ids.astype("<u4"))))
                         before += len(ids)
                         if len(rows) == 4096:
                             yield batch_of(rows)
@@ -280,7 +280,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                         yield batch_of(rows)
 
     def batch_of(rows):
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in RESULT.split(", ")])
 
     # one row for each shard: where its ids start among those of all shards; names are in id order, and begin with the task
@@ -289,8 +289,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     own = F.sum("n_ids").over(W.partitionBy("task").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
     starts = manifest.join(tasks, "task").select("shard", (F.coalesce("of_tasks", F.lit(0)) + F.coalesce(own, F.lit(0))).alias("earlier"))
     # a task for each shard: the number is given, so that small rows of names aren't put together
-    entries = manifest.select("shard").repartition(max(1, manifest.count()), "shard").mapInArrow(read, RESULT)
-    return entries.join(starts, "shard").select("doc_id", (F.col("earlier") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return starts.repartition(max(1, manifest.count()), "shard").mapInArrow(read, RESULT)
 
 
 def lookup(ids: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:

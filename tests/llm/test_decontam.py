@@ -2,7 +2,10 @@ import random
 import re
 from collections import Counter
 
-from tallywright.llm.decontam import contaminated
+from pyspark.sql import functions as F
+
+from tallywright.llm import decontam
+from tallywright.llm.decontam import contaminated, decontaminated
 
 
 def words(text):
@@ -84,3 +87,46 @@ def test_moved_blocks_are_found(spark, docs):
     bench = spark.createDataFrame(items, "item_id long, text string")
     expected = brute(rows, items)
     assert len(expected) >= 30 and found(contaminated(docs(rows), bench)) == expected
+
+
+def test_rows_that_repeat_an_id_stand_each_for_itself(spark, docs):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    bench = spark.createDataFrame([(None, a), (7, b), (7, "q " * 30), (8, b)], "item_id long, text string")
+    rows = [(3, a), (3, c), (None, "x y z " + b), (None, c), (5, "q " * 32)]
+    out = contaminated(docs(rows), bench).collect()
+    assert sorted((str(r.doc_id), str(r.item_id)) for r in out) == [("3", "None"), ("5", "7"), ("None", "7"), ("None", "8")]
+    kept = decontaminated(docs(rows), bench)
+    assert kept.columns == docs([]).columns and sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("3", c), ("None", c)]
+
+
+def test_the_index_by_itself_finds_the_windows(spark):
+    """Every window of every text gets a fingerprint; nothing but the index proposes pairs."""
+    r = random.Random(12)
+    pool = [f"w{i}" for i in range(300)]
+    rows, items = [], []
+    for i in range(8):
+        item = [r.choice(pool) for _ in range(60)]
+        items.append((i, item))
+        for _ in range(6):
+            text = list(item)
+            for _ in range(r.randint(0, 1)):
+                text[r.randrange(60)] = "x"
+            rows.append((len(rows), [r.choice(pool) for _ in range(r.randint(0, 40))] + text + [r.choice(pool) for _ in range(20)]))
+    m = 56
+    cut = lambda w, s: [hash5(w[s + j : s + j + 5]) for j in range(m)]
+    windows = spark.createDataFrame([(d, s, cut(w, s)) for d, w in rows for s in range(len(w) - 59)], "doc long, start int, hashes array<long>")
+    own = spark.createDataFrame([(i, cut(w, 0)) for i, w in items], "item long, hashes array<long>")
+    left = decontam.simhashes(windows, ["doc", "start"]).withColumn("m", F.lit(m))
+    right = decontam.simhashes(own, ["item"]).withColumnRenamed("fingerprint", "other").withColumn("m", F.lit(m))
+    got = {(x.doc, x.start, x.item) for x in decontam.within_radius(left, right, ["m"]).collect()}
+    prints, others = {(x.doc, x.start): x.fingerprint for x in left.collect()}, {x.item: x.other for x in right.collect()}
+    near = {(*k, i) for k, f in prints.items() for i, o in others.items() if ((f ^ o) & (1 << 64) - 1).bit_count() <= decontam.RADIUS}
+    assert got == near  # all fingerprints within the radius, and no other
+    true = {(d, i) for d, i in brute([(d, " ".join(w)) for d, w in rows], [(i, " ".join(w)) for i, w in items])}
+    assert len({(d, i) for d, _, i in got} & true) >= 0.9 * len(true) and len(near) < len(prints) * len(others) // 8
+
+
+def hash5(words):
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63)

@@ -1,8 +1,10 @@
 import hashlib
+import math
 import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallywright.llm import chat, exact_dedup, langid
 from tallywright.llm.queries import op4_language_id, op5_chat_format, op10_exact_dedup
@@ -30,6 +32,13 @@ def test_exact_groups(docs, spark, small):
     assert exact_dedup.exact_groups(docs([])).collect() == []
 
 
+def test_texts_of_one_id_that_differ_in_one_digit_only(docs):
+    tail = "z" * 1200
+    rows = [(9, "a" + tail), (1, "a" + tail), (9, "b" + tail), (2, "b" + tail), (9, "a" + tail), (3, "b" + "z" * 1199 + "y")]
+    out = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs(rows)).collect())
+    assert out == [(1, 9, 3, False), (2, 9, 2, False), (3, 3, 1, True), (9, 9, 2, True), (9, 9, 3, False), (9, 9, 3, True)]
+
+
 def test_exact_groups_with_repeated_and_null_ids(docs):
     out = exact_dedup.exact_groups(docs([(1, "a"), (1, "A"), (None, "b"), (2, "b"), (None, "c")])).collect()
     assert sorted((x.doc_id or 0, x.keep_id or 0, x.group_size, x.kept) for x in out) == [(0, 0, 1, True), (0, 2, 2, False), (1, 1, 2, False), (1, 1, 2, True), (2, 2, 2, True)]
@@ -102,3 +111,66 @@ def test_mixture_finds_both_languages():
     only = np.bincount(a, minlength=langid.BUCKETS).astype(float)
     at = np.flatnonzero(only)
     assert langid.mixture(model[at], only[at])[0] == 1
+
+
+def plain_mixture(likelihood, counts):
+    """The same estimate, gram by gram, without arrays."""
+
+    def fit(kept):
+        share = dict.fromkeys(kept, 1 / len(kept))
+        n = sum(counts)
+        for _ in range(langid.STEPS if len(kept) > 1 else 0):
+            new = dict.fromkeys(kept, 0.0)
+            for row, c in zip(likelihood, counts):
+                all_ = sum(share[k] * row[k] for k in kept)
+                for k in kept:
+                    new[k] += c * share[k] * row[k] / all_ / n
+            done = max(abs(new[k] - share[k]) for k in kept) < 1e-3
+            share = new
+            if done:
+                break
+        return share, sum(c * math.log(sum(share[k] * row[k] for k in kept)) for row, c in zip(likelihood, counts))
+
+    kept = list(range(len(likelihood[0])))
+    share, value = fit(kept)
+    while len(kept) > 1:
+        worst = min(kept, key=lambda k: share[k])
+        new, other = fit([k for k in kept if k != worst])
+        if other + 0.5 * math.log(max(2, sum(counts))) < value:
+            break
+        kept, share, value = [k for k in kept if k != worst], new, other
+    return share
+
+
+def test_predictions_equal_a_plain_estimate(spark, small):
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    languages, model = langid.learn(table, 20)
+    texts = [r.text for r in table.limit(25).collect()] + ["la le und the", "é", "x" * 5, "the und les " * 30]
+    found = langid.shares(texts, languages, model)
+    for text, share in zip(texts, found):
+        if share is None:
+            assert not any(c.isalpha() for c in text or "")
+            continue
+        raw = "".join(chr(c).lower() if chr(c).isascii() and chr(c).isalpha() else chr(c) if c >= 128 else " " for c in f" {text} ".encode())
+        counts = {}
+        for i in range(len(raw) - 2):
+            g = raw[i : i + 3]
+            if g[1] != " " or g[0] != " " and g[2] != " ":
+                code = ord(g[0]) << 16 | ord(g[1]) << 8 | ord(g[2])
+                b = (code * 2654435761 & 0xFFFFFFFF) >> 18
+                counts[b] = counts.get(b, 0) + 1
+        plain = plain_mixture([model[b].tolist() for b in counts], list(counts.values()))
+        assert all(abs(share[k] - plain.get(k, 0)) < 1e-6 for k in range(len(languages)))
+
+
+def test_texts_of_no_learned_language_go(docs, spark, small):
+    r = np.random.default_rng(3)
+    code = "".join(r.choice(list("qxzjkvwy0123456789+/"), 400))
+    foreign = ["Привет, как дела? Это просто русский текст для проверки.", "これは日本語の文章です。言語を判定します。", code]
+    good = spark.read.parquet(f"{small}/documents.parquet")
+    more = [(-1 - i, t) for i, t in enumerate([*foreign, None, "12 34"])]
+    table = good.unionByName(docs(more).select(*good.columns[:2], F.lit(None).cast("string").alias("lang"), "source", "n_chars"))
+    kept = {x.doc_id for x in langid.identified(table).select("doc_id").collect()}
+    assert kept == {x.doc_id for x in good.collect() if any(c.isalpha() for c in x.text or "")}
+    english = {x.doc_id for x in langid.identified(table, wanted={"en"}).select("doc_id").collect()}
+    assert english < kept and english

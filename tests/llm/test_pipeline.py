@@ -45,3 +45,20 @@ def test_stages_against_brute_force(spark, small):
 def test_run_returns_the_last_stage(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_stages_on_odd_rows(spark, docs, small):
+    long = "and the thing of it was " * 4000
+    text = "The and attion to thanedble the anea eriner thanea the of and that was " * 3
+    rows = [(1, text), (1, "Another " + long), (None, text.upper()), (2, None), (3, ""), (4, "12 34"), (5, text + "x"), (5, text + "x"), (5, "That was and of the anea eriner thanea attion to thanedble")]
+    kept = docs(rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = written(stage(spark, kept, small), f"{scratch(spark, 'odd')}/{name}")
+        assert kept.columns == docs([]).columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", text), ("1", "Another " + long), ("5", rows[-1][1])])
+    places = corpus_pipeline.packing(spark, kept, small).collect()
+    assert {r.doc_id for r in places} == {1, 5} and len({(r.sequence_id, r.offset) for r in places}) == len(places)
+    nothing = docs([])
+    for name, stage in corpus_pipeline.STAGES:
+        nothing = written(stage(spark, nothing, small), f"{scratch(spark, 'none')}/{name}")
+        assert nothing.count() == 0
