@@ -1,12 +1,16 @@
 """From raw documents to packed token sequences: five stages, each over all that the one before kept.
 
-language ID           documents that aren't in a learned language go (at least 0.3 of the mixture in one)
+language ID           documents go that have no letter, or more than half of whose mixture is in no learned language
 exact dedup           one row of each text stays, that with the largest id
 n-gram Jaccard join   one document of each component stays, the smallest id (five-word shingles, similarity 0.8)
 decontamination       documents with a passage of an item of `benchmark` go
 best-fit packing      the pieces of what is left, each with its place in a sequence of 2048 tokens
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of docs.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of docs, whatever they are.
+
+Edge cases: null texts and texts without a letter go in the first stage; a null id counts as the smallest one; rows that
+repeat an id with other texts are judged each by its own text, and rows that repeat both are one after exact dedup; very
+long texts are treated whole; empty documents give no rows, an empty benchmark drops nothing.
 """
 
 from __future__ import annotations
