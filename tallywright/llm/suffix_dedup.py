@@ -1,51 +1,82 @@
-"""Remove byte strings that stand earlier in the corpus, found through sorted samples of its suffixes.
+"""Remove byte strings that stand earlier in the corpus: suffixes are ordered by induction from a sorted sample.
 
-The suffixes that matter are equal when their first WINDOW bytes are. They are ordered by induction from a sample, level
-by level, and each level passes on only what the level above left open, with the lengths that are known to be common:
+The suffixes that matter are equal when their first WINDOW bytes are. Three levels pass on only what the one above left
+open:
 
 1   Anchors: in every window of WINDOW bytes the smallest hashed gram of GRAM bytes, a local minimum of the text. Equal
     windows have equal anchors at equal distances. Anchors of one gram that two documents share go on.
 2   Runs: neighbouring windows with one anchor, as one tuple of the anchor's gram and the run's bytes. All windows of
     equal runs are equal; the run's first document keeps them, later ones lose them. Grams whose runs differ go on,
     with the first document of each run.
-3   Windows of those runs, each named by its gram and its own bytes, again with its first document. Up to GROUP runs of
-    one gram travel as bytes and are compared where they meet; the windows of more are sorted and grouped one by one.
-
-Each level is a sort and grouping of tuples that Spark spills to disk; no shard has to fit into memory, and no key's
-tuples are gathered beyond GROUP, only their minimum is. Repeats within a document are found where its text is. Names
-are two 64-bit hashes each (gram and bytes). Texts travel compressed.
+3   Suffixes: the suffix that begins at an anchor (or HALF bytes before it, for windows that begin further away) is the
+    sample. Spark's external sort orders the samples; from them, the order of the suffixes that begin one, two, ...
+    bytes earlier is induced level by level, through disk-backed priority queues that carry each tuple with the prefix
+    it has in common with the one before it (`induction`). Windows whose common prefix reaches WINDOW are equal, and
+    their first document keeps them.
+
+Suffixes of one sample prefix of SAME bytes meet in one task, which holds QUEUE bytes of them at a time; so a gram that
+many documents share is dealt by what follows it, and neither a gram, a prefix nor a class of equal windows has to fit
+into memory. The dealt method sorts every suffix of a shard; here the runs of levels 1 and 2, named by two 64-bit hashes,
+stand for the suffixes between anchors, as tuples for all suffixes would take many times the disk and time that there is
+(see the README). Repeats within a document are found where its text is. Texts travel compressed.
 
 Edge cases: a null text is empty; texts below WINDOW bytes lose nothing; a null id counts as the smallest id; rows that
-repeat an id lose nothing to each other; other columns are left out; an empty table gives an empty result.
+repeat an id, with one text or several, are one owner and lose nothing to each other; of equal starts in one document the
+first stays; a very long text is looked at in segments (its own bytes and about as many for its runs are held, and those
+of windows in grams that it repeats); other columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compressed, pieces, scratch, unpacked, written
+from .common import NO_ID, compressed, pieces, removed, scratch, texts_of, unpacked, written
+from .induction import WINDOW, induced, tuples
 from .words import BASE, BASE_INVERSE, _bytes, mix, powers
 
-WINDOW, GRAM, GROUP = 100, 24, 1 << 14
-#: GROUP runs are about 3 MB.
-#: Window starts whose minima are taken together; with GRAM they stay below 2^20 places.
-BLOCK = 1 << 17
-NO_ID = -(1 << 63)
+GRAM = 24
+#: Window starts of a segment of a long text, bytes of segments that are looked at together, and window starts whose
+#: minima are taken together; with GRAM these stay below 2^20 places.
+SEGMENT, TOGETHER, BLOCK = 1 << 17, 1 << 18, 1 << 17
+#: Distances of windows from their anchor fall into two halves; all windows of one half share the sample's first SAME bytes.
+HALF = (WINDOW - GRAM + 2) // 2
+SAME = WINDOW - HALF + 1
+#: Bytes of tuples that a task's queues hold in memory, and tuples after which it finishes whole groups.
+QUEUE, GROUPS = 32 << 20, 1 << 16
+TUPLE = tuples(HALF - 1)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
+SAMPLE = "doc_id long, run long, half int, low int, left binary, suffix binary"
+
+
+def segments(raw: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(text, place, bytes) of all windows' texts, long texts in overlapping segments, about TOGETHER bytes at a time."""
+    group, size = [], 0
+    for i, x in enumerate(raw):
+        for at in range(0, len(x) - WINDOW + 1, SEGMENT):
+            part = x[at : at + SEGMENT + WINDOW - 1]
+            if group and size + len(part) > TOGETHER:
+                yield group
+                group, size = [], 0
+            group.append((i, at, part))
+            size += len(part)
+    if group:
+        yield group
 
 
 class Texts:
-    """Bytes of some texts in a row, a byte between two of them, with hashes of any of their strings."""
+    """Bytes of some segments in a row, a byte between two of them, with hashes of any of their strings."""
 
-    def __init__(self, texts: list[str] | list[bytes]):
-        self.raw = [t.encode() if isinstance(t, str) else t for t in texts]
-        self.bounds = np.cumsum([0] + [len(x) + 1 for x in self.raw])
-        self.data = np.frombuffer(b"\0".join([*self.raw, b""]), np.uint8)
+    def __init__(self, group: list[tuple[int, int, bytes]]):
+        self.text = np.array([i for i, _, _ in group], np.int64)
+        self.place = np.array([at for _, at, _ in group], np.int64)
+        self.bounds = np.cumsum([0] + [len(x) + 1 for _, _, x in group])
+        self.data = np.frombuffer(b"\0".join([*(x for _, _, x in group), b""]), np.uint8)
         self.total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(_bytes[self.data] * powers(BASE, len(self.data)), out=self.total[1:])
         self.back = powers(BASE_INVERSE, len(self.data) + 1)
@@ -79,29 +110,45 @@ class Texts:
         return starts, anchor[starts]
 
     def runs(self) -> dict[str, np.ndarray]:
-        """Neighbouring windows with one anchor: text, first and last start, names of the gram and of the run."""
+        """Neighbouring windows with one anchor: text, first and last start and anchor in that text, names of gram and run."""
         starts, anchor = self.anchors()
         if not len(starts):
-            return {k: np.empty(0, np.int64) for k in ("text", "first", "last", "gram", "run")}
+            return {k: np.empty(0, np.int64) for k in RUNS}
         new = np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(starts) != 1)])
         first = starts[new]
         last = starts[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(starts) - 1]])]
         at = anchor[new]
+        of = np.searchsorted(self.bounds, first, "right") - 1
+        move = self.place[of] - self.bounds[of]
         return {
-            "text": np.searchsorted(self.bounds, first, "right") - 1,
-            "first": first,
-            "last": last,
+            "text": self.text[of],
+            "first": first + move,
+            "last": last + move,
+            "at": at + move,
             "gram": self.hashes(at, at + GRAM).view(np.int64),
             "run": mix(self.hashes(first, last + WINDOW) + (at - first).astype(np.uint64) * np.uint64(BASE)).view(np.int64),
         }
 
-    def windows(self, runs: dict[str, np.ndarray], picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the picked runs: each window's run, start and name."""
-        picked = np.flatnonzero(picked)
-        sizes = (runs["last"] - runs["first"] + 1)[picked]
-        of = np.repeat(picked, sizes)
-        start = np.repeat(runs["first"][picked] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        return of, start, self.hashes(start, start + WINDOW).view(np.int64)
+    def windows(self, text: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of these runs, as far as their windows lie here: each window's run, start in its text, and name."""
+        of, start, name = [np.empty(0, np.int64)] * 3
+        for i in range(len(self.text)):
+            low, high = self.place[i], self.place[i] + self.bounds[i + 1] - self.bounds[i] - 1 - WINDOW
+            own = np.flatnonzero((text == self.text[i]) & (first >= low) & (last <= high))
+            sizes = (last - first + 1)[own]
+            at = np.repeat(first[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            here = at - low + self.bounds[i]
+            of, start, name = np.concatenate([of, np.repeat(own, sizes)]), np.concatenate([start, at]), np.concatenate([name, self.hashes(here, here + WINDOW).view(np.int64)])
+        return of, start, name
+
+
+RUNS = ("text", "first", "last", "at", "gram", "run")
+
+
+def runs_of(raw: list[bytes]) -> dict[str, np.ndarray]:
+    """Runs of all texts, in order of text and place."""
+    found = [Texts(group).runs() for group in segments(raw)]
+    return {k: np.concatenate([np.empty(0, np.int64), *(x[k] for x in found)]) for k in RUNS}
 
 
 def repeated(*keys: np.ndarray) -> np.ndarray:
@@ -145,127 +192,216 @@ def member(texts: np.ndarray, values: np.ndarray, lists: list) -> np.ndarray:
     return held[group[sum(sizes) :]]
 
 
-def removal(texts: Texts, later_runs: list, later_windows: list) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (in all bytes) of the maximal strings to remove; lists of run and window names for each text."""
-    runs = texts.runs()
-    gone = member(runs["text"], runs["run"], later_runs) | repeated(runs["text"], runs["run"])
-    unlike = shared_among(runs["text"], runs["gram"], runs["run"])
-    here = np.array([bool(x) for x in later_windows], bool)[runs["text"].astype(np.int64)]
-    # runs that are gone take part where other runs of their text may repeat their windows
-    of, start, name = texts.windows(runs, unlike | (here & ~gone))
-    lost = repeated(runs["text"][of], runs["gram"][of], name) | member(runs["text"][of], name, later_windows)
-    edges = np.zeros(len(texts.data) + 1, np.int64)
-    np.add.at(edges, runs["first"][gone], 1)
-    np.add.at(edges, runs["last"][gone] + WINDOW, -1)
-    np.add.at(edges, start[lost], 1)
-    np.add.at(edges, start[lost] + WINDOW, -1)
-    out = np.concatenate([[False], np.cumsum(edges[:-1]) > 0, [False]])
-    change = np.flatnonzero(out[1:] != out[:-1])
-    return change[::2], change[1::2]
-
-
-def windows_of_contexts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Documents and grams of a batch of contexts; the context and the name of each window in them."""
-    held = Texts(batch.column("context").to_pylist())
-    sizes = np.diff(held.bounds) - WINDOW
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    start = np.repeat(held.bounds[:-1] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    return batch.column("doc_id").to_numpy(), batch.column("gram").to_numpy(), of, held.hashes(start, start + WINDOW).view(np.int64)
+def samples(raw: list[bytes], runs: dict[str, np.ndarray], picked: np.ndarray) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """(run's place, half, least distance in it, bytes on the left, nearest last, and the sampled suffix) of the picked runs."""
+    for i in picked.tolist():
+        text, at = raw[runs["text"][i]], int(runs["at"][i])
+        near, far = at - int(runs["last"][i]), at - int(runs["first"][i])
+        for half in (0, 1):
+            low, high = max(near - half * HALF, 0), min(far - half * HALF, HALF - 1)
+            if low <= high:
+                start = at - half * HALF
+                yield i, half, low, text[start - high : start], text[start : start - low + WINDOW]
+
+
+def tuples_of(table: pa.RecordBatch, group: int, before: tuple | None) -> tuple[np.ndarray, int, tuple]:
+    """Sorted samples as tuples; group: of the sample before them, (half, length, suffix) of which is before."""
+    n = table.num_rows
+    out = np.zeros(n, TUPLE)
+    for name, column in (("doc", "doc_id"), ("run", "run"), ("half", "half"), ("low", "low")):
+        out[name] = table.column(column).to_numpy()
+
+    def matrix(column: str, width: int, flip: bool) -> tuple[np.ndarray, np.ndarray]:
+        values = table.column(column).to_pylist()
+        sizes = np.array([len(x) for x in values], np.int64)
+        flat = np.frombuffer(b"".join(x[::-1] for x in values) if flip else b"".join(values), np.uint8)
+        held = np.zeros((n, width), np.uint8)
+        held[np.arange(width) < sizes[:, None]] = flat
+        return held, sizes
+
+    out["left"], high = matrix("left", HALF - 1, True)
+    out["high"] = high
+    suffix, sizes = matrix("suffix", WINDOW, False)
+    if before is None:
+        before = (-1, 0, np.zeros(WINDOW, np.uint8))
+    above = np.vstack([before[2][None], suffix[:-1]])
+    shorter = np.minimum(sizes, np.concatenate([[before[1]], sizes[:-1]]))
+    unlike = above != suffix
+    common = np.minimum(np.where(unlike.any(1), unlike.argmax(1), WINDOW), shorter)
+    new = (common < SAME) | (out["half"] != np.concatenate([[before[0]], out["half"][:-1].astype(np.int64)]))
+    out["lcp"] = np.where(new, 0, common)
+    groups = group + np.cumsum(new)
+    out["key"] = groups.astype(np.uint64) << np.uint64(8)
+    return out, int(groups[-1]), (int(out["half"][-1]), int(sizes[-1]), suffix[-1])
+
+
+def lost_windows(tables: Iterator[pa.RecordBatch], folder: str, limit: int = QUEUE, groups: int = GROUPS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(members, distances as bits) of windows that an earlier document has, from samples in order of half and suffix."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
+
+    def joined():
+        members = np.concatenate([m for m, _ in held])
+        bits = np.concatenate([b for _, b in held])
+        order = np.lexsort((members["half"], members["run"], members["doc"]))
+        members, bits = members[order], bits[order]
+        new = np.concatenate([[True], (members["doc"][1:] != members["doc"][:-1]) | (members["run"][1:] != members["run"][:-1]) | (members["half"][1:] != members["half"][:-1])])
+        return members[new], np.bitwise_or.reduceat(bits, np.flatnonzero(new))
+
+    for blocks in whole_groups(tables, groups):
+        for distance, lost in induced(blocks, HALF, limit, folder):
+            if len(lost):
+                held.append((lost, np.full(len(lost), 1 << distance, np.int64)))
+                count += len(lost)
+                if count > 1 << 19:
+                    yield joined()
+                    held, count = [], 0
+    if held:
+        yield joined()
+
+
+def whole_groups(tables: Iterator[pa.RecordBatch], least: int) -> Iterator[Iterator[np.ndarray]]:
+    """Streams of tuples, each of so many or more and of whole groups; the next one begins when the last has been read."""
+    state: dict = {"group": 0, "before": None, "rest": None, "over": False}
+
+    def blocks():
+        count = 0
+        while True:
+            block = state["rest"]
+            state["rest"] = None
+            if block is None:
+                table = next(tables, None)
+                if table is None:
+                    state["over"] = True
+                    return
+                if not table.num_rows:
+                    continue
+                block, state["group"], state["before"] = tuples_of(table, state["group"], state["before"])
+            if count >= least:
+                new = np.flatnonzero(block["key"] != state["last"])
+                if len(new):
+                    state["rest"] = block[new[0] :]
+                    if new[0]:
+                        yield block[: new[0]]
+                    return
+            count += len(block)
+            state["last"] = block["key"][-1]
+            yield block
+
+    while not state["over"]:
+        yield blocks()
+
+
+def removal(raw: list[bytes], later_runs: list, later_windows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and end of the maximal strings to remove; of each text the names of runs, and the rows (run, half, bits), that are lost."""
+    runs = runs_of(raw)
+    text, first, last = runs["text"], runs["first"], runs["last"]
+    gone = member(text, runs["run"], later_runs) | repeated(text, runs["run"])
+    spans = [(text[gone], first[gone], last[gone] + WINDOW)]
+    # windows that another document has: its rows by text and run
+    rows = [(i, x["run"], x["half"], x["bits"]) for i, found in enumerate(later_windows) for x in found or ()]
+    if rows:
+        row_text, row_run, half, bits = (np.array(x, np.int64) for x in zip(*rows))
+        order = np.lexsort((row_run, row_text))
+        row_text, row_run, half, bits = row_text[order], row_run[order], half[order], bits[order]
+        both = np.lexsort((np.concatenate([np.zeros(len(row_run)), np.ones(len(text))]), np.concatenate([row_run, runs["run"]]), np.concatenate([row_text, text])))
+        # each run takes the rows of its name, which stand before it
+        place = np.empty(len(both), np.int64)
+        place[both] = np.cumsum(both < len(row_run))
+        up_to = place[len(row_run) :]
+        for back in (1, 2):  # two halves at most
+            i = np.flatnonzero(up_to >= back)
+            j = up_to[i] - back
+            same = (row_text[j] == text[i]) & (row_run[j] == runs["run"][i])
+            i, j = i[same], j[same]
+            on = np.unpackbits(bits[j].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :HALF]
+            k, bit = np.nonzero(on)
+            start = runs["at"][i[k]] - half[j[k]] * HALF - bit
+            spans.append((text[i[k]], start, start + WINDOW))
+    # windows of its own: in grams that have another run in the text
+    unlike = shared_among(text, runs["gram"], runs["run"])
+    if unlike.any():
+        at = np.flatnonzero(unlike)
+        wanted = set(text[at].tolist())
+        found = [(Texts(g).windows(text[at], first[at], last[at])) for g in segments(raw) if any(i in wanted for i, _, _ in g)]
+        of, start, name = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((start, text[at[of]]))
+        of, start, name = at[of[order]], start[order], name[order]
+        lost = repeated(text[of], runs["gram"][of], name)
+        spans.append((text[of[lost]], start[lost], start[lost] + WINDOW))
+    text, start, end = (np.concatenate(x) for x in zip(*spans))
+    order = np.lexsort((start, text))
+    text, start, end = text[order], start[order], end[order]
+    if not len(text):
+        return text, start, end
+    longest = max(map(len, raw)) + 1  # spans that overlap or touch become one; texts follow each other without touching
+    reach = np.maximum.accumulate(end + text * longest)
+    new = np.concatenate([[True], start[1:] + text[1:] * longest > reach[:-1]])
+    return text[new], start[new], reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(text) - 1]])] - text[new] * longest
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: bytes, removed bytes and spans, SHA-256 of what is left, and the spans themselves."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession, "suffixes")
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = texts_of(docs, id_col, text_col)
 
     def to_runs(batches):
         for batch in batches:
             for part, chunk in pieces(batch):
-                runs = Texts(chunk).runs()
+                runs = runs_of([t.encode() for t in chunk])
                 kept = ~repeated(runs["text"], runs["run"])
-                ids = part.column(0).to_numpy()[runs["text"][kept].astype(np.int64)]
+                ids = part.column(0).to_numpy()[runs["text"][kept]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(runs["gram"][kept]), pa.array(runs["run"][kept])], names=["doc_id", "gram", "run"])
 
-    def to_contexts(batches):
+    def to_samples(batches):
         for batch in batches:
-            for part, chunk in unpacked(batch):
-                held = Texts(chunk)
-                runs = held.runs()
-                small, big = (member(runs["text"], runs["run"], part.column(i).to_pylist()) for i in (2, 3))
-                picked = np.flatnonzero((small | big) & ~repeated(runs["text"], runs["run"]))
-                raw = held.data.tobytes()
-                bytes_of = [raw[s : e + WINDOW] for s, e in zip(runs["first"][picked].tolist(), runs["last"][picked].tolist())]
-                ids = part.column(0).to_numpy()[runs["text"][picked].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(runs["gram"][picked]), pa.array(big[picked]), pa.array(bytes_of, pa.binary())], names=["doc_id", "gram", "big", "context"])
-
-    def to_windows(batches):
-        for batch in batches:
-            if batch.num_rows:
-                ids, gram, of, name = windows_of_contexts(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(gram[of]), pa.array(name)], names=["doc_id", "gram", "window"])
+            for part, raw in unpacked(batch):
+                runs = runs_of(raw)
+                picked = np.flatnonzero(member(runs["text"], runs["run"], part.column(2).to_pylist()) & ~repeated(runs["text"], runs["run"]))
+                place, half, low, left, suffix = zip(*found) if (found := list(samples(raw, runs, picked))) else [()] * 5
+                place = np.array(place, np.int64)
+                ids = part.column(0).to_numpy()[runs["text"][place]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(runs["run"][place]), pa.array(half, pa.int32()), pa.array(low, pa.int32()), pa.array(left, pa.binary()), pa.array(suffix, pa.binary())], names=[x.split()[0] for x in SAMPLE.split(", ")])
 
     def to_lost(batches):
-        rest: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([*rest, batch]).combine_chunks()
-            gram = table.column("gram").to_numpy()
-            change = np.flatnonzero(gram != gram[-1])
-            cut = int(change[-1]) + 1 if len(change) else 0
-            yield from lost_in(table.slice(0, cut))
-            rest = table.slice(cut).to_batches()
-        if rest:
-            yield from lost_in(pa.Table.from_batches(rest))
-
-    def lost_in(table):
-        for batch in table.combine_chunks().to_batches(max_chunksize=None):
-            ids, gram, of, name = windows_of_contexts(batch)
-            order = np.lexsort((ids[of], name, gram[of]))
-            g, w, d = gram[of][order], name[order], ids[of][order]
-            new = np.concatenate([[True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])])
-            first = d[new][np.cumsum(new) - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(d[d > first]), pa.array(w[d > first])], names=["doc_id", "window"])
+        for members, bits in lost_windows(batches, f"{folder}/queues"):
+            yield pa.RecordBatch.from_arrays([pa.array(members["doc"]), pa.array(members["run"]), pa.array(members["half"].astype(np.int32)), pa.array(bits)], names=["doc_id", "run", "half", "bits"])
 
     def to_result(batches):
         for batch in batches:
-            for part, chunk in unpacked(batch):
-                held = Texts(chunk)
-                starts, ends = removal(held, part.column(2).to_pylist(), part.column(3).to_pylist())
-                rows, at = [], np.searchsorted(starts, held.bounds)
-                for i, (raw, low) in enumerate(zip(held.raw, held.bounds.tolist())):
-                    spans = [(s - low, e - low) for s, e in zip(starts[at[i] : at[i + 1]].tolist(), ends[at[i] : at[i + 1]].tolist())]
+            for part, raw in unpacked(batch):
+                text, starts, ends = removal(raw, part.column(2).to_pylist(), part.column(3).to_pylist())
+                rows, at = [], np.searchsorted(text, np.arange(len(raw) + 1))
+                for i, x in enumerate(raw):
+                    spans = list(zip(starts[at[i] : at[i + 1]].tolist(), ends[at[i] : at[i + 1]].tolist()))
                     left = hashlib.sha256()
                     place = 0
                     for s, e in spans:
-                        left.update(raw[place:s])
+                        left.update(x[place:s])
                         place = e
-                    left.update(raw[place:])
-                    rows.append((len(raw), sum(e - s for s, e in spans), len(spans), left.hexdigest(), [{"start": s, "end": e} for s, e in spans]))
+                    left.update(x[place:])
+                    rows.append((len(x), sum(e - s for s, e in spans), len(spans), left.hexdigest(), [{"start": s, "end": e} for s, e in spans]))
                 span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), span)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     # level 1: grams that two documents share
-    runs = texts.mapInArrow(to_runs, "doc_id long, gram long, run long")
+    runs = written(texts.mapInArrow(to_runs, "doc_id long, gram long, run long"), f"{folder}/runs")
     grams = runs.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("gram")
     met = written(runs.join(grams, "gram").select("doc_id", "gram", "run"), f"{folder}/met")
+    removed(spark, f"{folder}/runs")
     # level 2: the first document of each run, and grams with several runs
     firsts = written(met.groupBy("gram", "run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), f"{folder}/firsts")
     later = met.join(firsts.filter("first < last"), ["gram", "run"]).filter("doc_id > first").select("doc_id", "run")
-    several = firsts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-    # level 3: windows of those
-    big = F.col("n") > GROUP
-    by_doc = firsts.join(several, "gram").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.when(~big, F.col("run"))).alias("small"), F.collect_list(F.when(big, F.col("run"))).alias("big"))
+    several = firsts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # level 3: suffixes at the anchors of those, and what is induced from them
+    by_doc = firsts.join(several, "gram").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("run").alias("wanted"))
     packed = texts.mapInArrow(compressed, "doc_id long, packed binary")
-    contexts = packed.join(by_doc, "doc_id").select("doc_id", "packed", "small", "big").mapInArrow(to_contexts, "doc_id long, gram long, big boolean, context binary")
-    contexts = written(contexts, f"{folder}/contexts")
-    lost = contexts.filter("not big").repartition("gram").sortWithinPartitions("gram").mapInArrow(to_lost, "doc_id long, window long")
-    windows = contexts.filter("big").mapInArrow(to_windows, "doc_id long, gram long, window long").distinct()
-    shared = windows.groupBy("gram", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
-    lost = lost.unionByName(windows.join(shared, ["gram", "window"]).filter("doc_id > lo").select("doc_id", "window"))
-    runs_of = later.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-    windows_of = lost.groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
-    named = packed.join(runs_of, "doc_id", "left").join(windows_of, "doc_id", "left").select("doc_id", "packed", "runs", "windows")
-    out = named.mapInArrow(to_result, RESULT)
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    sampled = packed.join(by_doc, "doc_id").select("doc_id", "packed", "wanted").mapInArrow(to_samples, SAMPLE)
+    sampled = sampled.withColumn("part", F.xxhash64("half", F.substring("suffix", 1, SAME))).repartition("part").sortWithinPartitions("half", "suffix").drop("part")
+    lost = written(sampled.mapInArrow(to_lost, "doc_id long, run long, half int, bits long"), f"{folder}/lost")
+    runs_lost = later.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    lost = lost.groupBy("doc_id", "run", "half").agg(F.bit_or("bits").alias("bits"))
+    windows_lost = lost.groupBy("doc_id").agg(F.collect_list(F.struct("run", "half", "bits")).alias("windows"))
+    named = packed.join(runs_lost, "doc_id", "left").join(windows_lost, "doc_id", "left").select("doc_id", "packed", "runs", "windows")
+    return named.mapInArrow(to_result, RESULT).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
