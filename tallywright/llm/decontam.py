@@ -60,14 +60,14 @@ def within_radius(windows: DataFrame, items: DataFrame, keys: list[str]) -> Data
     """Rows of windows (with keys and fingerprint) and items (with keys, item and other) whose fingerprints differ in RADIUS bits at most.
 
     A block of an item stands in the index with each value that differs from it in RADIUS // BLOCKS bits at most: 2,517
-    values, 15 in 100 of the items of a window's length and block.
+    values, 15 in 100 of the items of a window's length. Some 10,000 rows an item are never broadcast.
     """
     near = [x for x in range(1 << WIDTH) if x.bit_count() <= RADIUS // BLOCKS]
     right = items.select(*keys, "item", "other", F.explode(blocks(F.col("other"))).alias("b")).select(*keys, "item", "other", "b.block", "b.bits")
     right = right.select(*keys, "item", "other", "block", "bits", F.explode(F.lit(near)).alias("mask")).withColumn("bits", F.col("bits").bitwiseXOR(F.col("mask").cast("long"))).drop("mask")
     left = windows.select("*", F.explode(blocks(F.col("fingerprint"))).alias("b")).select(*windows.columns, "b.block", "b.bits")
     close = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("other"))) <= RADIUS
-    return left.join(right, [*keys, "block", "bits"]).filter(close).select(*windows.columns, "item").distinct()
+    return left.join(right.hint("merge"), [*keys, "block", "bits"]).filter(close).select(*windows.columns, "item").distinct()
 
 
 def simhashes(windows: DataFrame, keys: list[str]) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, compressed, pieces, scratch, texts_of, unpacked, written
+from .common import NO_ID, pieces, scratch, texts_of, written
 from .components import components
 from .words import mix, shingles, words_hashed
 
@@ -319,7 +319,7 @@ def linked_rows(docs: DataFrame, size: int, num: int, den: int, id_col: str = "d
 
     def to_sets(batches):
         for batch in batches:
-            for _, chunk in unpacked(batch):
+            for _, chunk in pieces(batch):
                 sets = list(sets_of(chunk))
                 yield pa.RecordBatch.from_arrays([pa.array([digest_of(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["digest", "hashes"])
 
@@ -335,8 +335,8 @@ def linked_rows(docs: DataFrame, size: int, num: int, den: int, id_col: str = "d
     located = met.join(members, "key").join(classes.select("digest", "n_shingles", "point"), "digest")
 
     first = written(propose(chunks(located), True, num, den), f"{folder}/first")
-    packed = texts.withColumn("mark", F.xxhash64("text")).join(classes.select("doc_id", "mark"), ["doc_id", "mark"], "left_semi")
-    sets = packed.select("doc_id", "text").mapInArrow(compressed, "doc_id long, packed binary").mapInArrow(to_sets, "digest long, hashes array<long>")
+    close = texts.withColumn("mark", F.xxhash64("text")).join(classes.select("doc_id", "mark"), ["doc_id", "mark"], "left_semi")
+    sets = close.select("doc_id", "text").mapInArrow(to_sets, "digest long, hashes array<long>")
     sets = written(sets.dropDuplicates(["digest"]), f"{folder}/sets")
     links = written(verify(first, sets, num, den), f"{folder}/links1")
     label = components(links, f"{folder}/components1").withColumnRenamed("node", "digest")
