@@ -71,6 +71,8 @@ def explode_moves(moves: DataFrame) -> DataFrame:
     return moves.select("*", kind.alias("kind"), (row - 1).alias("row"), (F.ascii(F.upper(col)) - 65).alias("col"), F.when(m.rlike(across), "across").when(m.rlike(down), "down").alias("direction"), tiles.alias("tiles"))
 
 
-def leave_values(plays: DataFrame) -> DataFrame:
-    """Mean equity and plays by leave; plays: rack, used, equity_cents."""
-    return plays.withColumn("leave", leave_of(F.col("rack"), F.col("used"))).filter("leave is not null").groupBy("leave").agg(F.count("*").alias("plays"), F.sum("equity_cents").alias("equity_cents"))
+def leave_values(plays: DataFrame, racks: DataFrame) -> DataFrame:
+    """Plays and summed equity by leave; plays: id, equity_cents; racks: id, rack, used. Plays are summed by rack before racks lose their tiles."""
+    by_rack = plays.groupBy("id").agg(F.count("*").alias("plays"), F.sum("equity_cents").alias("equity_cents"))
+    rows = by_rack.join(racks, "id").withColumn("leave", leave_of(F.col("rack"), F.col("used"))).filter("leave is not null")
+    return rows.groupBy("leave").agg(F.sum("plays").alias("plays"), F.sum("equity_cents").alias("equity_cents"))

@@ -17,7 +17,7 @@ def keyset_page(rows: DataFrame, at: str, key: str, before: tuple | None, limit:
 
 def results_feed(results: DataFrame, jobs: DataFrame, before: tuple | None, limit: int) -> DataFrame:
     """Newest results with their job's type and name; the page is cut before the join."""
-    return keyset_page(results, "submitted_at", "result_id", before, limit).join(F.broadcast(jobs.select("job_id", "job_type", "p1_name", "p2_name")), "job_id")
+    return keyset_page(results, "submitted_at", "result_id", before, limit).join(jobs.select("job_id", "job_type", "p1_name", "p2_name"), "job_id")
 
 
 def progress_feed(progress: DataFrame, after: tuple | None, limit: int) -> DataFrame:

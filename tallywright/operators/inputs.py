@@ -15,14 +15,14 @@ def input_diff(staged: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def nothing_new(diff: DataFrame) -> DataFrame:
-    """Counts by disposition, and whether there is nothing to import."""
+    """Files by disposition; there is nothing to import where no row says new or collision."""
     return diff.groupBy("disposition").agg(F.count("*").alias("files"))
 
 
 def expected_data(jobs: DataFrame, needs: DataFrame, files: DataFrame) -> DataFrame:
     """(job_id, path, sha256) of the files that a job's two players and board need; needs: (owner, path)."""
     owners = jobs.select("job_id", F.explode(F.array("p1_name", "p2_name", F.concat(F.lit("board"), F.col("letterdist").cast("string")))).alias("owner")).distinct()
-    wanted = needs.join(F.broadcast(owners), "owner").select("job_id", "path").distinct()
+    wanted = needs.join(owners, "owner").select("job_id", "path").distinct()
     return wanted.join(files, "path").select("job_id", "path", "sha256")
 
 
@@ -38,7 +38,7 @@ def derived_readiness(needs: DataFrame, built: DataFrame) -> DataFrame:
     """Needs with the state of the built table (built: kind, lexicon, leaves, state), joined with nulls as values."""
     n, b = needs.alias("n"), built.alias("b")
     on = (F.col("n.kind") == F.col("b.kind")) & F.col("n.lexicon").eqNullSafe(F.col("b.lexicon")) & F.col("n.leaves").eqNullSafe(F.col("b.leaves"))
-    return n.join(F.broadcast(b), on, "left").select("n.job_id", "n.kind", "n.lexicon", "n.leaves", F.coalesce("b.state", F.lit("missing")).alias("state"))
+    return n.join(b, on, "left").select("n.job_id", "n.kind", "n.lexicon", "n.leaves", F.coalesce("b.state", F.lit("missing")).alias("state"))
 
 
 def data_gaps(claims: DataFrame) -> DataFrame:

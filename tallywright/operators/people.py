@@ -67,9 +67,14 @@ def ban_status(claims: DataFrame, bans: DataFrame) -> DataFrame:
 
 def overrun_streak(claims: DataFrame, trip: int = 3) -> DataFrame:
     """Per job: the longest run of abandoned claims without a completion between, and whether it trips."""
-    order = W.partitionBy("job_id").orderBy("claimed_at", "claim_id")
-    island = F.count_if(F.col("state") == "completed").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    runs = claims.filter("state in ('completed', 'abandoned')").withColumn("island", island).filter("state = 'abandoned'").groupBy("job_id", "island").agg(F.count("*").alias("n"))
+    # completions before a claim: those of earlier days, summed by day, and those of its own day; no window holds a whole job
+    rows = claims.filter("state in ('completed', 'abandoned')").withColumn("day", F.coalesce(F.to_date("claimed_at"), F.lit("0001-01-01").cast("date")))
+    done = F.count_if(F.col("state") == "completed")
+    days = rows.groupBy("job_id", "day").agg(done.alias("done"))
+    earlier = F.coalesce(F.sum("done").over(W.partitionBy("job_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = done.over(W.partitionBy("job_id", "day").orderBy("claimed_at", "claim_id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = rows.withColumn("own", own).join(days.select("job_id", "day", earlier.alias("earlier")), ["job_id", "day"])
+    runs = rows.withColumn("island", F.col("own") + F.col("earlier")).filter("state = 'abandoned'").groupBy("job_id", "island").agg(F.count("*").alias("n"))
     return runs.groupBy("job_id").agg(F.max("n").alias("longest"), F.count_if(F.col("n") >= trip).alias("trips"))
 
 

@@ -77,8 +77,8 @@ def validate_positions(positions: DataFrame, games: int) -> DataFrame:
         "position_repeated": c("same") > 1,
         "game_range": ~c("game_index").between(0, games - 1),
         "turn_range": ~c("turn").between(0, MAX_TURN),
-        "player": ~c("player").isin(1, 2) if "player" in positions.columns else F.lit(False),
-        "no_moves": c("num_moves") < 1 if "num_moves" in positions.columns else F.lit(False),
+        "player": ~c("player").isin(1, 2),
+        "no_moves": c("num_moves") < 1,
     }
     return violations(positions.withColumn("same", same), "record_id", rules)
 
@@ -92,15 +92,36 @@ def validate_divergences(positions: DataFrame) -> DataFrame:
 
 
 def validate_moves(moves: DataFrame) -> DataFrame:
-    """Moves by record: as many as the record says at most, scores and texts in range."""
-    rules = {"score_range": ~c("score").between(0, MAX_SCORE), "play_text": (F.length("move") > MAX_PLAY) | F.contains("move", F.lit("\0")), "rank": c("rank") < 1}
-    if "equity" in moves.columns:
-        rules["equity_range"] = ~finite(c("equity")) | (F.abs("equity") > MAX_EQUITY)
-    if "win_percentage" in moves.columns:
-        rules["win_range"] = ~c("win_percentage").between(0, 100)
+    """Moves by record and rank: scores, equity, percentage and utility in range, texts short and without NUL."""
+    rules = {
+        "score_range": ~c("score").between(0, MAX_SCORE),
+        "play_text": (F.length("move") > MAX_PLAY) | F.contains("move", F.lit("\0")),
+        "rank": c("rank") < 1,
+        "equity_range": ~finite(c("equity")) | (F.abs("equity") > MAX_EQUITY),
+        "win_range": ~c("win_percentage").between(0, 100),
+        "utility": ~c("blended_utility").between(0, 1),
+    }
     return violations(moves.withColumn("id", F.concat_ws(":", "record_id", "rank")), "id", rules)
 
 
+def validate_records(records: DataFrame) -> DataFrame:
+    """Records (record_id, num_moves, listed, position, rack, previous_move): no more moves listed than there are, texts short and without NUL."""
+    texts = ("position", "rack", "previous_move")
+    rules = {
+        "listed": c("listed") > c("num_moves"),
+        "position_length": F.length("position") > MAX_POSITION,
+        "play_length": F.greatest(F.length("rack"), F.length("previous_move")) > MAX_PLAY,
+        "nul": F.coalesce(F.contains(F.concat_ws("", *texts), F.lit("\0")), F.lit(False)),
+    }
+    return violations(records, "record_id", rules)
+
+
+def validate_deviations(results: DataFrame) -> DataFrame:
+    """Deviations of scores: finite and not negative; none where there is one game."""
+    both = F.least("p1_score_sd", "p2_score_sd"), F.greatest("p1_score_sd", "p2_score_sd")
+    return violations(results, "result_id", {"sd_range": (both[0] < 0) | ~finite(both[0]) | ~finite(both[1]), "sd_of_one": (c("games") <= 1) & (both[1] > 0)})
+
+
 #: Which fields an analysis of each kind carries (win percentage, utility, iterations).
 KINDS = {"static": (False, False, False), "sim": (True, True, True), "peg": (True, True, False), "endgame": (False, False, False)}
 
@@ -117,7 +138,7 @@ def validate_kinds(analyses: DataFrame) -> DataFrame:
 
 def validate_settings(analyses: DataFrame, configs: DataFrame) -> DataFrame:
     """Analyses that their player's settings can't make: simulations, solved endgames, inferences, plies beyond the limit."""
-    rows = analyses.join(F.broadcast(configs), "config", "left")
+    rows = analyses.join(configs, "config", "left")
     rules = {
         "unknown_player": c("can_simulate").isNull(),
         "cannot_simulate": (c("analysis") == "sim") & ~c("can_simulate"),
@@ -208,21 +229,48 @@ def validate_distribution(rows: DataFrame) -> DataFrame:
     return violations(rows.withColumn("id", F.concat_ws(":", "file", "letter")), "id", rules)
 
 
-#: Languages by the start of a lexicon's, leaves' or distribution's name; the first match counts.
-LANGUAGES = (("csw", "english"), ("nwl", "english"), ("twl", "english"), ("english", "english"), ("rd", "german"), ("german", "german"), ("fra", "french"), ("french", "french"), ("disc", "catalan"), ("catalan", "catalan"), ("osps", "polish"), ("polish", "polish"), ("nsf", "norwegian"), ("norwegian", "norwegian"))
+#: Languages by the start of a lexicon's name (leaves are named after their lexicon), and of a distribution's.
+LEXICONS = {
+    "english": ("CSW", "NWL", "OSPD", "OSW", "TWL", "America", "CEL"),
+    "german": ("RD",),
+    "norwegian": ("NSF",),
+    "catalan": ("DISC",),
+    "french": ("FRA",),
+    "polish": ("OSPS",),
+    "dutch": ("DSW",),
+}
+DISTRIBUTIONS = {x: (x,) for x in ("english", "german", "norwegian", "catalan", "polish", "dutch", "french")}
 
 
-def language_of(name: Column) -> Column:
+def language_of(name: Column, table: dict[str, tuple[str, ...]]) -> Column:
+    """The language of a file's base name, in any case; null if no start is known."""
+    base = F.lower(F.substring_index(name, "/", -1))
     out = F.when(F.lit(False), F.lit(""))
-    for prefix, language in LANGUAGES:
-        out = out.when(F.lower(name).startswith(prefix), language)
+    for language, starts in table.items():
+        for start in starts:
+            out = out.when(base.startswith(start.lower()), language)
     return out
 
 
+def unlike(a: Column, b: Column) -> Column:
+    """Whether two languages differ or one is unknown."""
+    return F.coalesce(a != b, F.lit(True))
+
+
 def validate_configs(configs: DataFrame) -> DataFrame:
-    """Lexicon, leaves and distribution of one known language."""
-    a, b, d = (language_of(c(x)) for x in ("lexicon", "leaves", "distribution"))
-    return violations(configs, "config", {"language": F.coalesce((a != b) | (b != d), F.lit(True))})
+    """One player's files (config, lexicon, leaves, distribution): leaves and distribution of the lexicon's language; unknown names go with nothing."""
+    lexicon, leaves = (language_of(c(x), LEXICONS) for x in ("lexicon", "leaves"))
+    return violations(configs, "config", {"leaves": unlike(lexicon, leaves), "distribution": unlike(lexicon, language_of(c("distribution"), DISTRIBUTIONS))})
+
+
+def validate_job_files(jobs: DataFrame, key: str = "job_id") -> DataFrame:
+    """Both players' files of a job (p1_lexicon, p1_leaves, p2_lexicon, p2_leaves, distribution): each by itself, and one language for both."""
+    lexicon, leaves = ([language_of(c(f"{p}_{x}"), LEXICONS) for p in ("p1", "p2")] for x in ("lexicon", "leaves"))
+    board = language_of(c("distribution"), DISTRIBUTIONS)
+    rules = {}
+    for i, p in enumerate(("p1", "p2")):
+        rules |= {f"{p}_leaves": unlike(lexicon[i], leaves[i]), f"{p}_distribution": unlike(lexicon[i], board)}
+    return violations(jobs, key, rules | {"lexicons_differ": unlike(*lexicon), "leaves_differ": unlike(*leaves)})
 
 
 def name_conflicts(files: DataFrame) -> DataFrame:

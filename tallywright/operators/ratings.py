@@ -26,7 +26,7 @@ def pool_evidence(results: DataFrame, jobs: DataFrame, pools: DataFrame, members
     seated = results.filter("p1 <> p2").groupBy("job_id", "p1", "p2").agg(*(F.sum(c).alias(c) for c in PENT), F.sum("games").alias("games"), F.sum(spread).alias("spread"))
     rows = seated.join(F.broadcast(scope), "job_id")
     for seat in ("p1", "p2"):
-        rows = rows.join(F.broadcast(members.select("pool", F.col("config").alias(seat))), ["pool", seat], "left_semi")
+        rows = rows.join(members.select("pool", F.col("config").alias(seat)), ["pool", seat], "left_semi")
     return rows.groupBy("pool", F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b")).agg(
         *sided, F.sum("games").alias("games"), F.sum(F.when(flipped, -F.col("spread")).otherwise(F.col("spread"))).alias("spread_sum")
     )
@@ -44,7 +44,7 @@ def cross_table(evidence: DataFrame, ratings: DataFrame) -> DataFrame:
     rated = ratings.select("pool", "config", "rating")
     cells = both_sides(evidence)
     for side in ("a", "b"):
-        cells = cells.join(F.broadcast(rated.withColumnsRenamed({"config": side, "rating": f"r{side}"})), ["pool", side])
+        cells = cells.join(rated.withColumnsRenamed({"config": side, "rating": f"r{side}"}), ["pool", side])
     error = F.when(n > 0, F.sqrt(F.greatest(variance, F.lit(0.0)) / num(n))).otherwise(F.lit(float("inf")))
     return cells.select("pool", "a", "b", n.alias("pairs"), mean.alias("actual"), expected(F.col("ra") - F.col("rb")).alias("predicted"), error.alias("stderr"), F.try_divide(F.col("spread_sum"), num(F.col("games"))).alias("spread"))
 
@@ -65,7 +65,7 @@ def pool_components(evidence: DataFrame, members: DataFrame) -> DataFrame:
     Labels spread along edges and jump to their label's label until nothing changes; rounds grow with the logarithm of
     a component's width. Each round is checkpointed, so that lineage stays short.
     """
-    edges = both_sides(evidence.filter("games > 0")).select("pool", F.col("a").alias("config"), F.col("b").alias("other"))
+    edges = both_sides(evidence.filter("games > 0")).select("pool", F.col("a").alias("config"), F.col("b").alias("other")).checkpoint()
     label = members.select("pool", "config", F.col("config").alias("component"))
     while True:
         near = edges.join(label.select("pool", F.col("config").alias("other"), F.col("component").alias("c")), ["pool", "other"]).groupBy("pool", "config").agg(F.min("c").alias("c"))
@@ -200,7 +200,7 @@ def pairings(members: DataFrame) -> DataFrame:
 def unplayed(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
     """Pairings without evidence in either seating."""
     played = evidence.select("pool", F.col("a").alias("x"), F.col("b").alias("y"))
-    return pairs.withColumns({"x": F.least("p1", "p2"), "y": F.greatest("p1", "p2")}).join(F.broadcast(played), ["pool", "x", "y"], "left_anti").drop("x", "y")
+    return pairs.withColumns({"x": F.least("p1", "p2"), "y": F.greatest("p1", "p2")}).join(played, ["pool", "x", "y"], "left_anti").drop("x", "y")
 
 
 def standings(rated: DataFrame) -> DataFrame:

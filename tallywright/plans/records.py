@@ -182,10 +182,18 @@ def quarantine_results(spark, sf_dir):
     return clean.select(F.lit(0).alias("q")).unionByName(bad.select(F.lit(1).alias("q"))).agg(F.count("*").alias("rows"), F.sum("q").alias("quarantined"))
 
 
-@query(f"SELECT record_id, 'position_repeated' AS rule FROM (SELECT *, count(*) OVER (PARTITION BY task, game_index % 2, turn) AS n FROM {sql('positions')}) WHERE n > 1")
+_FAULTY_POSITIONS = f"(SELECT record_id, task, game_index % 3 AS game_index, turn + CASE WHEN record_id % 97 = 0 THEN 401 ELSE 0 END AS turn, record_id % 4 AS player, record_id % 5 AS num_moves FROM {sql('positions')})"
+
+
+@query(
+    f"""WITH p AS (SELECT *, count(*) OVER (PARTITION BY task, game_index, turn) AS n FROM {_FAULTY_POSITIONS})
+    SELECT record_id, 'position_repeated' AS rule FROM p WHERE n > 1 UNION ALL SELECT record_id, 'game_range' FROM p WHERE game_index NOT BETWEEN 0 AND 1 UNION ALL SELECT record_id, 'turn_range' FROM p WHERE turn NOT BETWEEN 0 AND 400
+    UNION ALL SELECT record_id, 'player' FROM p WHERE player NOT IN (1, 2) UNION ALL SELECT record_id, 'no_moves' FROM p WHERE num_moves < 1"""
+)
 def validate_positions(spark, sf_dir):
     rows = Tables(spark, sf_dir).positions
-    return quality.validate_positions(rows.withColumn("game_index", F.col("game_index") % 2), 2)
+    turn = F.col("turn") + F.when(F.col("record_id") % 97 == 0, 401).otherwise(0)
+    return quality.validate_positions(rows.withColumns({"game_index": F.col("game_index") % 3, "turn": turn, "player": F.col("record_id") % 4, "num_moves": F.col("record_id") % 5}), 2)
 
 
 @query(
@@ -196,20 +204,105 @@ def validate_divergences(spark, sf_dir):
     return quality.validate_divergences(Tables(spark, sf_dir).positions.filter("record_id % 7 <> 0"))
 
 
-@query(f"SELECT CAST(record_id AS VARCHAR) || ':' || CAST(rank AS VARCHAR) AS id, 'score_range' AS rule FROM {MOVES} WHERE score - 3 < 0")
+#: Moves with faults of every kind: columns as Spark SQL and DuckDB both read them.
+_FAULTY_MOVES = {
+    "move": "CASE WHEN record_id % 31 = 0 THEN repeat('x', 257) WHEN record_id % 37 = 0 THEN 'a' || chr(0) ELSE move END",
+    "rank": "rank - CASE WHEN record_id % 41 = 0 THEN 1 ELSE 0 END",
+    "score": "score - 3",
+    "equity": "CASE WHEN record_id % 43 = 0 THEN CAST('NaN' AS DOUBLE) WHEN record_id % 47 = 0 THEN -200001.0 ELSE 200000.0 END",
+    "win_percentage": "CAST(record_id % 103 AS DOUBLE) - 1",
+    "blended_utility": "CASE WHEN record_id % 53 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN record_id % 59 = 0 THEN -0.2 ELSE 0.5 END",
+}
+_MOVE_RULES = {
+    "score_range": "score NOT BETWEEN 0 AND 100000",
+    "play_text": "length(move) > 256 OR contains(move, chr(0))",
+    "rank": "rank < 1",
+    "equity_range": "isnan(equity) OR abs(equity) > 200000",
+    "win_range": "win_percentage NOT BETWEEN 0 AND 100",
+    "utility": "blended_utility NOT BETWEEN 0 AND 1",
+}
+_MOVES_SQL = f"(SELECT record_id, {', '.join(f'{v} AS {k}' for k, v in _FAULTY_MOVES.items())} FROM {MOVES})"
+
+
+@query(" UNION ALL ".join(f"SELECT CAST(record_id AS VARCHAR) || ':' || CAST(rank AS VARCHAR) AS id, '{k}' AS rule FROM {_MOVES_SQL} WHERE {v}" for k, v in _MOVE_RULES.items()))
 def validate_moves(spark, sf_dir):
-    return quality.validate_moves(Tables(spark, sf_dir).moves.withColumn("score", F.col("score") - 3))
+    moves = Tables(spark, sf_dir).moves
+    return quality.validate_moves(moves.selectExpr("record_id", *(f"{v} AS {k}" for k, v in _FAULTY_MOVES.items())))
+
+
+_FAULTY_RECORDS = {
+    "num_moves": "record_id % 7",
+    "listed": "record_id % 5",
+    "position": "CASE WHEN record_id % 61 = 0 THEN repeat('p', 4097) ELSE 'p' END",
+    "rack": "CASE WHEN record_id % 67 = 0 THEN 'A' || chr(0) ELSE 'A' END",
+    "previous_move": "CASE WHEN record_id % 71 = 0 THEN repeat('m', 300) ELSE 'm' END",
+}
+_RECORD_RULES = {
+    "listed": "listed > num_moves",
+    "position_length": "length(position) > 4096",
+    "play_length": "greatest(length(rack), length(previous_move)) > 256",
+    "nul": "contains(rack, chr(0))",
+}
+_RECORDS_SQL = f"(SELECT record_id, {', '.join(f'{v} AS {k}' for k, v in _FAULTY_RECORDS.items())} FROM {sql('analyses')})"
+
+
+@query(" UNION ALL ".join(f"SELECT record_id, '{k}' AS rule FROM {_RECORDS_SQL} WHERE {v}" for k, v in _RECORD_RULES.items()))
+def validate_records(spark, sf_dir):
+    return quality.validate_records(Tables(spark, sf_dir).analyses.selectExpr("record_id", *(f"{v} AS {k}" for k, v in _FAULTY_RECORDS.items())))
+
+
+_DEVIATIONS = {"games": "result_id % 3", "p1_score_sd": "CAST(result_id % 13 AS DOUBLE) - 1", "p2_score_sd": "CASE WHEN result_id % 29 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE 0.0 END"}
+_DEVIATION_RULES = {"sd_range": "least(p1_score_sd, p2_score_sd) < 0 OR isinf(p2_score_sd)", "sd_of_one": "games <= 1 AND greatest(p1_score_sd, p2_score_sd) > 0"}
+_DEVIATIONS_SQL = f"(SELECT result_id, {', '.join(f'{v} AS {k}' for k, v in _DEVIATIONS.items())} FROM {sql('results')})"
+
+
+@query(" UNION ALL ".join(f"SELECT result_id, '{k}' AS rule FROM {_DEVIATIONS_SQL} WHERE {v}" for k, v in _DEVIATION_RULES.items()))
+def validate_deviations(spark, sf_dir):
+    return quality.validate_deviations(Tables(spark, sf_dir).results.selectExpr("result_id", *(f"{v} AS {k}" for k, v in _DEVIATIONS.items())))
+
+
+_LEXICON_NAMES = ("CSW24", "nwl23", "OSPD6", "OSW", "TWL06", "America", "data/lexica/CEL23", "RD29", "NSF23", "DISC2", "FRA24", "OSPS49", "dsw15", "english", "csw/odd")
+_BOARD_NAMES = ("english", "english_super", "German", "letterdistributions/norwegian", "catalan", "french", "polish", "dutch", "CSW24")
+
+
+def _named(names, expression):
+    return f"CASE ({expression}) % {len(names)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(names)) + " END"
+
+
+_FILES = {
+    "p1_lexicon": _named(_LEXICON_NAMES, "result_id"),
+    "p1_leaves": _named(_LEXICON_NAMES, "result_id + CASE WHEN result_id % 8 = 0 THEN 1 ELSE 0 END"),
+    "p2_lexicon": _named(_LEXICON_NAMES, "result_id + CASE WHEN result_id % 9 = 0 THEN 1 ELSE 0 END"),
+    "p2_leaves": _named(_LEXICON_NAMES, "result_id + CASE WHEN result_id % 9 = 0 THEN 1 ELSE 0 END"),
+    "distribution": f"CASE WHEN result_id % 4 <> 0 AND result_id % {len(_LEXICON_NAMES)} < 7 THEN 'english' ELSE {_named(_BOARD_NAMES, 'result_id')} END",
+}
+
+
+def _language(column, table):
+    base = f"lower(regexp_extract({column}, '[^/]*$'))"
+    return "CASE " + " ".join(f"WHEN starts_with({base}, '{start.lower()}') THEN '{language}'" for language, starts in table.items() for start in starts) + " END"
+
+
+_LANGUAGES = {k: _language(k, quality.DISTRIBUTIONS if k == "distribution" else quality.LEXICONS) for k in _FILES}
+_FILE_RULES = {"p1_leaves": ("p1_lexicon", "p1_leaves"), "p1_distribution": ("p1_lexicon", "distribution"), "p2_leaves": ("p2_lexicon", "p2_leaves"), "p2_distribution": ("p2_lexicon", "distribution"), "lexicons_differ": ("p1_lexicon", "p2_lexicon"), "leaves_differ": ("p1_leaves", "p2_leaves")}
+_FILES_SQL = f"(SELECT result_id, {', '.join(f'{v} AS {k}' for k, v in _LANGUAGES.items())} FROM (SELECT result_id, {', '.join(f'{v} AS {k}' for k, v in _FILES.items())} FROM {sql('results')}))"
+
+
+@query(" UNION ALL ".join(f"SELECT result_id, '{rule}' AS rule FROM {_FILES_SQL} WHERE coalesce({a} <> {b}, true)" for rule, (a, b) in _FILE_RULES.items()))
+def validate_job_files(spark, sf_dir):
+    return quality.validate_job_files(Tables(spark, sf_dir).results.selectExpr("result_id", *(f"{v} AS {k}" for k, v in _FILES.items())), "result_id")
 
 
 @query(
-    f"""WITH a AS (SELECT submission, list_distinct(list(rack)) AS keys FROM {sql("deltas")} WHERE submission % 11 <> 0 GROUP BY 1), r AS (SELECT submission, list_distinct(list(rack)) AS sent FROM {sql("deltas")} WHERE submission % 13 <> 0 AND rack % 17 <> 0 GROUP BY 1)
+    f"""WITH a AS (SELECT submission, list(rack) AS keys FROM {sql("deltas")} WHERE submission % 11 <> 0 GROUP BY 1), r AS (SELECT submission, list_distinct(list(rack)) AS sent FROM {sql("deltas")} WHERE submission % 13 <> 0 AND rack % 17 <> 0 GROUP BY 1)
     SELECT a.submission AS id, 'unknown_request' AS rule FROM a LEFT JOIN r ON r.submission = a.submission WHERE sent IS NULL UNION ALL SELECT a.submission, 'key_count' FROM a JOIN r ON r.submission = a.submission WHERE len(keys) <> len(sent)
-    UNION ALL SELECT a.submission, 'key_unknown' FROM a JOIN r ON r.submission = a.submission WHERE len(list_filter(keys, lambda x: NOT list_contains(sent, x))) > 0"""
+    UNION ALL SELECT a.submission, 'key_unknown' FROM a JOIN r ON r.submission = a.submission WHERE len(list_filter(keys, lambda x: NOT list_contains(sent, x))) > 0
+    UNION ALL SELECT a.submission, 'key_repeated' FROM a WHERE len(list_distinct(keys)) <> len(keys)"""
 )
 def validate_keys(spark, sf_dir):
     rows = Tables(spark, sf_dir).deltas
-    keys = lambda df: df.groupBy(F.col("submission").alias("id")).agg(F.collect_set("rack").alias("keys"))
-    return quality.validate_keys(keys(rows.filter("submission % 11 <> 0")), keys(rows.filter("submission % 13 <> 0 and rack % 17 <> 0")))
+    keys = lambda df, gather: df.groupBy(F.col("submission").alias("id")).agg(gather("rack").alias("keys"))
+    return quality.validate_keys(keys(rows.filter("submission % 11 <> 0"), F.collect_list), keys(rows.filter("submission % 13 <> 0 and rack % 17 <> 0"), F.collect_set))
 
 
 @query(f"SELECT result_id, 'batch_size' AS rule FROM {sql('results')} WHERE games <> (result_id % 9 + 1) * 2")
@@ -223,9 +316,10 @@ def validate_claims(spark, sf_dir):
     return quality.validate_claims(Tables(spark, sf_dir).claims.withColumn("movegens", F.col("movegens") * 1_000_000))
 
 
-@query(f"SELECT path, count(DISTINCT sha256) AS contents FROM {sql('input_data')} GROUP BY path HAVING count(DISTINCT sha256) > 1")
+@query(f"SELECT split_part(path, '/', 1) || '/' || CAST(doc_id % 97 AS VARCHAR) AS path, count(DISTINCT sha256) AS contents FROM {sql('input_data')} GROUP BY 1 HAVING count(DISTINCT sha256) > 1")
 def name_conflicts(spark, sf_dir):
-    return quality.name_conflicts(Tables(spark, sf_dir).input_data)
+    files = Tables(spark, sf_dir).input_data.withColumn("path", F.concat_ws("/", F.substring_index("path", "/", 1), F.col("doc_id") % 97))
+    return quality.name_conflicts(files)
 
 
 _COUNTERS = f"(SELECT job_id, count(*) FILTER (state = 'completed') + CAST(job_id = 7 AS INT) AS completed FROM {CLAIMS} GROUP BY job_id)"
@@ -262,7 +356,7 @@ def input_diff_counts(spark, sf_dir):
     return inputs.nothing_new(diff(Tables(spark, sf_dir)))
 
 
-_NEEDS = "(SELECT DISTINCT CASE WHEN doc_id % 12 < 9 THEN 'P' || CAST(doc_id % 12 AS VARCHAR) ELSE 'board' || CAST(doc_id % 12 - 9 AS VARCHAR) END AS owner, path FROM {src} WHERE doc_id < 4000)".replace("{src}", sql("input_data"))
+_NEEDS = "(SELECT DISTINCT CASE WHEN doc_id % 12 < 9 THEN 'P' || CAST(doc_id % 12 AS VARCHAR) ELSE 'board' || CAST(doc_id % 12 - 9 AS VARCHAR) END AS owner, path FROM {src})".replace("{src}", sql("input_data"))
 _OWNERS = f"(SELECT job_id, unnest([p1_name, p2_name, 'board' || CAST(letterdist AS VARCHAR)]) AS owner FROM {sql('jobs')})"
 
 
@@ -426,8 +520,7 @@ def leave_of(spark, sf_dir):
 @query(f"SELECT leave, count(*) AS plays, CAST(sum(equity_cents) AS BIGINT) AS equity_cents FROM (SELECT {_REST} AS leave, equity_cents FROM {sql('racks_text')} t JOIN {sql('deltas')} d ON d.rack = t.id) GROUP BY leave".replace("substring(rack", "substring(t.rack"))
 def leave_values(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    plays = t.deltas.select(F.col("rack").alias("id"), "equity_cents").join(t.racks_text, "id")
-    return boards.leave_values(plays)
+    return boards.leave_values(t.deltas.select(F.col("rack").alias("id"), "equity_cents"), t.racks_text)
 
 
 @query(

@@ -73,5 +73,6 @@ def stream_verdicts(spark, sf_dir):
     folder, t = streams.scratch(spark, "verdicts"), Tables(spark, sf_dir)
     results = streams.replayed(t.results_skewed.select("job_id", "result_id", "submitted_at", "wins", "losses", "ties", *PENT), f"{folder}/in", FILES, "submitted_at")
     streams.drained(results, folder, streams.latch_verdicts(folder, t.jobs.filter("job_type in ('games', 'game_pairs')"), ["wins", "losses", "ties", *PENT]))
-    last = spark.read.parquet(f"{folder}/verdicts").withColumn("last", F.max("version").over(streams.W.partitionBy())).filter("version = last")
-    return last.select("job_id", "verdict")
+    held = spark.read.parquet(f"{folder}/verdicts")
+    last = held.agg(F.max("version")).head()[0]
+    return held.filter(F.col("version") == last).select("job_id", "verdict")

@@ -140,8 +140,8 @@ def test_quality_of_nested_rows(spark):
     assert {(r.move_id, r.rule) for r in quality.validate_plies(plies).collect()} == {(2, "ply_order"), (2, "bingo_range")}
     occurrences = spark.createDataFrame([("b", "AAAAAAA", 5, 1.0), ("b", "AAAAAAA", 5, 1.0), ("b", "AB", 0, 9e9)], "batch string, rack string, count long, mean double")
     assert {r.rule for r in quality.validate_occurrences(occurrences, 2).collect()} == {"repeated", "tiles", "count", "mean"}
-    configs = spark.createDataFrame([(1, "CSW24", "english", "english"), (2, "CSW24", "german", "english"), (3, "odd", "odd", "odd")], "config long, lexicon string, leaves string, distribution string")
-    assert {r.config for r in quality.validate_configs(configs).collect()} == {2, 3}
+    configs = spark.createDataFrame([(1, "CSW24", "CSW24", "english"), (2, "CSW24", "RD29", "english"), (3, "odd", "odd", "odd"), (4, "x/OSPD6", "ospd6", "english_super"), (5, "DSW15", "DSW15", "dutch"), (6, "CEL23", "CEL23", "German"), (7, "english", "english", "english")], "config long, lexicon string, leaves string, distribution string")
+    assert {r.config for r in quality.validate_configs(configs).collect()} == {2, 3, 6, 7}
 
 
 def test_distribution_files(spark, tmp_path):
