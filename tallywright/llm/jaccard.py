@@ -29,10 +29,12 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NO_ID, pieces, scratch, texts_of, written
+from .common import NO_ID, PIECE_CHARS, pieces, removed, scratch, texts_of, unpacked, written
 from .components import components
 from .words import mix, shingles, words_hashed
 
@@ -40,7 +42,9 @@ from .words import mix, shingles, words_hashed
 POINT, COARSE, LEAF, INNER, PAGE = 256, 8, 32, 8, 2048
 #: Groups of up to so many points are compared without a tree.
 FEW = 12
-ROWS = "doc_id long, mark long, n_shingles long, digest long, point binary, keys array<long>"
+ROWS = "doc_id long, mark long, n_shingles long, digest long, point binary"
+#: Sets that a task remembers, so as not to send the nodes of equal ones again.
+REMEMBERED = 100_000
 #: Bits of a second-level node's name. Nodes that share a name only cost time, so a shorter name does.
 KEY = np.uint64((1 << 48) - 1)
 
@@ -263,10 +267,9 @@ def part_of(count) -> F.Column:
     return F.pmod(F.xxhash64("digest"), F.greatest(F.lit(1), F.ceil(count / PAGE)).cast("int")).cast("int")
 
 
-def chunks(located: DataFrame) -> DataFrame:
+def chunks(met: DataFrame) -> DataFrame:
     """Pages for the first round: parts of a node, each by itself."""
-    page = part_of(F.col("members")).cast("long")
-    return located.select("key", page.alias("page"), F.lit(-1).alias("side"), "digest", "n_shingles", "point", F.col("digest").alias("label"))
+    return met.select("key", part_of(F.col("members")).cast("long").alias("page"), F.lit(-1).alias("side"), "digest", F.col("digest").alias("label"))
 
 
 def meetings(labelled: DataFrame) -> DataFrame:
@@ -289,7 +292,7 @@ def meetings(labelled: DataFrame) -> DataFrame:
     with_main = F.transform(F.sequence(F.lit(0), F.col("pm") - 1), lambda m: place(1, m, p, F.lit(0)))
     of_main = F.transform(F.sequence(F.lit(0), F.col("pr") - 1), lambda o: place(1, p, o, F.lit(1)))
     places = F.when(is_main, of_main).otherwise(F.concat(with_rest, with_main))
-    return rows.select("key", F.explode(places).alias("m"), "digest", "n_shingles", "point", "label").select("key", "m.page", "m.side", "digest", "n_shingles", "point", "label")
+    return rows.select("key", F.explode(places).alias("m"), "digest", "label").select("key", "m.page", "m.side", "digest", "label")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -302,7 +305,7 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def linked_rows(docs: DataFrame, size: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, mark, n_shingles, component) of every row; mark: a hash of its text, component: a digest, null for empty sets."""
-    folder = scratch(docs.sparkSession, "jaccard")
+    spark, folder = docs.sparkSession, scratch(docs.sparkSession, "jaccard")
     texts = texts_of(docs, id_col, text_col)
 
     def sets_of(chunk):
@@ -313,45 +316,80 @@ def linked_rows(docs: DataFrame, size: int, num: int, den: int, id_col: str = "d
     def to_rows(batches):
         for batch in batches:
             for part, chunk in pieces(batch):
-                rows = [(len(x), digest_of(x), point_of(x) if len(x) else b"", keys_of(x, num, den).view(np.int64)) for x in sets_of(chunk)]
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                rows = [(len(x), digest_of(x), point_of(x) if len(x) else b"") for x in sets_of(chunk)]
+                kinds = (pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=[x.split()[0] for x in ROWS.split(", ")])
 
+    def to_keys(batches):
+        met: set[int] = set()
+        for batch in batches:
+            for _, chunk in pieces(batch, chars=PIECE_CHARS // 4):
+                keys, digests, sizes = [np.empty(0, np.uint64)], [], []
+                for x in sets_of(chunk):
+                    digest = digest_of(x)
+                    if len(x) and digest not in met:
+                        met.add(digest)
+                        keys.append(keys_of(x, num, den))
+                        digests.append(digest)
+                        sizes.append(len(keys[-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(digests, np.int64), sizes))], names=["key", "digest"])
+                if len(met) > REMEMBERED:
+                    met.clear()
+
+    def to_packed(batches):
+        pack = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
+        for batch in batches:
+            for part, chunk in pieces(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([pack(t.encode()) for t in chunk], pa.binary())], names=["doc_id", "mark", "packed"])
+
     def to_sets(batches):
         for batch in batches:
-            for _, chunk in pieces(batch):
+            for _, chunk in unpacked(batch):
                 sets = list(sets_of(chunk))
                 yield pa.RecordBatch.from_arrays([pa.array([digest_of(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["digest", "hashes"])
 
+    def sets_for(pairs: DataFrame, but: DataFrame | None, name: str) -> DataFrame:
+        """(digest, hashes) of the sets in these pairs, besides those there are; one row of each set gives them."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+        if but is not None:
+            wanted = wanted.join(but.select("digest"), "digest", "left_anti")
+        wanted = written(classes.join(wanted, "digest", "left_semi").select("doc_id", "mark"), f"{folder}/wanted-{name}")
+        if but is not None and wanted.isEmpty():
+            return but
+        packed = texts.withColumn("mark", F.xxhash64("text")).mapInArrow(to_packed, "doc_id long, mark long, packed binary")
+        packed = packed.join(wanted, ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"])
+        sets = written(packed.select("doc_id", "packed").mapInArrow(to_sets, "digest long, hashes array<long>"), f"{folder}/sets-{name}")
+        return sets if but is None else but.unionByName(sets)
+
     rows = written(texts.withColumn("mark", F.xxhash64("text")).mapInArrow(to_rows, ROWS), f"{folder}/rows")
-    # equal sets are one class; its digest goes to the nodes, and one of its rows stands for it
-    keys = rows.filter("n_shingles > 0").select("digest", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi").select("key")
-    met = written(keys.join(shared, "key").distinct(), f"{folder}/met")
-    close = met.select("digest").distinct()
-    classes = rows.filter("n_shingles > 0").drop("keys").join(close, "digest", "left_semi").dropDuplicates(["digest"])
+    # nodes where unlike sets meet; a set is named by its digest, and one of its rows stands for it
+    node = W.partitionBy("key")
+    keys = texts.mapInArrow(to_keys, "key long, digest long")
+    keys = keys.select("key", "digest", F.min("digest").over(node).alias("lo"), F.max("digest").over(node).alias("hi"), F.count("*").over(node).alias("members"))
+    met = written(keys.filter("lo < hi").select("key", "digest", "members").distinct(), f"{folder}/met")
+    classes = rows.filter("n_shingles > 0").join(met.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
     classes = written(classes, f"{folder}/classes")
-    members = met.groupBy("key").agg(F.count("*").alias("members"))
-    located = met.join(members, "key").join(classes.select("digest", "n_shingles", "point"), "digest")
+    points = classes.select("digest", "n_shingles", "point")
 
-    first = written(propose(chunks(located), True, num, den), f"{folder}/first")
-    close = texts.withColumn("mark", F.xxhash64("text")).join(classes.select("doc_id", "mark"), ["doc_id", "mark"], "left_semi")
-    sets = close.select("doc_id", "text").mapInArrow(to_sets, "digest long, hashes array<long>")
-    sets = written(sets.dropDuplicates(["digest"]), f"{folder}/sets")
+    first = written(propose(chunks(met).join(points, "digest"), True, num, den), f"{folder}/first")
+    sets = sets_for(first, None, "1")
     links = written(verify(first, sets, num, den), f"{folder}/links1")
     label = components(links, f"{folder}/components1").withColumnRenamed("node", "digest")
-    labelled = met.join(label, "digest", "left").join(classes.select("digest", "n_shingles", "point"), "digest")
-    labelled = labelled.select("key", "digest", "n_shingles", "point", F.coalesce("component", "digest").alias("label"))
-    rest = propose(meetings(labelled), False, num, den).join(first, ["a", "b"], "left_anti")
-    more = written(verify(rest, sets, num, den), f"{folder}/links2")
+    labelled = met.join(label, "digest", "left").select("key", "digest", F.coalesce("component", "digest").alias("label"))
+    rest = propose(meetings(labelled).join(points, "digest"), False, num, den).join(first, ["a", "b"], "left_anti")
+    rest = written(rest, f"{folder}/rest")
+    more = written(verify(rest, sets_for(rest, sets, "2"), num, den), f"{folder}/links2")
     label = components(links.unionByName(more), f"{folder}/components2").withColumnRenamed("node", "digest")
     out = rows.select("doc_id", "mark", "n_shingles", "digest").join(label, "digest", "left")
-    return out.select("doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "digest")).alias("component"))
+    out = out.select("doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "digest")).alias("component"))
+    out = written(out, f"{scratch(spark, 'linked')}/rows")
+    removed(spark, folder)
+    return out
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id under links of Jaccard similarity num/den or more."""
-    rows = written(linked_rows(docs, size, num, den, id_col, text_col), f"{scratch(docs.sparkSession, 'linked')}/rows")
+    rows = linked_rows(docs, size, num, den, id_col, text_col)
     least = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
     real = lambda c: F.nullif(c, F.lit(NO_ID))
     return rows.join(least, "component", "left").select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.coalesce("least", "doc_id")).alias("component_id"))
@@ -363,7 +401,7 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> D
     Rows without words stay; rows that repeat both id and text are one. Rows are told apart by id and text, never by the
     id alone.
     """
-    rows = written(linked_rows(docs, size, num, den).filter("component is not null"), f"{scratch(docs.sparkSession, 'linked')}/rows")
+    rows = linked_rows(docs, size, num, den).filter("component is not null")
     groups = rows.groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("kept"), F.count("*").alias("n")).filter("n > 1")
     gone = rows.join(groups, "component").filter(F.struct("doc_id", "mark") != F.col("kept")).select(F.col("doc_id").alias("_link_id_"), F.col("mark").alias("_link_mark_")).distinct()
     again = groups.join(rows, "component").filter(F.struct("doc_id", "mark") == F.col("kept")).groupBy("component").count().filter("count > 1")
