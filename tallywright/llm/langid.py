@@ -96,7 +96,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], n
     for keys in (["lang", F.pmod("hash", F.lit(PARTS))], ["lang"]):  # at most PARTS * sample_rows of a language meet
         turn = F.row_number().over(W.partitionBy(*keys).orderBy("hash", "doc_id"))
         ids = ids.withColumn("turn", turn).filter(F.col("turn") <= sample_rows).drop("turn")
-    sample = labelled.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("lang", "text")
+    sample = labelled.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")  # sample_rows a language at most
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
