@@ -58,8 +58,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alone = rows.join(several, ["n_bytes", "digit"], "left_anti").select("doc_id", "doc_id", F.lit(1).cast("long"), F.lit(True), "text_sha256")
 
     # texts that share length and first digit with another: one row for each digit; a level reads its own digits
-    # (the first of them begins anew, so that it needs no name for what was shared before)
-    rest = texts.join(several, ["n_bytes", "digit"], "left_semi")
+    # (the first of them begins anew, so that it needs no name for what was shared before); what is shared grows with the
+    # rows, so it is never broadcast, and the plan is the same at every size
+    rest = texts.join(several.hint("merge"), ["n_bytes", "digit"], "left_semi")
     levels = F.expr(f"1 + {' + '.join(f'int(n_bytes > {x})' for x in STARTS[1:-1])}")
     low, high = F.lit([0, *STARTS[1:-1]]), F.lit(STARTS[1:])
     digits = F.transform(F.sequence(F.lit(1), levels), lambda k: F.struct(k.alias("level"), F.substring("norm", F.element_at(low, k) + 1, F.element_at(high, k) - F.element_at(low, k)).alias("digit")))
