@@ -88,6 +88,25 @@ def nested_records(records: DataFrame, moves: DataFrame, consensus: DataFrame) -
     return records.join(each, "record_id", "left").join(agreed, ["job_id", "rack"], "left").withColumn("moves", F.coalesce("moves", empty))
 
 
+def nested_moves(moves: DataFrame, plies: DataFrame, at_most: int, below: int) -> DataFrame:
+    """(record_id, moves): the first moves of each record in rank order, each with its plies below a bound in order; both are cut before they are gathered."""
+    few = moves.filter(F.col("rank") <= at_most)
+    held = plies.filter((F.col("ply") < below) & (F.col("rank") <= at_most)).groupBy("record_id", "rank").agg(F.array_sort(F.collect_list(F.struct("ply", "play", "score"))).alias("plies"))
+    rows = few.join(held, ["record_id", "rank"], "left").withColumn("plies", F.coalesce("plies", F.array().cast("array<struct<ply:bigint,play:string,score:bigint>>")))
+    return rows.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("rank", "move", "plies"))).alias("moves"))
+
+
+def cursor_text(at: Column) -> Column:
+    """A time as the text of a page's cursor: microseconds since the epoch."""
+    return F.unix_micros(at).cast("string")
+
+
+def cursor_time(text: Column) -> Column:
+    """The time of a cursor's text; null for a negative one and for what isn't a number."""
+    micros = text.try_cast("long")
+    return F.when(micros >= 0, F.timestamp_micros(micros))
+
+
 def export_ndjson(rows: DataFrame, path: str) -> DataFrame:
     """Write one JSON object a line, compressed; returns the manifest: file, bytes, SHA-256 and rows."""
     rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)

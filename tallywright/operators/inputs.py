@@ -57,6 +57,18 @@ def skipped_tables(claims: DataFrame) -> DataFrame:
     return rows.groupBy("role").agg(F.count("*").alias("claims"), F.count_distinct("worker").alias("workers")).withColumn("place", F.array_position(F.lit(list(SKIPPABLE)), F.col("role")))
 
 
+def skips_allowed(claims: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Per job: claims whose skipped roles all are allowed for it, and the others; roles: an array, allowed: (job_id, allowed)."""
+    within = F.size(F.array_except("roles", F.coalesce("allowed", F.array().cast("array<string>")))) == 0
+    return claims.join(allowed, "job_id", "left").groupBy("job_id").agg(F.count_if(within).alias("within"), F.count_if(~within).alias("beyond"))
+
+
+def versus(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, versus): the distinct names of each key in order, as one text."""
+    names = rows.select(key, name).distinct().groupBy(key)
+    return names.agg(F.concat_ws(" vs ", F.array_sort(F.collect_list(name))).alias("versus"))
+
+
 def fleet(claims: DataFrame, as_of, days: int = 7) -> DataFrame:
     """Workers and claims by version among claims completed in the last days and claims still open."""
     since = as_of - F.expr(f"INTERVAL {days} DAYS")

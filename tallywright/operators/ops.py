@@ -23,6 +23,14 @@ def reconcile_counters(stored: DataFrame, claims: DataFrame) -> DataFrame:
     return differences(stored, recount(claims), ["worker", "is_anon"], ["tasks", "compute_ms", "movegens"])
 
 
+def reconcile_jobs(stored: DataFrame, claims: DataFrame, results: DataFrame) -> DataFrame:
+    """Jobs whose stored counters of finished tasks and games don't match the facts; each fact table is summed by job before they meet."""
+    done = claims.filter("state = 'completed'").groupBy("job_id").agg(F.count("*").alias("tasks"))
+    played = results.groupBy("job_id").agg(F.sum("games").alias("games"))
+    facts = done.join(played, "job_id", "full").fillna(0, ["tasks", "games"])
+    return differences(stored, facts, ["job_id"], ["tasks", "games"])
+
+
 def give_back(counters: DataFrame, claims: DataFrame, job: int) -> DataFrame:
     """Counters less what a purged job earned, never below 0."""
     earned = recount(claims.filter(F.col("job_id") == job)).withColumnsRenamed({v: f"e_{v}" for v in ("tasks", "compute_ms", "movegens")})

@@ -206,6 +206,12 @@ def validate_keys(answers: DataFrame, requests: DataFrame) -> DataFrame:
     return violations(rows, "id", rules)
 
 
+def validate_reissues(answers: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Answers (id, move) of a task that was issued again may name only moves that were sent with it (id, move)."""
+    sent = candidates.select("id", "move", F.lit(True).alias("sent")).distinct()
+    return violations(answers.join(sent, ["id", "move"], "left"), "id", {"not_a_candidate": c("sent").isNull()})
+
+
 def validate_batches(results: DataFrame, requests: DataFrame) -> DataFrame:
     """Batch sizes against the dispatched ones, twice as many games for pairs."""
     rows = results.join(requests.select("result_id", "dispatched", "paired"), "result_id", "left")

@@ -543,6 +543,70 @@ def move_squares(spark, sf_dir):
     return boards.explode_moves(moves).groupBy("kind", "direction", "row", "col").agg(F.count("*").alias("n"))
 
 
+# ---- nested exports, cursors, reissues and job counters
+
+_PLIES = f"(SELECT record_id, rank, ply, 'R' || CAST((record_id + rank * ply) % 5 AS VARCHAR) AS play FROM {MOVES}, range(0, 4) p(ply) WHERE rank <> 2)"
+_SPELT = f"(SELECT record_id, rank, string_agg(play, '+' ORDER BY ply) AS plies FROM {_PLIES} WHERE ply < 3 GROUP BY ALL)"
+
+
+@query(
+    f"""SELECT m.record_id, string_agg(m.move || ':' || coalesce(p.plies, ''), ',' ORDER BY m.rank) AS moves FROM {MOVES} m
+    LEFT JOIN {_SPELT} p ON p.record_id = m.record_id AND p.rank = m.rank WHERE m.rank <= 3 GROUP BY m.record_id"""
+)
+def export_plies(spark, sf_dir):
+    """Records with moves that hold plies; the stand-in gives the second move none."""
+    moves = Tables(spark, sf_dir).moves
+    plies = moves.filter("rank <> 2").select("record_id", "rank", "score", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("ply"))
+    plies = plies.withColumn("play", F.concat(F.lit("R"), ((F.col("record_id") + F.col("rank") * F.col("ply")) % 5).cast("string")))
+    spelt = lambda m: F.concat(m["move"], F.lit(":"), F.array_join(F.transform(m["plies"], lambda p: p["play"]), "+"))
+    return feeds.nested_moves(moves, plies, 3, 3).select("record_id", F.array_join(F.transform("moves", spelt), ",").alias("moves"))
+
+
+@query(f"SELECT claim_id, CASE WHEN claim_id % 7 <> 0 AND claim_id % 11 <> 0 THEN epoch_us(claimed_at) END AS back_us FROM {CLAIMS}")
+def cursor_round_trip(spark, sf_dir):
+    """Cursors of claims and back; the stand-in spoils some with a sign and some with a letter."""
+    text = feeds.cursor_text(F.col("claimed_at"))
+    spoilt = F.when(F.col("claim_id") % 7 == 0, F.concat(F.lit("-"), text)).when(F.col("claim_id") % 11 == 0, F.concat(text, F.lit("x"))).otherwise(text)
+    return Tables(spark, sf_dir).claims.select("claim_id", F.unix_micros(feeds.cursor_time(spoilt)).alias("back_us"))
+
+
+@query(f"SELECT record_id AS id, 'not_a_candidate' AS rule FROM {MOVES} m WHERE rank = 1 AND NOT EXISTS (SELECT 1 FROM {MOVES} s WHERE s.record_id = m.record_id AND s.rank > 1 AND s.move = m.move)")
+def validate_reissues(spark, sf_dir):
+    """The first move of each record as the answer, the others as what was sent."""
+    moves = Tables(spark, sf_dir).moves.withColumnRenamed("record_id", "id")
+    return quality.validate_reissues(moves.filter("rank = 1").select("id", "move"), moves.filter("rank > 1"))
+
+
+_JOB_FACTS = f"(SELECT coalesce(d.job_id, r.job_id) AS job_id, coalesce(tasks, 0) AS tasks, coalesce(games, 0) AS games FROM (SELECT job_id, count(*) AS tasks FROM {DONE} GROUP BY ALL) d FULL JOIN (SELECT job_id, CAST(sum(games) AS BIGINT) AS games FROM {sql('results')} GROUP BY ALL) r ON r.job_id = d.job_id)"
+_JOB_STORED = f"(SELECT job_id, tasks + CAST(job_id % 6 = 0 AS INT) AS tasks, games + CAST(job_id % 10 = 1 AS INT) AS games FROM {_JOB_FACTS} WHERE job_id % 13 <> 2)"
+
+
+@query(
+    f"""SELECT f.job_id, coalesce(s.tasks, 0) AS tasks, coalesce(s.games, 0) AS games, f.tasks AS fact_tasks, f.games AS fact_games FROM {_JOB_FACTS} f
+    LEFT JOIN {_JOB_STORED} s ON s.job_id = f.job_id WHERE (coalesce(s.tasks, 0), coalesce(s.games, 0)) <> (f.tasks, f.games)"""
+)
+def reconcile_jobs(spark, sf_dir):
+    """The stored side lacks some jobs, and is one off for others."""
+    t = Tables(spark, sf_dir)
+    done = t.claims.filter("state = 'completed'").groupBy("job_id").agg(F.count("*").alias("tasks"))
+    held = done.join(t.results.groupBy("job_id").agg(F.sum("games").alias("games")), "job_id", "full").fillna(0).filter("job_id % 13 <> 2")
+    held = held.select("job_id", (F.col("tasks") + (F.col("job_id") % 6 == 0).cast("int")).alias("tasks"), (F.col("games") + (F.col("job_id") % 10 == 1).cast("int")).alias("games"))
+    return ops.reconcile_jobs(held, t.claims, t.results)
+
+
+@query(f"SELECT job_id, count(*) FILTER ((skip_bits & ~(job_id % 4 + 1)) = 0) AS within, count(*) FILTER ((skip_bits & ~(job_id % 4 + 1)) <> 0) AS beyond FROM {CLAIMS} GROUP BY job_id")
+def skips_allowed(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    roles = lambda bits: F.array_compact(F.array(*(F.when(bits.bitwiseAND(1 << i) != 0, F.lit(r)) for i, r in enumerate(("wmp", "wit", "rit")))))
+    allowed = t.jobs.select("job_id", roles(F.col("job_id") % 4 + 1).alias("allowed"))
+    return inputs.skips_allowed(t.claims.select("job_id", roles(F.col("skip_bits")).alias("roles")), allowed)
+
+
+@query(f"SELECT worker, string_agg(DISTINCT version, ' vs ' ORDER BY version) AS versus FROM {CLAIMS} GROUP BY worker")
+def versions_versus(spark, sf_dir):
+    return inputs.versus(Tables(spark, sf_dir).claims, "worker", "version")
+
+
 # ---- sinks and messages
 
 
