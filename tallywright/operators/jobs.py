@@ -39,6 +39,30 @@ def job_progress(jobs: DataFrame, results: DataFrame, claims: DataFrame, as_of)
     return rows.select("job_id", played.alias("units"), F.least(F.lit(1.0), played / F.col("max_units")).alias("fraction"), F.greatest(F.lit(0.0), F.try_divide(F.col("max_units") - played, pace)).alias("eta_seconds"))
 
 
+def fewest_to_settle(margin, most) -> F.col:
+    """The fewest analyses that can settle a key."""
+    return F.greatest(F.lit(1), F.when(most > 1, F.least(margin, most)).otherwise(1))
+
+
+def other_progress(jobs: DataFrame, standings: DataFrame, generations: DataFrame, claims: DataFrame, as_of) -> DataFrame:
+    """Per rack or leave job: units (settled racks or closed generations) of their total; pace an hour and seconds left of active ones.
+
+    jobs: per_claim (racks or games of a claim), total, margin, most; standings: job_id, settled; generations: job_id,
+    closed. Racks left take the fewest analyses each, racks under way one; games of leave jobs tell no time left.
+    """
+    racks = standings.groupBy("job_id").agg(F.count("*").alias("analysed"), F.count_if("settled").alias("settled"))
+    closed = generations.groupBy("job_id").agg(F.count_if("closed").alias("closed"))
+    rows = jobs.filter("job_type in ('opening_rack', 'leave_gen')").join(racks, "job_id", "left").join(closed, "job_id", "left")
+    rows = rows.fillna(0, ["analysed", "settled", "closed"]).join(throughput(claims, as_of), "job_id", "left")
+    of_racks = F.col("job_type") == "opening_rack"
+    pace = F.when(F.col("status") == "active", F.col("per_second") * F.greatest(F.lit(1), F.col("per_claim")))
+    new, under_way = F.greatest(F.lit(0), F.col("total") - F.col("analysed")), F.greatest(F.lit(0), F.col("analysed") - F.col("settled"))
+    units = F.when(of_racks, F.col("settled")).otherwise(F.col("closed"))
+    left = new * fewest_to_settle(F.col("margin"), F.col("most")) + under_way
+    fraction = F.least(F.lit(1.0), F.try_divide(units, F.col("total")))
+    return rows.select("job_id", "job_type", units.alias("units"), F.col("total").alias("max_units"), fraction.alias("fraction"), (pace * HOUR).alias("per_hour"), F.when(of_racks, left / pace).alias("eta_seconds"))
+
+
 def stalled_jobs(jobs: DataFrame, claims: DataFrame, gaps: DataFrame, as_of) -> DataFrame:
     """Active jobs with a data gap in the last day, no completion in it and no open claim."""
     day = as_of - F.expr("INTERVAL 1 DAY")

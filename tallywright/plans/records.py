@@ -43,6 +43,26 @@ def job_progress(spark, sf_dir):
     return rounded(jobs.job_progress(t.jobs, t.results, t.claims, as_of()), "fraction", "eta_seconds")
 
 
+_OTHER = f"(SELECT *, 60 + job_id AS total FROM {sql('jobs')} WHERE job_type IN ('opening_rack', 'leave_gen'))"
+_RACKS = f"(SELECT 4 + 8 * (job_id % 5) AS job_id, count(*) AS analysed, count(*) FILTER (settled) AS settled FROM {_standings(MARGIN, MOST)} GROUP BY 1)"
+_CLOSED = f"(SELECT job_id, count(*) FILTER (n % 2 = 0) AS closed FROM (SELECT 6 + 8 * (submission % 4) AS job_id, generation, sum(n) AS n FROM {sql('deltas')} GROUP BY ALL) GROUP BY job_id)"
+
+
+@query(
+    f"""SELECT job_id, job_type, units, total AS max_units, round(least(1.0, units / total), 6) AS fraction, round(pace * 3600, 6) AS per_hour,
+    round(CASE job_type WHEN 'opening_rack' THEN (greatest(0, total - analysed) * {min(MARGIN, MOST)} + analysed - settled) / pace END, 6) AS eta_seconds FROM
+    (SELECT j.job_id, job_type, total, coalesce(analysed, 0) AS analysed, coalesce(settled, 0) AS settled, CASE job_type WHEN 'opening_rack' THEN coalesce(settled, 0) ELSE coalesce(closed, 0) END AS units,
+    CASE status WHEN 'active' THEN per_second * allocation END AS pace FROM {_OTHER} j LEFT JOIN {_RACKS} r ON r.job_id = j.job_id LEFT JOIN {_CLOSED} c ON c.job_id = j.job_id LEFT JOIN {_RECENT} t ON t.job_id = j.job_id)"""
+)
+def other_progress(spark, sf_dir):
+    """Rack and leave jobs; their standings and generations are spread over jobs of those types."""
+    t = Tables(spark, sf_dir)
+    rows = t.jobs.select("job_id", "job_type", "status", F.col("allocation").alias("per_claim"), (60 + F.col("job_id")).alias("total"), F.lit(MARGIN).alias("margin"), F.lit(MOST).alias("most"))
+    standings = t.standings.select((4 + 8 * (F.col("job_id") % 5)).alias("job_id"), "settled")
+    generations = t.deltas.groupBy((6 + 8 * (F.col("submission") % 4)).alias("job_id"), "generation").agg((F.sum("n") % 2 == 0).alias("closed"))
+    return rounded(jobs.other_progress(rows, standings, generations, t.claims, as_of()), "fraction", "per_hour", "eta_seconds")
+
+
 _GAP = f"(SELECT job_id FROM {CLAIMS} WHERE state = 'declined' AND claimed_at > TIMESTAMP '2024-01-10' - INTERVAL 1 DAY)"
 _QUIET = f"(SELECT * FROM {CLAIMS} WHERE job_id % 4 <> 0)"
 _STALLED = f"(SELECT job_id FROM {sql('jobs')} WHERE status = 'active' AND job_id IN {_GAP} AND job_id NOT IN (SELECT job_id FROM {_QUIET} WHERE state = 'completed' AND completed_at > TIMESTAMP '2024-01-10' - INTERVAL 1 DAY) AND job_id NOT IN (SELECT job_id FROM {_QUIET} WHERE state = 'claimed'))"
@@ -543,6 +563,63 @@ def move_squares(spark, sf_dir):
     return boards.explode_moves(moves).groupBy("kind", "direction", "row", "col").agg(F.count("*").alias("n"))
 
 
+_SPELT_RACK, _SPELT_USED = ("array_to_string(string_split(" + c + ", ''), '+')" for c in ("rack", "used"))
+
+
+@query(
+    f"""SELECT id, readable, CASE WHEN readable THEN {_SPELT_RACK} END AS rack1, CASE WHEN readable THEN CASE WHEN id % 13 = 6 THEN 'NY+' ELSE '' END || {_SPELT_USED} END AS rack2,
+    CASE WHEN readable THEN CAST(id % 500 - 20 AS INT) END AS score1, CASE WHEN readable THEN CAST(id % 300 AS INT) END AS score2, CASE WHEN readable THEN CAST(id % 4 AS INT) END AS zeros
+    FROM (SELECT *, id % 13 NOT BETWEEN 1 AND 5 AS readable FROM {sql("racks_text")})"""
+)
+def position_fields(spark, sf_dir):
+    """Positions of one word each; the stand-in leaves out the turns, spoils a score, leaves out a rack, adds a row, opens a bracket."""
+    rows = Tables(spark, sf_dir).racks_text
+    fault = lambda k, bad, good: F.when(F.col("id") % 13 == k, bad).otherwise(good)
+    row = F.concat("rack", (15 - F.length("rack")).cast("string"))
+    board = F.concat(row, F.repeat(F.lit("/15"), 14), fault(4, F.lit("/15"), F.lit("")))
+    second = fault(6, F.concat(F.lit("[NY]"), "used"), fault(5, F.concat(F.lit("["), "used"), F.col("used")))
+    racks = F.concat("rack", fault(3, F.lit(""), F.concat(F.lit("/"), second)))
+    scores = F.concat((F.col("id") % 500 - 20).cast("string"), F.lit("/"), fault(2, F.lit("x"), (F.col("id") % 300).cast("string")))
+    text = F.concat_ws(" ", board, racks, scores, fault(1, F.lit(None), F.concat((F.col("id") % 4).cast("string"), F.lit(" lex X;"))))
+    read = boards.position_fields(rows.select("id", text.alias("position")))
+    return read.select("id", "readable", *(F.array_join(c, "+").alias(c) for c in ("rack1", "rack2")), "score1", "score2", "zeros")
+
+
+def noted(t: Tables):
+    """Moves noted from racks: across, down, exchanges, passes and two that can't be read."""
+    n, c = (F.col("id") % 15 + 1).cast("string"), F.char(65 + F.col("id") % 15)
+    first, rest = F.substring("rack", 1, 1), F.expr("substring(rack, 2)")
+    move = (
+        F.when(F.col("id") % 5 == 0, F.concat(n, c, F.lit(" ("), first, F.lit(")"), rest))
+        .when(F.col("id") % 5 == 1, F.concat(c, n, F.lit(" "), first, F.lit("."), F.lower(rest)))
+        .when(F.col("id") % 5 == 2, F.concat(F.lit("(exch "), "rack", F.lit(")")))
+        .when(F.col("id") % 5 == 3, F.lit("pass"))
+        .otherwise(F.when(F.col("id") % 2 == 0, F.concat(F.lit("0A "), "rack")).otherwise(F.concat(F.lit("8H ("), "rack")))
+    )
+    return t.racks_text.select("id", move.alias("move"))
+
+
+@query(
+    f"""SELECT kind, direction, count(*) AS n, CAST(sum(CASE kind WHEN 'exchange' THEN length(rack) END) AS BIGINT) AS tiles, CAST(sum(CASE direction WHEN 'across' THEN length(rack) WHEN 'down' THEN length(rack) + 1 END) AS BIGINT) AS squares FROM
+    (SELECT *, CASE id % 5 WHEN 0 THEN 'play' WHEN 1 THEN 'play' WHEN 2 THEN 'exchange' WHEN 3 THEN 'pass' END AS kind, CASE id % 5 WHEN 0 THEN 'across' WHEN 1 THEN 'down' END AS direction FROM {sql("racks_text")}) GROUP BY kind, direction"""
+)
+def move_kinds(spark, sf_dir):
+    sizes = [F.sum(F.when(F.col(c).isNotNull(), F.size(c))).alias(c) for c in ("tiles", "squares")]
+    return boards.parse_moves(noted(Tables(spark, sf_dir))).groupBy("kind", "direction").agg(F.count("*").alias("n"), *sizes)
+
+
+@query(
+    f"""SELECT direction, "row", col, letter, count(*) AS n FROM (
+    SELECT 'across' AS direction, CAST(id % 15 AS INT) AS "row", CAST(id % 15 + i AS INT) AS col, substring(rack, CAST(i + 1 AS INT), 1) AS letter FROM {sql("racks_text")}, range(1, 8) t(i) WHERE id % 5 = 0 AND i < length(rack)
+    UNION ALL SELECT 'down', CAST(id % 15 + i AS INT), CAST(id % 15 AS INT), CASE WHEN i = 0 THEN substring(rack, 1, 1) ELSE lower(substring(rack, CAST(i AS INT), 1)) END FROM {sql("racks_text")}, range(9) t(i) WHERE id % 5 = 1 AND i <> 1 AND i <= length(rack)
+    ) GROUP BY ALL"""
+)
+def play_squares(spark, sf_dir):
+    """How often plays put each tile on each square."""
+    squares = boards.placed_squares(boards.parse_moves(noted(Tables(spark, sf_dir))))
+    return squares.groupBy("direction", "row", "col", "letter").agg(F.count("*").alias("n"))
+
+
 # ---- nested exports, cursors, reissues and job counters
 
 _PLIES = f"(SELECT record_id, rank, ply, 'R' || CAST((record_id + rank * ply) % 5 AS VARCHAR) AS play FROM {MOVES}, range(0, 4) p(ply) WHERE rank <> 2)"

@@ -151,3 +151,28 @@ def test_distribution_files(spark, tmp_path):
     rows = read_distributions(spark, str(tmp_path))
     assert {(r.letter, r["count"], r.is_vowel) for r in rows.collect()} == {("?", 1, 0), ("A", 3, 1), ("B", 300, 0)}
     assert [(r.id, r.rule) for r in quality.validate_distribution(rows).collect()] == [("test.csv:B", "count")]
+
+
+def test_moves_are_read_square_by_square(spark):
+    from tallywright.operators import boards
+
+    moves = ["8G HUH", "E9 (E)R.[NY]m", " pass ", "(exch A[QU]?)", "0A HAT", "8H (HAT", "8H )", "8H ()", "8H [A", "(exch [)", "", None, "99999999999A HAT"]
+    rows = boards.parse_moves(spark.createDataFrame(list(enumerate(moves)), "id int, move string")).orderBy("id").collect()
+    assert [r.kind for r in rows] == ["play", "play", "pass", "exchange", *[None] * 9]
+    assert [tuple(q) for q in rows[0].squares] == [(7, 6, "H", False), (7, 7, "U", False), (7, 8, "H", False)]
+    assert [tuple(q) for q in rows[1].squares] == [(8, 4, "E", True), (9, 4, "R", False), (10, 4, None, True), (11, 4, "NY", False), (12, 4, "m", False)]
+    assert rows[3].tiles == ["A", "QU", "?"] and rows[1].direction == "down" and rows[4].squares is None
+    assert boards.placed_squares(boards.parse_moves(spark.createDataFrame([], "id int, move string"))).count() == 0
+
+
+def test_fields_of_positions(spark):
+    from tallywright.operators import boards
+
+    good = ["A1/[NY]b AB?/ -3/20 1 lex X;", "2/2 / 0/0 0"]
+    bad = ["A1/2 AB/ 0/0", "A1/3 / 0/0 0", "A0/2 / 0/0 0", "2/2 A / 0/0 0", "2/2 A/[] 0/0 0", "2/2 / 0/1.5 0", "2/2/2 / 0/0 0", "99999999999/2 / 0/0 0", "", None]
+    rows = boards.position_fields(spark.createDataFrame(list(enumerate(good + bad)), "record_id int, position string")).orderBy("record_id").collect()
+    assert [r.readable for r in rows] == [True, True] + [False] * len(bad)
+    assert (rows[0].rack1, rows[0].rack2, rows[0].score1, rows[0].score2, rows[0].zeros) == (["A", "B", "?"], [], -3, 20, 1)
+    assert all(r.rack1 is None and r.zeros is None for r in rows[2:])
+    squares = boards.board_squares(spark.createDataFrame([(1, good[0])], "record_id int, position string"))
+    assert sorted(map(tuple, squares.collect())) == [(1, 0, 0, "A"), (1, 1, 0, "NY"), (1, 1, 1, "b")]
