@@ -94,20 +94,27 @@ def universe_counts(bag: list[int], size: int) -> list[list[int]]:
     return ways
 
 
-def multiset_universe(spark: SparkSession, bag: DataFrame, size: int) -> DataFrame:
-    """All distinct multisets of `size` tiles from a bag (letter, n, place): the tile string, letters in place order.
+def multiset_universe(spark: SparkSession, bag: DataFrame, size: int, least: int | None = None) -> DataFrame:
+    """All distinct multisets of `size` tiles (of `least` to `size`) from a bag (letter, n, place): the tile string, letters in place order.
 
     A fold over letters: each step joins the frontier with how many of the letter to take and drops what can't be filled
     any more, so the frontier never exceeds the universe's own order.
     """
     letters = bag.orderBy("place").collect()  # an alphabet
-    rest = sum(r["n"] for r in letters)
+    rest, least = sum(r["n"] for r in letters), size if least is None else least
     frontier = spark.range(1).select(F.lit("").alias("rack"), F.lit(0).alias("size"))
     for r in letters:
         rest -= r["n"]
-        take = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(size - rest) - F.col("size")), F.least(F.lit(r["n"]), F.lit(size) - F.col("size")))).alias("t")
-        frontier = frontier.filter(F.col("size") + r["n"] + rest >= size).select("rack", "size", take).select(F.concat("rack", F.repeat(F.lit(r["letter"]), F.col("t"))).alias("rack"), (F.col("size") + F.col("t")).alias("size"))
-    return frontier.filter(F.col("size") == size).select("rack")
+        take = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(least - rest) - F.col("size")), F.least(F.lit(r["n"]), F.lit(size) - F.col("size")))).alias("t")
+        frontier = frontier.filter(F.col("size") + r["n"] + rest >= least).select("rack", "size", take).select(F.concat("rack", F.repeat(F.lit(r["letter"]), F.col("t"))).alias("rack"), (F.col("size") + F.col("t")).alias("size"))
+    return frontier.filter(F.col("size").between(least, size)).select("rack")
+
+
+def write_universe(racks: DataFrame, job: int, generation: int, path: str) -> DataFrame:
+    """Write the racks of a job's generation as a table, each task its own part; (job_id, generation, racks_total) of what was written."""
+    keyed = racks.select(F.lit(job).cast("long").alias("job_id"), F.lit(generation).cast("long").alias("generation"), "rack")
+    keyed.write.mode("overwrite").parquet(path)
+    return racks.sparkSession.read.schema(keyed.schema).parquet(path).groupBy("job_id", "generation").agg(F.count("*").alias("racks_total"))
 
 
 def unrank(indices: DataFrame, letters: list[str], bag: list[int], size: int) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .jobs import task_states
+
+SCRUBBED = "[scrubbed]"
+
 
 def recount(claims: DataFrame) -> DataFrame:
     """What contributors' counters should be, both kinds of identity."""
@@ -31,6 +35,14 @@ def reconcile_jobs(stored: DataFrame, claims: DataFrame, results: DataFrame) ->
     return differences(stored, facts, ["job_id"], ["tasks", "games"])
 
 
+def reconcile_tasks(stored: DataFrame, claims: DataFrame) -> DataFrame:
+    """Tasks whose stored counters or state don't follow from their claims; a task without claims is pending."""
+    facts = task_states(claims).select("task_id", *(F.col(c).alias(f"fact_{c}") for c in ("accepted", "open", "state")))
+    held = stored.select("task_id", "accepted", "open", "state")
+    both = held.join(facts, "task_id", "full").fillna(0, ["fact_accepted", "fact_open"]).fillna("pending", ["fact_state"])
+    return both.filter(~F.struct("accepted", "open", "state").eqNullSafe(F.struct("fact_accepted", "fact_open", "fact_state")))
+
+
 def give_back(counters: DataFrame, claims: DataFrame, job: int) -> DataFrame:
     """Counters less what a purged job earned, never below 0."""
     earned = recount(claims.filter(F.col("job_id") == job)).withColumnsRenamed({v: f"e_{v}" for v in ("tasks", "compute_ms", "movegens")})
@@ -106,6 +118,13 @@ def anonymise(claims: DataFrame, salt: str) -> DataFrame:
     return claims.join(mapping, "worker").select("claim_id", "job_id", F.col("key").alias("worker"), F.lit(None).cast("string").alias("version"))
 
 
+def anonymised(table: DataFrame, salt: str, ids: list[str], blanked: list[str] = (), dropped: list[str] = ()) -> DataFrame:
+    """A table with pseudonyms for ids (the same in every table with this salt), texts blanked where there is one, and columns dropped; null ids stay null."""
+    pseudonym = lambda c: F.substring(F.sha2(F.concat(F.lit(salt), F.col(c).cast("string")), 256), 1, 12)
+    blank = {c: F.when(F.col(c).isNotNull(), F.lit(SCRUBBED)) for c in blanked}
+    return table.drop(*dropped).withColumns({**{c: pseudonym(c) for c in ids}, **blank})
+
+
 def job_purge(facts: DataFrame, jobs: list[int]) -> DataFrame:
     """What stays of a fact table when jobs go; rows without a job stay."""
     return facts.filter(~F.col("job_id").isin(jobs) | F.col("job_id").isNull())

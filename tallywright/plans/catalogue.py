@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import PENT
 from ..operators import consensus, coverage, outcomes, people, ratings
 from ..sources.standins import load, sql
+from ..streaming.streams import scratch
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -367,6 +368,18 @@ def multiset_universe(spark, sf_dir):
     return coverage.multiset_universe(spark, bag, 5)
 
 
+@query(
+    f"""WITH RECURSIVE bag AS (SELECT letter, n, row_number() OVER (ORDER BY letter) AS place FROM {_BAG}),
+    f AS (SELECT '' AS rack, 0 AS size, CAST(0 AS BIGINT) AS place UNION ALL SELECT f.rack || repeat(b.letter, CAST(t AS INT)), CAST(f.size + t AS INT), b.place FROM f JOIN bag b ON b.place = f.place + 1, range(0, 5) r(t) WHERE t <= b.n AND f.size + t <= 4)
+    SELECT CAST(8 AS BIGINT) AS job_id, CAST(1 AS BIGINT) AS generation, count(*) AS racks_total FROM f WHERE size BETWEEN 1 AND 4 AND place = (SELECT max(place) FROM bag)"""
+)
+def leave_universe(spark, sf_dir):
+    """All leaves of one to four tiles, written for a job's generation and counted where they were written."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    bag = part.groupBy(F.upper(F.substring("p_name", 1, 1)).alias("letter")).agg(F.least(F.lit(5), 1 + F.floor(F.count("*") / 100)).cast("int").alias("n")).withColumn("place", F.col("letter"))
+    return coverage.write_universe(coverage.multiset_universe(spark, bag, 4, 1), 8, 1, scratch(spark, "universe"))
+
+
 # ---- people
 
 _PSEUDO = "substring(sha256(CAST(worker AS VARCHAR)), 1, 16)"
