@@ -112,6 +112,14 @@ def replay_actions(fresh: DataFrame, snapshot: DataFrame, excluded_ids: DataFram
     return new.groupBy("target").agg(F.max_by(F.struct("action", "actor"), "audit_id").alias("last"), F.count("*").alias("actions")).select("target", "last.*", "actions")
 
 
+def apply_actions(dimension: DataFrame, actions: DataFrame, on: list[str], off: list[str], gone: list[str]) -> DataFrame:
+    """A dimension (target, banned, ...) after actions: the last one that bans or lifts a ban decides, and a deletion drops the row; without any, what was stored stays."""
+    bans = F.when(F.col("action").isin(on), True).when(F.col("action").isin(off), False)
+    last = actions.groupBy("target").agg(F.max(F.when(bans.isNotNull(), F.struct("audit_id", bans.alias("now")))).alias("last"), F.max(F.col("action").isin(gone)).alias("gone"))
+    rows = dimension.join(last, "target", "left").filter("not coalesce(gone, false)")
+    return rows.withColumn("banned", F.coalesce("last.now", "banned")).drop("last", "gone")
+
+
 def anonymise(claims: DataFrame, salt: str) -> DataFrame:
     """Claims with workers replaced through a mapping of the distinct ones, and no versions."""
     mapping = claims.select("worker").distinct().withColumn("key", F.substring(F.sha2(F.concat(F.lit(salt), F.col("worker").cast("string")), 256), 1, 12))

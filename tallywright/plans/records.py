@@ -622,6 +622,22 @@ def play_squares(spark, sf_dir):
 
 # ---- nested exports, cursors, reissues and job counters
 
+_FRESH = f"(SELECT audit_id, action, actor AS target FROM {sql('audit')} WHERE audit_id % 16 = 1)"
+
+
+@query(
+    f"""SELECT u.target, coalesce(a.now, u.target % 2 = 0) AS banned FROM (SELECT DISTINCT actor AS target FROM {sql("audit")}) u LEFT JOIN
+    (SELECT target, arg_max(action = 'user.ban', audit_id) FILTER (action IN ('user.ban', 'user.census')) AS now, bool_or(action = 'job.delete') AS gone FROM {_FRESH} GROUP BY target) a ON a.target = u.target
+    WHERE NOT coalesce(a.gone, FALSE)"""
+)
+def apply_actions(spark, sf_dir):
+    """Actors as a dimension; of the log, a sixteenth is new. A census stands for lifting a ban, a deleted job for a deletion."""
+    audit = Tables(spark, sf_dir).audit
+    users = audit.select(F.col("actor").alias("target")).distinct().withColumn("banned", F.col("target") % 2 == 0)
+    fresh = audit.filter("audit_id % 16 = 1").select("audit_id", "action", F.col("actor").alias("target"))
+    return ops.apply_actions(users, fresh, ["user.ban"], ["user.census"], ["job.delete"])
+
+
 _TASK_FACTS = f"(SELECT task_id, accepted, open, CASE WHEN accepted > 0 THEN 'completed' WHEN open > 0 THEN 'in_progress' ELSE 'pending' END AS state FROM {_TASKS})"
 
 
