@@ -8,13 +8,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task looks at together, and of an Arrow batch on its way to Python (one row at least).
 PIECE_CHARS, BATCH_BYTES = 1 << 20, 4 << 20
 #: Stands for a null id inside operators: the smallest.
 NO_ID = -(1 << 63)
+#: Words are runs without the six ASCII blanks. Rows of a slice, where rows are counted over tasks.
+WORD, SLICE = r"[^\x20\x09-\x0D]+", 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +58,19 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sliced(rows: DataFrame, path: str, *order: Column, within: tuple[Column, ...] = (), slices: int = 0, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Rows in an order, written in slices: ranges that follow each other, each sorted by one task.
+
+    slice: the slice's number; at: grows in the order within a slice. Sums of slices first, then sums inside each, give
+    running numbers over any order without one task that sees all rows. within: what orders rows whose `order` is the same,
+    for columns that are too long for the bounds of the ranges.
+    """
+    slices = max(slices, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = rows.repartitionByRange(slices, *order).sortWithinPartitions(*order, *within)
+    out = out.withColumns({"slice": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    return written(out.drop(*drop), path)
+
+
 def pieces(batch: pa.RecordBatch, text_field: int = 1, chars: int = PIECE_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of a batch with about so many bytes of text each, and the texts of each slice ('' for null)."""
     column = batch.column(text_field)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from .audit import filter_audit
 from .chat import chat_digests, format_chats
 from .common import scratch, table
 from .decontam import contaminated
 from .exact_dedup import exact_groups
 from .jaccard import jaccard_components
 from .langid import identify
+from .mixing import mix
 from .packing import pack
 from .pii import scan_pii
+from .prefix_trie import prefix_trie
 from .secrets import scan_secrets
 from .sst_output import read_shards, write_shards
 from .suffix_dedup import dedup_substrings
@@ -66,7 +69,19 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_token_shards, op4_language_id, op5_chat_format, op6_decontamination, op7_secret_scan, op8_jaccard_join, op9_pii, op10_exact_dedup)}
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_token_shards, op4_language_id, op5_chat_format, op6_decontamination, op7_secret_scan, op8_jaccard_join, op9_pii, op10_exact_dedup, op11_prefix_trie, op12_filter_audit, op13_source_mixing)}
 
 ORACLES = {
     # a text is rendered plain if it parses back to itself: no control string in any role or text, no line feed in a role
@@ -91,4 +106,56 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm)
     """,
+    "op12_filter_audit": r"""
+        WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+        m AS (
+            SELECT doc_id, part, CAST(len(words) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(words)) < 65 * len(words) AS INT)
+                + 4 * CAST(100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) AS INT)
+                + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(doc_id > least AS INT) AS mask
+            FROM w
+        ), l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+        c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l ON l.doc_id = m.doc_id GROUP BY ALL),
+        f AS (SELECT chr(65 + CAST(i AS INT)) AS f, CAST(1 << i AS INT) AS bit FROM range(5) r(i)),
+        o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+        s AS (SELECT filter_order, CAST(i AS INT) AS step, bits[i] AS bit, CAST(coalesce(list_sum(bits[1:i - 1]), 0) AS INT) AS earlier FROM o, range(1, 6) r(i)),
+        k AS (
+            SELECT part, filter_order, step, bit, sum(n) FILTER (mask & (bit | earlier) = 0) AS kept, sum(n) FILTER (mask & bit > 0 AND mask & earlier = 0) AS removed, sum(n) FILTER (mask & bit > 0 AND mask & earlier > 0) AS redundant,
+                sum(n) FILTER (mask = bit) AS unique_fails, sum(good) FILTER (mask & bit > 0 AND mask & earlier = 0) AS good_lost, sum(toxic) FILTER (mask & bit > 0 AND mask & earlier = 0) AS toxic_lost
+            FROM c, s GROUP BY ALL
+        )
+        SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+            CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley
+        FROM k
+    """,
+    # CRC-32 of a decimal number, a nibble at a time; a node's name is the digests of its turns in a row
+    "op11_prefix_trie": r"""
+        WITH RECURSIVE b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+        crc AS (
+            SELECT conv_id, CAST(conv_id AS VARCHAR) AS rest, CAST(4294967295 AS BIGINT) AS c, 0 AS bits FROM (SELECT DISTINCT conv_id FROM b)
+            UNION ALL
+            SELECT conv_id, CASE WHEN bits = 0 THEN rest[2:] ELSE rest END, CASE WHEN bits = 0 THEN xor(c, CAST(ascii(rest) AS BIGINT)) WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END, CASE WHEN bits = 0 THEN 8 ELSE bits - 1 END FROM crc WHERE bits > 0 OR rest <> ''
+        ),
+        h AS (SELECT conv_id, xor(c, CAST(4294967295 AS BIGINT)) % 4 AS h FROM crc WHERE bits = 0 AND rest = ''),
+        k AS (SELECT h.conv_id, h.h, least(h.h, (SELECT count(*) FROM b WHERE b.conv_id = h.conv_id - h.conv_id % 20)) AS taken FROM h),
+        r AS (
+            SELECT k.conv_id, place AS pos, role, text FROM k JOIN b ON b.conv_id = k.conv_id - k.conv_id % 20 AND place <= k.h
+            UNION ALL
+            SELECT k.conv_id, place - h + taken, role, text FROM k JOIN b ON b.conv_id = k.conv_id AND place > k.h
+        ),
+        p AS (
+            SELECT conv_id, pos, string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY pos) AS name, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r
+            UNION ALL
+            SELECT conv_id, 0, '', 0 FROM k
+        ),
+        e AS (SELECT conv_id, max(pos) AS length FROM p GROUP BY conv_id),
+        n AS (SELECT name, pos AS depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words, coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (pos = length), '') AS ended FROM p JOIN e ON e.conv_id = p.conv_id GROUP BY name, pos),
+        c AS (SELECT name[:-65] AS name, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+        s AS (
+            SELECT p.name, count(*) FILTER (c.name IS NULL) AS n_leaves, CAST(sum((n_convs - 1) * n.words) AS BIGINT) AS saved_tokens
+            FROM n LEFT JOIN c ON c.name = n.name JOIN p ON p.conv_id = n.conv_id AND p.pos <= n.depth GROUP BY p.name
+        )
+        SELECT n.conv_id, depth, CASE WHEN depth > 0 THEN (SELECT o.conv_id FROM n o WHERE o.name = n.name[:-65]) END AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(ended) AS ends_sha256
+        FROM n JOIN s ON s.name = n.name LEFT JOIN c ON c.name = n.name
+    """,
 }
