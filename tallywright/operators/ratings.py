@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scoring import PENT, POINTS, expected, num, pair_sample
+from ..functions.scoring import PENT, expected, num, pair_sample
+from ..scratch import shared_folder
+from .fits import DENSE, RATED, fit_pool, fit_tables
 
-#: Fixed values of the prior, the step rule and the error: virtual games, where they are halved, their floor, scale of
-#: their logistic, convergence, radius of full steps, longest step, times the prior's shift enters an error.
-PRIOR_GAMES, FADE_GAMES, FLOOR_GAMES, PRIOR_SCALE = 2.0, 200.0, 0.2, 2.0
-CONVERGED, FULL_STEP, MAX_STEP, PULL_IN_ERROR = 1e-6, 0.5, 8.0, 1.5
+
+#: What a job must share with a pool to count in it.
+SCOPE = ["variant", "letterdist", "layout"]
 
 
 def pool_evidence(results: DataFrame, jobs: DataFrame, pools: DataFrame, members: DataFrame) -> DataFrame:
     """One row per pool and head-to-head (a < b), both seatings from a's side; pair jobs in the pool's scope only."""
-    scope = jobs.filter("job_type = 'game_pairs'").join(F.broadcast(pools.select("pool", "variant")), "variant").select("job_id", "pool")
+    scope = jobs.filter("job_type = 'game_pairs'").join(pools.select("pool", *SCOPE), SCOPE).select("job_id", "pool")
     flipped = F.col("p1") > F.col("p2")
     sided = [F.sum(F.when(flipped, F.col(PENT[4 - i])).otherwise(F.col(PENT[i]))).alias(PENT[i]) for i in range(5)]
     spread = F.col("games") * (F.col("p1_score_mean") - F.col("p2_score_mean"))
     # sums per job and seating first: the facts meet the pools already small
     seated = results.filter("p1 <> p2").groupBy("job_id", "p1", "p2").agg(*(F.sum(c).alias(c) for c in PENT), F.sum("games").alias("games"), F.sum(spread).alias("spread"))
-    rows = seated.join(F.broadcast(scope), "job_id")
+    rows = seated.join(scope, "job_id")
     for seat in ("p1", "p2"):
         rows = rows.join(members.select("pool", F.col("config").alias(seat)), ["pool", seat], "left_semi")
     return rows.groupBy("pool", F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b")).agg(
@@ -65,6 +64,7 @@ def pool_components(evidence: DataFrame, members: DataFrame) -> DataFrame:
     Labels spread along edges and jump to their label's label until nothing changes; rounds grow with the logarithm of
     a component's width. Each round is checkpointed, so that lineage stays short.
     """
+    shared_folder(evidence.sparkSession)
     edges = both_sides(evidence.filter("games > 0")).select("pool", F.col("a").alias("config"), F.col("b").alias("other")).checkpoint()
     label = members.select("pool", "config", F.col("config").alias("component"))
     while True:
@@ -77,106 +77,57 @@ def pool_components(evidence: DataFrame, members: DataFrame) -> DataFrame:
             return label
 
 
-def rate_pools(evidence: DataFrame, members: DataFrame, pools: DataFrame) -> DataFrame:
-    """(pool, config, rating, stderr, pairs, connected) of every member: one small dense fit per pool, pools in parallel."""
+def rate_pools(evidence: DataFrame, members: DataFrame, pools: DataFrame, dense: int = DENSE) -> DataFrame:
+    """(pool, config, rating, stderr, pairs, connected) of every member; small pools side by side, larger ones as tables (see fits)."""
     cells = evidence.select("pool", "a", "b", sum(map(F.col, PENT[1:]), F.col(PENT[0])).cast("double").alias("g"), sum((F.col(c) * (i / 4) for i, c in enumerate(PENT)), F.lit(0.0)).alias("s"))
+    sizes = members.groupBy("pool").agg(F.count("*").alias("n"))
+    small, large = (sizes.filter(c).select("pool") for c in (F.col("n") <= dense, F.col("n") > dense))
     rows = cells.unionByName(members.select("pool", F.col("config").alias("a"), F.col("config").alias("b"), F.lit(0.0).alias("g"), F.lit(0.0).alias("s")))
-    rows = rows.join(F.broadcast(pools.select("pool", "anchor", "anchor_rating")), "pool")
-    return rows.groupBy("pool").applyInPandas(fit_pool, "pool long, config long, rating double, stderr double, pairs double, connected boolean")
-
-
-def fit_pool(cells: pd.DataFrame) -> pd.DataFrame:
-    """One pool's maximum of the concave objective by damped Newton steps, with errors from the games' information."""
-    configs = np.unique(cells[cells.a == cells.b].a.to_numpy())
-    real = cells[(cells.a != cells.b) & (cells.g > 0)]
-    i, j = np.searchsorted(configs, real.a), np.searchsorted(configs, real.b)
-    g, s, n = real.g.to_numpy(), real.s.to_numpy(), len(configs)
-    anchor = int(np.searchsorted(configs, cells.anchor.iloc[0]))
-    played = np.bincount(i, g, n) + np.bincount(j, g, n)
-    virtual = np.maximum(PRIOR_GAMES / (1 + played / FADE_GAMES), FLOOR_GAMES)
-    centred = np.eye(n) - 1 / n
-    free = np.delete(np.arange(n), anchor)
-
-    def pull(theta):
-        d = centred @ theta / PRIOR_SCALE
-        return d, 1 / (1 + np.exp(-d))
-
-    def value(theta):
-        d, (e, _) = theta[i] - theta[j], pull(theta)
-        return (s * d - g * np.logaddexp(d, 0)).sum() + (virtual * (e / 2 - np.logaddexp(e, 0))).sum()
-
-    def slopes(theta):
-        p = 1 / (1 + np.exp(theta[j] - theta[i]))
-        w, games = g * p * (1 - p), np.zeros((n, n))
-        np.add.at(games, (i, i), w)
-        np.add.at(games, (j, j), w)
-        np.add.at(games, (i, j), -w)
-        np.add.at(games, (j, i), -w)
-        real_slope = np.bincount(i, s - g * p, n) - np.bincount(j, s - g * p, n)
-        q = pull(theta)[1]
-        prior = centred.T @ (virtual * (0.5 - q)) / PRIOR_SCALE
-        bend = centred.T @ np.diag(virtual * q * (1 - q)) @ centred / PRIOR_SCALE**2
-        return real_slope, prior, games, bend
-
-    theta, now = np.zeros(n), None
-    for _ in range(1000 if len(free) else 0):
-        real_slope, prior, games, bend = slopes(theta)
-        slope, curve, damping = (real_slope + prior)[free], (games + bend)[np.ix_(free, free)], 0.0
-        while True:
-            try:
-                np.linalg.cholesky(curve + damping * np.eye(len(free)))
-                break
-            except np.linalg.LinAlgError:
-                damping = damping * 10 or 1e-12 * max(1e-12, np.abs(np.diag(curve)).max())
-        step = np.zeros(n)
-        step[free] = np.linalg.solve(curve + damping * np.eye(len(free)), slope)
-        largest, gain = np.abs(step).max(), slope @ step[free]
-        if largest < CONVERGED or gain < 1e-12:
-            break
-        scale, now = min(1.0, MAX_STEP / largest), value(theta)
-        for _ in range(60):
-            new = value(theta + scale * step)
-            if np.isfinite(new) and (scale == 1 and largest < FULL_STEP or new >= now + 1e-4 * scale * gain):
-                theta = theta + scale * step
-                break
-            scale /= 2
-        else:
-            break
-    # members that a chain of games joins to the anchor
-    reach = np.arange(n) == anchor
-    while True:
-        more = reach.copy()
-        more[i[reach[j]]] = more[j[reach[i]]] = True
-        if (more == reach).all():
-            break
-        reach = more
-    error = np.full(n, np.inf)
-    known = np.flatnonzero(reach & (played > 0) & (np.arange(n) != anchor))
-    if len(known):
-        _, prior, games, _ = slopes(theta)
-        try:
-            inverse = np.linalg.inv(games[np.ix_(known, known)])
-            variance = np.diag(inverse) + (PULL_IN_ERROR * inverse @ prior[known]) ** 2
-            good = np.isfinite(variance) & (variance > 0)
-            error[known[good]] = POINTS * np.sqrt(variance[good])
-        except np.linalg.LinAlgError:
-            pass
-    error[anchor] = 0.0
-    return pd.DataFrame({"pool": cells.pool.iloc[0], "config": configs, "rating": cells.anchor_rating.iloc[0] + POINTS * theta, "stderr": error, "pairs": played, "connected": reach & (played > 0)})
+    rows = rows.join(pools.select("pool", "anchor", "anchor_rating"), "pool").join(small, "pool", "left_semi")
+    out = rows.groupBy("pool").applyInPandas(fit_pool, RATED)
+    if large.isEmpty():
+        return out
+    cells, members, evidence = (x.join(large, "pool", "left_semi") for x in (cells, members, evidence))
+    component = pool_components(evidence, members)
+    anchors = component.join(pools.select("pool", F.col("anchor").alias("config")), ["pool", "config"]).select("pool", "component")
+    return out.unionByName(fit_tables(cells, members, pools, component.join(anchors, ["pool", "component"], "left_semi")))
+
+
+def numbered_runs(runs: DataFrame) -> DataFrame:
+    """Runs with their number in their pool's order of time: numbers of a day on top of the days before, so no task sees a pool."""
+    rows = runs.withColumn("day", F.to_date("computed_at"))
+    days = rows.groupBy("pool", "day").agg(F.count("*").alias("of_day"))
+    earlier = W.partitionBy("pool").orderBy("day").rowsBetween(W.unboundedPreceding, -1)  # a row for each day
+    days = days.withColumns({"before": F.coalesce(F.sum("of_day").over(earlier), F.lit(0)), "total": F.sum("of_day").over(W.partitionBy("pool"))}).drop("of_day")
+    inside = W.partitionBy("pool", "day").orderBy("computed_at", "run_id")
+    return rows.join(days, ["pool", "day"]).withColumn("n", F.col("before") + F.row_number().over(inside)).drop("before")
 
 
 def rating_history(runs: DataFrame, most: int = 500) -> DataFrame:
     """At most about `most` runs of each pool, evenly thinned; the first and the last stay."""
-    order = W.partitionBy("pool").orderBy("computed_at", "run_id")
-    rows = runs.withColumns({"n": F.row_number().over(order), "total": F.count("*").over(W.partitionBy("pool"))})
-    return rows.filter((F.col("total") <= most) | ((F.col("n") - 1) % F.ceil(F.col("total") / most) == 0) | (F.col("n") == F.col("total")))
+    kept = (F.col("total") <= most) | ((F.col("n") - 1) % F.ceil(F.col("total") / most) == 0) | (F.col("n") == F.col("total"))
+    return numbered_runs(runs).filter(kept).drop("day")
+
+
+def top_history(runs: DataFrame, rated: DataFrame, members: DataFrame, most: int = 500, k: int = 6) -> DataFrame:
+    """(pool, run_id, computed_at, config, rating, stderr): the thinned runs of those who are best now.
+
+    rated: a row for each run and config (pool, run_id, config, rating, stderr, connected). Best are the k members of the
+    pool that the newest run connects and rates highest.
+    """
+    newest = runs.groupBy("pool").agg(F.max_by("run_id", F.struct("computed_at", "run_id")).alias("run_id"))
+    now = rated.filter("connected").join(newest, ["pool", "run_id"], "left_semi").join(members.select("pool", "config"), ["pool", "config"], "left_semi")
+    best = top_members(now, k).select("pool", "config")
+    shown = rating_history(runs, most).select("pool", "run_id", "computed_at")
+    return rated.filter("connected").join(best, ["pool", "config"], "left_semi").join(shown, ["pool", "run_id"]).select("pool", "run_id", "computed_at", "config", "rating", "stderr")
 
 
 def thin_runs(runs: DataFrame, as_of, days: int = 30) -> DataFrame:
     """Runs that retention drops: older than `days`, neither the last of their UTC day nor the first of their pool."""
-    day = W.partitionBy("pool", F.to_date("computed_at"))
-    rows = runs.withColumns({"newest": F.row_number().over(day.orderBy(F.desc("computed_at"), F.desc("run_id"))), "oldest": F.row_number().over(W.partitionBy("pool").orderBy("computed_at", "run_id"))})
-    return rows.filter((F.col("computed_at") < as_of - F.expr(f"INTERVAL {days} DAYS")) & (F.col("newest") > 1) & (F.col("oldest") > 1)).drop("newest", "oldest")
+    newest = F.row_number().over(W.partitionBy("pool", F.to_date("computed_at")).orderBy(F.desc("computed_at"), F.desc("run_id")))
+    first = runs.groupBy("pool").agg(F.min_by("run_id", F.struct("computed_at", "run_id")).alias("run_id"))
+    rows = runs.withColumn("newest", newest).filter((F.col("computed_at") < as_of - F.expr(f"INTERVAL {days} DAYS")) & (F.col("newest") > 1)).drop("newest")
+    return rows.join(first, ["pool", "run_id"], "left_anti").select(*runs.columns)
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
@@ -204,17 +155,24 @@ def unplayed(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def standings(rated: DataFrame) -> DataFrame:
-    """Members in the order of a cross table: connected ones first, then by rating."""
-    return rated.orderBy(F.desc("connected"), F.desc("rating"), "config")
+    """Members with their place in the order of a cross table: connected ones first, then by rating."""
+    place = F.row_number().over(W.partitionBy("pool").orderBy(F.desc("connected"), F.desc("rating"), "config"))
+    return rated.withColumn("place", place.cast("long"))
+
+
+def worst_residuals(cells: DataFrame, k: int) -> DataFrame:
+    """The k head-to-heads of all pools that are furthest from what their ratings predict, worst first."""
+    off = F.abs(F.col("actual") - F.col("predicted"))
+    return cells.filter("a < b").withColumn("off", off).orderBy(F.desc("off"), "pool", "a", "b").limit(k)
 
 
 def rating_bounds(rated: DataFrame, times: float = 1.96, most: float = 400.0) -> DataFrame:
     """Visible errors of at most so many points, and each pool's range of them with a margin of 8 % or 10 points."""
     error = F.least(F.col("stderr") * times, F.lit(most))
     rows = rated.withColumns({"low": F.col("rating") - error, "high": F.col("rating") + error})
-    pool = W.partitionBy("pool")
-    margin = F.greatest(F.lit(10.0), 0.08 * (F.max("high").over(pool) - F.min("low").over(pool)))
-    return rows.select("pool", "config", "low", "high", (F.min("low").over(pool) - margin).alias("axis_low"), (F.max("high").over(pool) + margin).alias("axis_high"))
+    ends = rows.groupBy("pool").agg(F.min("low").alias("least"), F.max("high").alias("most"))
+    margin = F.greatest(F.lit(10.0), 0.08 * (F.col("most") - F.col("least")))
+    return rows.join(ends, "pool").select("pool", "config", "low", "high", (F.col("least") - margin).alias("axis_low"), (F.col("most") + margin).alias("axis_high"))
 
 
 def top_members(rated: DataFrame, k: int = 6) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import PENT
 from ..operators import consensus, coverage, outcomes, people, ratings
 from ..sources.standins import load, sql
-from ..streaming.streams import scratch
+from ..scratch import scratch
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -50,7 +50,7 @@ class Tables:
 
     @property
     def pools(self) -> DataFrame:
-        return self.spark.sql("SELECT * FROM VALUES (0L, 0L, 0L, 2000.0D), (1L, 1L, 2L, 2000.0D) AS t(pool, variant, anchor, anchor_rating)")
+        return self.spark.sql("SELECT * FROM VALUES (0L, 0L, 0L, 0L, 0L, 2000.0D), (1L, 1L, 0L, 0L, 2L, 2000.0D) AS t(pool, variant, letterdist, layout, anchor, anchor_rating)")
 
     @property
     def members(self) -> DataFrame:
@@ -84,7 +84,7 @@ class Tables:
 
 CLAIMS = f"(SELECT *, CASE WHEN state = 'completed' THEN claimed_at + held_ms * INTERVAL 1 MILLISECOND END AS completed_at FROM {sql('claims')})"
 DONE = f"(SELECT * FROM {CLAIMS} WHERE state = 'completed')"
-POOLS = "(VALUES (0, 0, 0, 2000.0), (1, 1, 2, 2000.0)) AS pools(pool, variant, anchor, anchor_rating)"
+POOLS = "(VALUES (0, 0, 0, 0, 0, 2000.0), (1, 1, 0, 0, 2, 2000.0)) AS pools(pool, variant, letterdist, layout, anchor, anchor_rating)"
 MEMBERS = "(SELECT 0 AS pool, i AS config, i AS seat FROM range(6) t(i) UNION ALL SELECT 1, i, 8 - i FROM range(2, 9) t(i))"
 MOVES = f"(SELECT record_id, rank, CASE WHEN rank = 1 THEN top_move ELSE 'M' || CAST((record_id + rank) % 7 AS VARCHAR) END AS move, record_id * rank % 60 AS score FROM {sql('analyses')}, range(1, 6) t(rank))"
 FOLDED = f"(SELECT generation, rack, CAST(sum(n) AS BIGINT) AS n, CAST(sum(equity_cents) AS BIGINT) AS equity_cents FROM {sql('deltas')} GROUP BY ALL)"
@@ -151,12 +151,12 @@ def pair_outcomes(spark, sf_dir):
 
 _EVIDENCE = f"""(SELECT pools.pool, least(p1, p2) AS a, greatest(p1, p2) AS b, {', '.join(f'CAST(sum(CASE WHEN p1 > p2 THEN {PENT[4 - i]} ELSE {PENT[i]} END) AS BIGINT) AS {PENT[i]}' for i in range(5))},
     CAST(sum(games) AS BIGINT) AS games, sum(games * (p1_score_mean - p2_score_mean) * CASE WHEN p1 > p2 THEN -1 ELSE 1 END) AS spread_sum
-    FROM {sql('results')} r JOIN {sql('jobs')} j ON j.job_id = r.job_id JOIN {POOLS} ON pools.variant = j.variant JOIN {MEMBERS} x ON x.pool = pools.pool AND x.config = p1 JOIN {MEMBERS} y ON y.pool = pools.pool AND y.config = p2
+    FROM {sql('results')} r JOIN {sql('jobs')} j ON j.job_id = r.job_id JOIN {POOLS} ON pools.variant = j.variant AND pools.letterdist = j.letterdist AND pools.layout = j.layout JOIN {MEMBERS} x ON x.pool = pools.pool AND x.config = p1 JOIN {MEMBERS} y ON y.pool = pools.pool AND y.config = p2
     WHERE j.job_type = 'game_pairs' AND p1 <> p2 GROUP BY ALL)"""
 
 
-def evidence(t: Tables) -> DataFrame:
-    return ratings.pool_evidence(t.results, t.jobs, t.pools, t.members)
+def evidence(t: Tables, results: DataFrame | None = None) -> DataFrame:
+    return ratings.pool_evidence(t.results if results is None else results, t.jobs, t.pools, t.members)
 
 
 @query(f"SELECT CAST(pool AS BIGINT) AS pool, * EXCLUDE (pool) FROM {_EVIDENCE}")
@@ -184,10 +184,54 @@ def residual_report(spark, sf_dir):
     return rounded(ratings.residual_report(ratings.cross_table(evidence(t), t.ratings)), "residual", "z")
 
 
-@query()
+#: The same maximum by steps along the slope, a member at a time scaled by a bound of its curvature; errors by Jacobi steps.
+_FIT = f"""(WITH RECURSIVE side AS (SELECT pool, a, b, {' + '.join(PENT)} AS g, pent_1 * 0.25 + pent_2 * 0.5 + pent_3 * 0.75 + pent_4 AS s FROM {_SIDES.replace(sql('results'), sql('results_skewed'))}),
+    node AS (
+        SELECT m.pool, m.config, count(*) OVER (PARTITION BY m.pool) AS n, coalesce(p.g, 0) AS pairs, greatest(2 / (1 + coalesce(p.g, 0) / 200), 0.2) AS v, m.config = pools.anchor AS pinned, anchor_rating
+        FROM {MEMBERS} m JOIN {POOLS} ON pools.pool = m.pool LEFT JOIN (SELECT pool, a, sum(g) AS g FROM side GROUP BY ALL) p ON p.pool = m.pool AND p.a = m.config
+    ),
+    fit AS (
+        SELECT 0 AS step, pool, config, CAST(0 AS DOUBLE) AS t FROM node UNION ALL
+        SELECT step + 1, pool, config, CASE WHEN pinned THEN 0 ELSE t + (slope + pull - avg(pull) OVER (PARTITION BY pool)) / (pairs / 2 + 0.25) END FROM (
+            SELECT f.step, f.pool, f.config, f.t, pinned, pairs, slope, v * (0.5 - 1 / (1 + exp((avg(f.t) OVER (PARTITION BY f.pool) - f.t) / 2))) / 2 AS pull
+            FROM fit f JOIN node ON node.pool = f.pool AND node.config = f.config
+            LEFT JOIN (SELECT x.pool, x.config, sum(s - g / (1 + exp(y.t - x.t))) AS slope FROM fit x JOIN side ON side.pool = x.pool AND side.a = x.config JOIN fit y ON y.pool = side.pool AND y.config = side.b GROUP BY ALL
+                UNION ALL SELECT pool, config, 0 FROM node WHERE pairs = 0) z ON z.pool = f.pool AND z.config = f.config
+            WHERE f.step < 1200
+        )
+    ),
+    best AS (SELECT pool, config, t FROM fit WHERE step = 1200),
+    near AS (SELECT pool, anchor AS config FROM {POOLS} UNION SELECT near.pool, side.b FROM near JOIN side ON side.pool = near.pool AND side.a = near.config),
+    known AS (SELECT node.pool, node.config FROM node JOIN near ON near.pool = node.pool AND near.config = node.config WHERE NOT pinned AND pairs > 0),
+    weighed AS (SELECT side.pool, side.a, side.b, g / (1 + exp(y.t - x.t)) / (1 + exp(x.t - y.t)) AS w FROM side JOIN best x ON x.pool = side.pool AND x.config = side.a JOIN best y ON y.pool = side.pool AND y.config = side.b),
+    degree AS (SELECT pool, a AS config, sum(w) AS d FROM weighed GROUP BY ALL),
+    inverse AS (
+        SELECT 0 AS step, i.pool, i.config AS i, c.config AS c, CAST(0 AS DOUBLE) AS x FROM known i JOIN known c ON c.pool = i.pool UNION ALL
+        SELECT any_value(v.step) + 1, v.pool, v.i, v.c, (CAST(v.i = v.c AS INT) + coalesce(sum(w * u.x), 0)) / any_value(d) FROM inverse v JOIN degree ON degree.pool = v.pool AND degree.config = v.i
+        JOIN weighed ON weighed.pool = v.pool AND weighed.a = v.i LEFT JOIN inverse u ON u.pool = v.pool AND u.i = weighed.b AND u.c = v.c WHERE v.step < 1200 GROUP BY v.pool, v.i, v.c
+    ),
+    pulls AS (SELECT pool, config, pull - avg(pull) OVER (PARTITION BY pool) AS prior FROM (SELECT node.pool, node.config, v * (0.5 - 1 / (1 + exp((avg(t) OVER (PARTITION BY node.pool) - t) / 2))) / 2 AS pull FROM node JOIN best ON best.pool = node.pool AND best.config = node.config)),
+    errors AS (SELECT e.pool, e.i AS config, 250 * sqrt(sum(x) FILTER (i = c) + (1.5 * sum(x * prior)) ** 2) AS error FROM inverse e JOIN pulls ON pulls.pool = e.pool AND pulls.config = e.c WHERE step = 1200 GROUP BY ALL)
+    SELECT CAST(node.pool AS BIGINT) AS pool, node.config, anchor_rating + 250 * t AS rating, CASE WHEN pinned THEN 0 ELSE coalesce(error, CAST('inf' AS DOUBLE)) END AS stderr, CAST(pairs AS DOUBLE) AS pairs, near.config IS NOT NULL AND pairs > 0 AS connected
+    FROM node JOIN best ON best.pool = node.pool AND best.config = node.config LEFT JOIN near ON near.pool = node.pool AND near.config = node.config LEFT JOIN errors ON errors.pool = node.pool AND errors.config = node.config)"""
+
+
+@query(f"SELECT pool, config, round(rating, 4) AS rating, round(stderr, 4) AS stderr, pairs, connected FROM {_FIT}")
 def rate_pools(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return rounded(ratings.rate_pools(evidence(t), t.members, t.pools), "rating", "stderr")
+    return ratings.rate_pools(evidence(t, t.results_skewed), t.members, t.pools).withColumns({n: F.round(n, 4) for n in ("rating", "stderr")})
+
+
+@query(f"SELECT pool, config, round(rating, 4) AS rating, connected, row_number() OVER (PARTITION BY pool ORDER BY connected DESC, rating DESC, config) AS place FROM {_FIT}")
+def pool_standings(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return ratings.standings(ratings.rate_pools(evidence(t, t.results_skewed), t.members, t.pools)).select("pool", "config", F.round("rating", 4).alias("rating"), "connected", "place")
+
+
+@query(f"SELECT CAST(pool AS BIGINT) AS pool, a, b, round(abs(actual - predicted), 6) AS off FROM {_CELLS} WHERE a < b ORDER BY abs(actual - predicted) DESC, pool, a, b LIMIT 20")
+def worst_residuals(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return rounded(ratings.worst_residuals(ratings.cross_table(evidence(t), t.ratings), 20).select("pool", "a", "b", "off"), "off")
 
 
 @query(
@@ -197,10 +241,6 @@ def rate_pools(spark, sf_dir):
 )
 def pool_components(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return ratings.pool_components(evidence(t), t.members)
 
 
@@ -226,6 +266,25 @@ def latest_runs(spark, sf_dir):
     return ratings.latest_runs(Tables(spark, sf_dir).runs)
 
 
+#: A rating of each of nine configs in each run; a third of a pool's configs are no members, and a fifth of a run's aren't connected.
+_RATED = f"(SELECT pool, run_id, computed_at, config, CAST(1500 + (run_id * 7 + config * 131) % 700 AS DOUBLE) AS rating, CAST(5 + (run_id + config) % 40 AS DOUBLE) AS stderr, (run_id + config) % 5 <> 0 AS connected FROM {sql('runs')}, range(9) t(config))"
+
+
+@query(
+    f"""WITH r AS {_RATED}, k AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY computed_at, run_id) AS n, count(*) OVER (PARTITION BY pool) AS total FROM {sql('runs')}),
+    b AS (SELECT r.pool, r.config FROM r JOIN k ON k.run_id = r.run_id AND n = total WHERE connected AND (r.config + r.pool) % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY r.pool ORDER BY r.rating DESC, r.config) <= 4)
+    SELECT r.pool, r.run_id, epoch_us(r.computed_at) AS computed_us, r.config, r.rating, r.stderr FROM r JOIN b ON b.pool = r.pool AND b.config = r.config JOIN k ON k.run_id = r.run_id WHERE connected AND (total <= 50 OR (n - 1) % CAST(ceil(total / 50) AS BIGINT) = 0 OR n = total)"""
+)
+def top_history(spark, sf_dir):
+    """Ratings over time of the four best members of each pool."""
+    runs = Tables(spark, sf_dir).runs
+    rated = runs.select("pool", "run_id", F.explode(F.lit(list(range(9))).cast("array<bigint>")).alias("config"))
+    rated = rated.selectExpr("pool", "run_id", "config", "CAST(1500 + (run_id * 7 + config * 131) % 700 AS DOUBLE) AS rating", "CAST(5 + (run_id + config) % 40 AS DOUBLE) AS stderr", "(run_id + config) % 5 <> 0 AS connected")
+    members = runs.select("pool").distinct().select("pool", F.explode(F.lit(list(range(9))).cast("array<bigint>")).alias("config")).filter("(config + pool) % 3 <> 0")
+    rows = ratings.top_history(runs, rated, members, 50, 4)
+    return rows.select("pool", "run_id", F.unix_micros("computed_at").alias("computed_us"), "config", "rating", "stderr")
+
+
 _PLAYED = f"(SELECT DISTINCT pool, a AS config FROM {_SIDES})"
 
 

@@ -63,7 +63,7 @@ TABLES: dict[str, tuple[str, bool, list[list[str]]]] = {
                 "CASE job_id % 8 WHEN 0 THEN 'games' WHEN 4 THEN 'opening_rack' WHEN 6 THEN 'leave_gen' WHEN 7 THEN 'games' ELSE 'game_pairs' END AS job_type",
                 "CASE job_id % 5 WHEN 2 THEN 'paused' WHEN 3 THEN 'completed' ELSE 'active' END AS status",
                 "CAST(100 AS BIGINT) AS min_units", "CAST(2000 AS BIGINT) AS max_units", "CAST(95 AS DOUBLE) AS confidence_pct", "1 + job_id % 7 AS allocation",
-                "job_id % 2 AS variant", "job_id % 3 AS letterdist", "CASE WHEN job_id % 6 = 0 THEN 'Job ' || CAST(job_id AS VARCHAR(20)) END AS title",
+                "job_id % 2 AS variant", "CASE WHEN job_id % 11 = 5 THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS letterdist", "CASE WHEN job_id % 13 = 6 THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS layout", "CASE WHEN job_id % 6 = 0 THEN 'Job ' || CAST(job_id AS VARCHAR(20)) END AS title",
                 "'P' || CAST(job_id % 9 AS VARCHAR(20)) AS p1_name", "'P' || CAST((job_id * 5 + 3) % 9 AS VARCHAR(20)) AS p2_name", "(job_id * 13) % 11 AS baseline",
             ],
         ],

@@ -5,7 +5,6 @@ Folds write through foreachBatch under the batch's number, so a batch that is ru
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,20 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.coverage import merge_deltas, target_of
 from ..operators.outcomes import with_test
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or the session's checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get()
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from ..scratch import scratch  # noqa: F401
 
 
 def replayed(df: DataFrame, folder: str, files: int, *order: str | Column, at_once: int = 1, number: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -58,9 +59,9 @@ def test_cap_below_the_floor_is_inconclusive(spark):
 def test_two_seatings_are_one_head_to_head(spark):
     rows = [(1, 0, 1, 1, 3, 7, 3, 2, 32, 10.0, 0.0), (1, 1, 0, 2, 1, 1, 0, 0, 8, 6.0, 0.0), (1, 0, 0, 1, 1, 1, 1, 1, 10, 5.0, 0.0), (1, 0, 7, 1, 1, 1, 1, 1, 10, 5.0, 0.0)]
     results = spark.createDataFrame(rows, "job_id long, p1 long, p2 long, pent_0 long, pent_1 long, pent_2 long, pent_3 long, pent_4 long, games long, p1_score_mean double, p2_score_mean double")
-    jobs = spark.createDataFrame([(1, "game_pairs", 0)], "job_id long, job_type string, variant long")
-    pools = spark.createDataFrame([(5, 0)], "pool long, variant long")
-    members = spark.createDataFrame([(5, 0), (5, 1)], "pool long, config long")
+    jobs = spark.createDataFrame([(1, "game_pairs", 0, 4, 1)], "job_id long, job_type string, variant long, letterdist long, layout long")
+    pools = spark.createDataFrame([(5, 0, 4, 1), (6, 0, 4, 2), (7, 0, 5, 1)], "pool long, variant long, letterdist long, layout long")
+    members = spark.createDataFrame([(p, c) for p in (5, 6, 7) for c in (0, 1)], "pool long, config long")
     r = ratings.pool_evidence(results, jobs, pools, members).collect()
     assert len(r) == 1 and [r[0][c] for c in PENT] == [1, 3, 8, 4, 4] and r[0].spread_sum == 320 - 48
     cell = ratings.cross_table(spark.createDataFrame(r), members.withColumn("rating", F.lit(2000.0))).filter("a = 0").head()
@@ -94,6 +95,39 @@ def test_triangle_rates_flat_with_loud_residuals(spark):
     assert len(report) == 3 and all(r.significant and r.notable and r.non_transitive for r in report)
 
 
+def many_pools():
+    """Two large pools with members apart, undefeated and unplayed, and a small one."""
+    r, rows, members = np.random.default_rng(5), [], [(9, 0), (9, 1)]
+    for pool, n in ((1, 14), (2, 9)):
+        members += [(pool, c) for c in range(n)]
+        strength = r.normal(0, 1, n)
+        for a in range(n - 3):
+            for b in r.choice(n - 3, 4, replace=False):
+                if a < b:
+                    for k in range(int(r.integers(1, 60))):
+                        p = 1 / (1 + np.exp(strength[b] - strength[a]))
+                        rows.append((pool, a, int(b), int(r.binomial(4, p))))
+        rows += [(pool, n - 3, n - 2, 4)] * 7
+    rows += [(9, 0, 1, k % 5) for k in range(30)]
+    return rows, members, [(1, 3, 1500.0), (2, 0, 2000.0), (9, 0, 2000.0)]
+
+
+def test_large_pools_as_tables_equal_the_dense_fit(spark):
+    rows, members, pools = many_pools()
+    pents = [F.count_if(F.col("k") == i).alias(c) for i, c in enumerate(PENT)]
+    evidence = spark.createDataFrame(rows, "pool long, a long, b long, k int").groupBy("pool", "a", "b").agg(*pents).withColumns({"games": F.lit(0), "spread_sum": F.lit(0.0)})
+    evidence = evidence.withColumn("games", 2 * sum(map(F.col, PENT[1:]), F.col(PENT[0])))
+    members, pools = spark.createDataFrame(members, "pool long, config long"), spark.createDataFrame(pools, "pool long, anchor long, anchor_rating double")
+    dense = {(x.pool, x.config): x for x in ratings.rate_pools(evidence, members, pools).collect()}
+    wide = {(x.pool, x.config): x for x in ratings.rate_pools(evidence, members, pools, dense=5).collect()}
+    assert set(dense) == set(wide) and len(dense) == 25
+    for k, x in dense.items():
+        y = wide[k]
+        assert y.rating == pytest.approx(x.rating, abs=1e-5) and y.connected == x.connected and y.pairs == x.pairs
+        assert y.stderr == x.stderr or y.stderr == pytest.approx(x.stderr, rel=1e-4)  # no more edges than probes: exact
+    assert {x.stderr for x in dense.values() if not x.connected} == {math.inf}
+
+
 def test_expectation_and_rounding(spark):
     r = spark.range(1).select(expected(F.lit(250 * math.log(3))).alias("p"), claim_ms(F.expr("timestamp_micros(0)"), F.expr("timestamp_micros(1500)")).alias("up"), claim_ms(F.expr("timestamp_micros(9000)"), F.expr("timestamp_micros(0)")).alias("none")).head()
     assert r.p == pytest.approx(0.75) and r.up == 2 and r.none == 0
