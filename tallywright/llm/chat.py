@@ -9,8 +9,9 @@ its roles and texts are rendered with their control strings escaped (level 1), w
 texts hold no control string, so level 1 always comes back the same.
 
 Edge cases: null roles and texts are empty; turns that share a number are ordered by role, then text; rows with a null
-turn come first; repeated rows are repeated turns; conversations with a null id form one conversation; other columns are
-left out; an empty table gives an empty result.
+turn come first; repeated rows are repeated turns; conversations with a null id form one conversation; a very long
+text is rendered and parsed whole, in one row, as a conversation is; other columns are left out; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,13 +86,13 @@ def pieces(batch: pa.RecordBatch, text_field: int = 1, chars: int = PIECE_CHARS)
 
 
 def compressed(batches):
-    """(doc_id, text) as (doc_id, packed): texts as compressed bytes, for shuffles."""
+    """(doc_id, text, ...) as (doc_id, packed, ...): texts as compressed bytes, for shuffles."""
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
     for batch in batches:
         for part, chunk in pieces(batch):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack(t.encode()) for t in chunk], pa.binary())], names=["doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack(t.encode()) for t in chunk], pa.binary()), *part.columns[2:]], names=["doc_id", "packed", *part.schema.names[2:]])
 
 
 def unpacked(batch: pa.RecordBatch):
@@ -103,6 +104,27 @@ def unpacked(batch: pa.RecordBatch):
         yield part, [unpack(x) for x in chunk]
 
 
+#: Names of a store in Spark and in Arrow where they differ.
+STORES = {"s3a": "s3", "s3n": "s3"}
+
+
+def arrow_folder(spark: SparkSession, folder: str) -> str:
+    """The URI by which Arrow's file systems reach a folder that Spark names, on the driver and on every executor.
+
+    Spark's own file systems say which store a folder without a scheme lies in. A store that Arrow can't open is an error
+    here, before any work is done.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    scheme, rest = uri.split(":", 1)
+    uri = f"file://{rest.removeprefix('//')}" if scheme == "file" else f"{STORES.get(scheme, scheme)}:{rest}"
+    try:
+        fs.FileSystem.from_uri(uri)
+    except Exception as e:
+        raise ValueError(f"{folder} is in a store that tasks can't open ({uri}: {e}); set spark.checkpoint.dir to another one") from e
+    return uri
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder that nothing reads any more."""
     jvm = spark.sparkContext._jvm

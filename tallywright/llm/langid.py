@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded, pieces
+from .common import bounded, pieces, scratch, written
 
-#: Labelled rows that are learned from at most, for each language; hashed grams; steps of one fit.
-SAMPLE_ROWS, BUCKETS, STEPS = 500, 1 << 14, 25
+#: Labelled rows that are learned from at most, for each language, and languages; hashed grams; steps of one fit.
+SAMPLE_ROWS, LANGUAGES, BUCKETS, STEPS = 500, 512, 1 << 14, 25
 #: Added to every count of a gram.
 SMOOTHING = 0.5
 #: Where a text must be in the learned languages, the most that may come from none of them.
@@ -88,15 +88,25 @@ def fold(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
 
 
-def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages by name and gram x language probabilities, from rows with a language outside the held-out fold."""
+def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, languages_most: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
+    """Languages by name and gram x language probabilities, from rows with a language outside the held-out fold.
+
+    At most sample_rows rows of each language, the first by a hash of id and text, of at most languages_most languages, those
+    with most rows in that sample, then by name.
+    """
     bounded(docs.sparkSession)
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != HELD_OUT))
-    ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"))
+    # rows, not ids, are picked: an id may stand in many rows; rows that are alike count as one
+    row = ["doc_id", "lang", "row"]
+    labelled = labelled.select("doc_id", "lang", "text").withColumn("row", F.xxhash64("text"))
+    ids = labelled.select(*row).distinct().withColumn("hash", F.xxhash64("doc_id", "row"))
     for keys in (["lang", F.pmod("hash", F.lit(PARTS))], ["lang"]):  # at most PARTS * sample_rows of a language meet
-        turn = F.row_number().over(W.partitionBy(*keys).orderBy("hash", "doc_id"))
+        turn = F.row_number().over(W.partitionBy(*keys).orderBy("hash", "doc_id", "row"))
         ids = ids.withColumn("turn", turn).filter(F.col("turn") <= sample_rows).drop("turn")
-    sample = labelled.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")  # sample_rows a language at most
+    ids = written(ids.select(*row), f"{scratch(docs.sparkSession, 'languages')}/rows")
+    most = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages_most)
+    ids = ids.join(F.broadcast(most), "lang", "left_semi")  # languages_most x sample_rows rows at most
+    sample = labelled.join(F.broadcast(ids), row, "left_semi").groupBy(*row).agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(batches):
         held: dict[str, np.ndarray] = {}

@@ -1,7 +1,7 @@
 """A priority queue of arrays that goes to disk: a task pushes and pops whole blocks of tuples, never one at a time.
 
 Tuples are records of one dtype with a field `key`; equal keys come out in the order in which they went in. What exceeds
-`limit` bytes is sorted and written as a run to the given folder, a scratch folder that a cluster shares, and goes when it has been read. Popping merges the
+`limit` bytes is sorted and written as a run to the given folder (Arrow's URI of a scratch folder that a cluster shares), and goes when it has been read. Popping merges the
 runs block by block, so memory is bounded by `limit` and a block of each run, however many tuples have one key.
 """
 
@@ -22,7 +22,7 @@ class Run:
 
     def __init__(self, records: np.ndarray, folder: str):
         self.dtype, self.left = records.dtype, len(records)
-        self.store, inside = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+        self.store, inside = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         self.store.create_dir(inside, recursive=True)
         self.path, self.source = f"{inside}/{uuid.uuid4().hex}", None
         with self.store.open_output_stream(self.path) as out:

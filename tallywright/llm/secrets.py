@@ -4,8 +4,9 @@ Every version of a text is a blob named by its SHA-256. The ledger is a Parquet
 with a row for each pair that has been scanned, findings or not. A scan looks only at the pairs that the ledger lacks,
 adds them, and joins the findings back to every path (row) that holds the blob.
 
-Edge cases: a null text is the empty blob; repeated rows and historical versions of one id each give a row; other
-columns are left out; an empty table gives an empty result and an empty ledger.
+Edge cases: a null text is the empty blob; a null id stays null; repeated rows and historical versions of one id each give
+a row; spans that start together stand in the order of the rules; a very long text is one blob, looked at whole in one
+task, once for all rows that hold it; other columns are left out; an empty table gives an empty result and an empty ledger.
 """
 
 from __future__ import annotations

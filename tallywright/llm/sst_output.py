@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded, pieces, removed, written
+from .common import arrow_folder, bounded, pieces, removed, written
 from .encode import encoder
 
 BLOCK, RESTART, SHARD = 32 << 10, 16, 64 << 20
@@ -210,11 +210,11 @@ def moved(old: str, new: str) -> None:
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write shards in ascending id order below this folder (a URI that all executors share); returns the manifest.
+    """Write shards in ascending id order below this folder, which all executors share; returns the manifest.
 
     A task writes under a name of its own and then renames, so a task that is run again leaves the same shards.
     """
-    base = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    base = arrow_folder(docs.sparkSession, folder)
 
     def write(batches):
         task = TaskContext.get().partitionId()
@@ -261,7 +261,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every entry, from the shards that the manifest names."""
-    base = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    base = arrow_folder(spark, folder)
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
     def read(batches):
@@ -298,7 +298,7 @@ def lookup(ids: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
     The manifest has a row for each shard (SHARD bytes), which tasks read themselves. Ids without an entry give no row; an
     id that is asked for more than once is looked up once.
     """
-    base = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    base = arrow_folder(ids.sparkSession, folder)
 
     def find_shards(batches):
         from pyarrow import dataset

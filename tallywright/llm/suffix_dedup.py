@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, compressed, pieces, removed, scratch, texts_of, unpacked, written
+from .common import NO_ID, arrow_folder, compressed, pieces, removed, scratch, texts_of, unpacked, written
 from .induction import WINDOW, induced, tuples
 from .words import BASE, BASE_INVERSE, _bytes, mix, powers
 
@@ -343,15 +343,17 @@ def removal(raw: list[bytes], later_runs: list, later_windows: list) -> tuple[np
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: bytes, removed bytes and spans, SHA-256 of what is left, and the spans themselves."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession, "suffixes")
-    texts = texts_of(docs, id_col, text_col)
+    # rows that share an id stay apart by their texts; rows with one id and text are alike
+    texts = texts_of(docs, id_col, text_col).withColumn("row", F.xxhash64("text"))
+    row, queues = ["doc_id", "row"], f"{arrow_folder(spark, folder)}/queues"
 
     def to_runs(batches):
         for batch in batches:
             for part, chunk in pieces(batch):
                 runs = runs_of([t.encode() for t in chunk])
                 kept = ~repeated(runs["text"], runs["run"])
-                ids = part.column(0).to_numpy()[runs["text"][kept]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(runs["gram"][kept]), pa.array(runs["run"][kept])], names=["doc_id", "gram", "run"])
+                ids, rows = (part.column(i).to_numpy()[runs["text"][kept]] for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows), pa.array(runs["gram"][kept]), pa.array(runs["run"][kept])], names=["doc_id", "row", "gram", "run"])
 
     def to_samples(batches):
         for batch in batches:
@@ -364,7 +366,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(runs["run"][place]), pa.array(half, pa.int32()), pa.array(low, pa.int32()), pa.array(left, pa.binary()), pa.array(suffix, pa.binary())], names=[x.split()[0] for x in SAMPLE.split(", ")])
 
     def to_lost(batches):
-        for members, bits in lost_windows(batches, f"{folder}/queues"):
+        for members, bits in lost_windows(batches, queues):
             yield pa.RecordBatch.from_arrays([pa.array(members["doc"]), pa.array(members["run"]), pa.array(members["half"].astype(np.int32)), pa.array(bits)], names=["doc_id", "run", "half", "bits"])
 
     def to_result(batches):
@@ -386,22 +388,25 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     # level 1: grams that two documents share
-    runs = written(texts.mapInArrow(to_runs, "doc_id long, gram long, run long"), f"{folder}/runs")
+    runs = written(texts.mapInArrow(to_runs, "doc_id long, row long, gram long, run long"), f"{folder}/runs")
     grams = runs.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("gram")
-    met = written(runs.join(grams, "gram").select("doc_id", "gram", "run"), f"{folder}/met")
+    met = written(runs.join(grams, "gram").select(*row, "gram", "run"), f"{folder}/met")
     removed(spark, f"{folder}/runs")
     # level 2: the first document of each run, and grams with several runs
-    firsts = written(met.groupBy("gram", "run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), f"{folder}/firsts")
-    later = met.join(firsts.filter("first < last"), ["gram", "run"]).filter("doc_id > first").select("doc_id", "run")
+    firsts = met.groupBy("gram", "run").agg(F.min(F.struct(*row)).alias("first"), F.max("doc_id").alias("last"))
+    firsts = written(firsts.select("gram", "run", F.col("first.doc_id").alias("first"), F.col("first.row").alias("row"), "last"), f"{folder}/firsts")
+    later = met.join(firsts.filter("first < last").drop("row"), ["gram", "run"]).filter("doc_id > first").select(*row, "run")
     several = firsts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     # level 3: suffixes at the anchors of those, and what is induced from them
-    by_doc = firsts.join(several, "gram").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("run").alias("wanted"))
-    packed = texts.mapInArrow(compressed, "doc_id long, packed binary")
-    sampled = packed.join(by_doc, "doc_id").select("doc_id", "packed", "wanted").mapInArrow(to_samples, SAMPLE)
+    by_doc = firsts.join(several, "gram").groupBy(F.col("first").alias("doc_id"), "row").agg(F.collect_list("run").alias("wanted"))
+    packed = texts.mapInArrow(compressed, "doc_id long, packed binary, row long")
+    sampled = packed.join(by_doc, row).select("doc_id", "packed", "wanted").mapInArrow(to_samples, SAMPLE)
     sampled = sampled.withColumn("part", F.xxhash64("half", F.substring("suffix", 1, SAME))).repartition("part").sortWithinPartitions("half", "suffix").drop("part")
     lost = written(sampled.mapInArrow(to_lost, "doc_id long, run long, half int, bits long"), f"{folder}/lost")
-    runs_lost = later.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    # lists are of one text each, however many rows share its id
+    runs_lost = later.groupBy(*row).agg(F.collect_set("run").alias("runs"))
     lost = lost.groupBy("doc_id", "run", "half").agg(F.bit_or("bits").alias("bits"))
-    windows_lost = lost.groupBy("doc_id").agg(F.collect_list(F.struct("run", "half", "bits")).alias("windows"))
-    named = packed.join(runs_lost, "doc_id", "left").join(windows_lost, "doc_id", "left").select("doc_id", "packed", "runs", "windows")
+    windows_lost = lost.join(met.select(*row, "run"), ["doc_id", "run"]).groupBy(*row, "run", "half").agg(F.bit_or("bits").alias("bits"))
+    windows_lost = windows_lost.groupBy(*row).agg(F.collect_list(F.struct("run", "half", "bits")).alias("windows"))
+    named = packed.join(runs_lost, row, "left").join(windows_lost, row, "left").select("doc_id", "packed", "runs", "windows")
     return named.mapInArrow(to_result, RESULT).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
