@@ -5,16 +5,17 @@ Folds write through foreachBatch under the batch's number, so a batch that is ru
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.coverage import merge_deltas, target_of
+from ..functions.scoring import PENT
+from ..operators.coverage import fold, target_of
 from ..operators.outcomes import with_test
-from ..scratch import scratch  # noqa: F401
+from ..operators.ratings import pool_evidence, rate_pools
+from ..scratch import scratch, written  # noqa: F401
 
 
 def replayed(df: DataFrame, folder: str, files: int, *order: str | Column, at_once: int = 1, number: str | None = None) -> DataFrame:
@@ -25,6 +26,25 @@ def replayed(df: DataFrame, folder: str, files: int, *order: str | Column, at_on
     return df.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", at_once).option("latestFirst", "false").parquet(folder)
 
 
+def in_order(df: DataFrame, folder: str, files: int, at_once: int, column: str) -> DataFrame:
+    """A table as a stream whose batches come in the order of a column.
+
+    A file source takes files by their age, and tasks of one write end in any order; so rows are dealt into ranges once, and
+    the ranges of a batch are appended when those of the batch before are there.
+    """
+    rows = written(df.repartitionByRange(files, column).withColumn("_range_", F.spark_partition_id()), f"{folder}-ranges")
+    for first in range(0, files, at_once):
+        rows.filter(F.col("_range_").between(first, first + at_once - 1)).drop("_range_").repartition(at_once).write.mode("append").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", at_once).parquet(folder)
+
+
+def fed(spark: SparkSession, parts: list[DataFrame], folder: str, write: Callable[[DataFrame, int], None]) -> None:
+    """Parts as the batches of one stream: each comes when the one before is done, as far as its checkpoint tells."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        drained(spark.readStream.schema(part.schema).parquet(f"{folder}/in"), folder, write)
+
+
 def drained(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> None:
     """Run a stream until what is there is done."""
     out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
@@ -63,37 +83,42 @@ def accepted_once(claims: DataFrame, delay: str = "1 day") -> DataFrame:
     return claims.filter("state = 'completed'").withWatermark("claimed_at", delay).dropDuplicatesWithinWatermark(["task_id"])
 
 
-def trailing_throughput(claims: DataFrame) -> DataFrame:
-    """Completions per job and hour, every minute, behind a watermark."""
-    done = claims.filter("state = 'completed'").withWatermark("completed_at", "10 minutes")
-    return done.groupBy("job_id", F.window("completed_at", "1 hour", "1 minute")).agg(F.count("*").alias("recent"))
+def trailing_throughput(claims: DataFrame, every: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
+    """Completions per job and hour, every so often; a window is told once, when the watermark has passed its end."""
+    done = claims.filter("state = 'completed'").withWatermark("completed_at", delay)
+    return done.groupBy("job_id", F.window("completed_at", "1 hour", every)).agg(F.count("*").alias("recent")).select("job_id", "window.start", "window.end", "recent")
 
 
 def fold_staged(folder: str, first: DataFrame) -> Callable[[DataFrame, int], None]:
-    """Fold each batch of staged arrays into progress: version n + 1 is version n with batch n added.
+    """Fold each batch of staged arrays into progress; a batch writes the keys that it changes, with their new sums.
 
-    A batch that is run again reads the same version and replaces the one it wrote, so nothing counts twice.
+    A batch that is run again reads what earlier batches wrote and replaces its own rows, so nothing counts twice.
     """
-    first.write.mode("overwrite").parquet(f"{folder}/progress/version=0")
+    first.write.mode("overwrite").parquet(f"{folder}/progress/batch=-1")
 
     def write(staged: DataFrame, batch: int) -> None:
-        spark = staged.sparkSession
-        merge_deltas(staged, spark.read.parquet(f"{folder}/progress/version={batch}")).write.mode("overwrite").parquet(f"{folder}/progress/version={batch + 1}")
+        new = fold(staged).withColumnsRenamed({"n": "dn", "equity_cents": "de"})
+        held = newest(staged.sparkSession.read.parquet(f"{folder}/progress").filter(F.col("batch") < batch).join(new.select("generation", "rack"), ["generation", "rack"], "left_semi"))
+        changed = held.join(new, ["generation", "rack"]).select("generation", "rack", (F.col("n") + F.col("dn")).alias("n"), (F.col("equity_cents") + F.col("de")).alias("equity_cents"))
+        changed.write.mode("overwrite").parquet(f"{folder}/progress/batch={batch}")
 
     return write
 
 
+def newest(progress: DataFrame) -> DataFrame:
+    """The last row of each key, by partial maxima."""
+    return progress.groupBy("generation", "rack").agg(F.max_by(F.struct("n", "equity_cents"), "batch").alias("last")).select("generation", "rack", "last.*")
+
+
 def latest_progress(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.read.parquet(f"{folder}/progress")
-    last = rows.agg(F.max("version")).head()[0]
-    return spark.read.parquet(f"{folder}/progress/version={last}")
+    return newest(spark.read.parquet(f"{folder}/progress"))
 
 
 def split_late(folder: str, closed: DataFrame) -> Callable[[DataFrame, int], None]:
     """Results of closed generations go aside: they are credited, not folded."""
 
     def write(rows: DataFrame, batch: int) -> None:
-        late = rows.join(F.broadcast(closed.select("generation", F.lit(True).alias("late"))), "generation", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+        late = rows.join(closed.select("generation", F.lit(True).alias("late")), "generation", "left").withColumn("late", F.coalesce("late", F.lit(False)))
         late.write.mode("overwrite").partitionBy("late").parquet(f"{folder}/split/batch={batch}")
 
     return write
@@ -105,10 +130,66 @@ def complete_generations(progress: DataFrame, targets: list[int], in_flight: Dat
     return done.join(in_flight.select("generation"), "generation", "left_anti").join(staged.select("generation"), "generation", "left_anti")
 
 
-def stale_pools(evidence: DataFrame, fitted: DataFrame) -> DataFrame:
-    """Pools whose evidence has changed since their last fit (fitted: pool, content)."""
-    now = evidence.groupBy("pool").agg(F.sum(F.xxhash64(*[c for c in evidence.columns if c != "pool"]).cast("decimal(38,0)")).alias("content"))
-    return now.join(fitted.select("pool", F.col("content").alias("before")), "pool", "left").filter(~F.col("content").eqNullSafe(F.col("before"))).select("pool", "content")
+def close_generations(folder: str, universe: DataFrame, targets: list[int]) -> Callable[[DataFrame, int], None]:
+    """After each batch of messages, the generations that are complete then and weren't before; a closing stays.
+
+    Messages (generation, kind, rack, n): kind 'count' adds n to a key of the universe, 'open' and 'staged' add n to what is
+    in flight and staged. Each batch adds its sums; the state is the sum over batches, so a batch that runs again replaces
+    its own.
+    """
+
+    def write(messages: DataFrame, batch: int) -> None:
+        spark = messages.sparkSession
+        messages.groupBy("generation", "kind", "rack").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{folder}/sums/batch={batch}")
+        sums = spark.read.parquet(f"{folder}/sums").filter(F.col("batch") <= batch)
+        counts = universe.select("generation", "rack", F.lit(0).cast("long").alias("n")).unionByName(sums.filter("kind = 'count'").select("generation", "rack", "n").join(universe, ["generation", "rack"], "left_semi"))
+        pending = [sums.filter(F.col("kind") == k).groupBy("generation").agg(F.sum("n").alias("n")).filter("n > 0") for k in ("open", "staged")]
+        now = complete_generations(counts.groupBy("generation", "rack").agg(F.sum("n").alias("n")), targets, *pending)
+        if batch:
+            now = now.join(spark.read.parquet(f"{folder}/closed").filter(F.col("batch") < batch), "generation", "left_anti")
+        now.write.mode("overwrite").parquet(f"{folder}/closed/batch={batch}")
+
+    return write
+
+
+def fingerprints(evidence: DataFrame, members: DataFrame) -> DataFrame:
+    """(pool, content): a hash of a pool's evidence and members that doesn't depend on order."""
+    one = evidence.select("pool", F.xxhash64(*[c for c in evidence.columns if c != "pool"]).alias("h"))
+    two = members.select("pool", F.xxhash64(F.lit("member"), "config").alias("h"))
+    return one.unionByName(two).groupBy("pool").agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("content"))
+
+
+def stale_pools(now: DataFrame, fitted: DataFrame) -> DataFrame:
+    """(pool, content) of the pools whose fingerprint isn't that of their last fit (fitted: pool, content)."""
+    before = fitted.select("pool", F.col("content").alias("before"))
+    return now.join(before, "pool", "left").filter(~F.col("content").eqNullSafe(F.col("before"))).select("pool", "content")
+
+
+def refit(folder: str, jobs: DataFrame, pools: DataFrame, members: Callable[[int], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """After each batch of results: rate the pools whose evidence or members changed since their last run, and no others.
+
+    Evidence is kept as sums per batch. A run is the ratings of one pool under the batch's number and the fingerprint that
+    they were fitted to; members(batch) are the members at that time.
+    """
+
+    def write(results: DataFrame, batch: int) -> None:
+        spark = results.sparkSession
+        pool_evidence(results, jobs, pools, pools_members).write.mode("overwrite").parquet(f"{folder}/evidence/batch={batch}")
+        parts = spark.read.parquet(f"{folder}/evidence").filter(F.col("batch") <= batch)
+        current = members(batch)
+        for side in ("a", "b"):
+            parts = parts.join(current.select("pool", F.col("config").alias(side)), ["pool", side], "left_semi")
+        evidence = parts.groupBy("pool", "a", "b").agg(*(F.sum(c).alias(c) for c in (*PENT, "games", "spread_sum")))
+        fitted = spark.read.schema("pool long, content decimal(38,0), batch int").parquet(f"{folder}/fits") if batch else spark.createDataFrame([], "pool long, content decimal(38,0), batch int")
+        last = fitted.filter(F.col("batch") < batch).groupBy("pool").agg(F.max_by("content", "batch").alias("content"))
+        stale = written(stale_pools(fingerprints(evidence, current), last), f"{folder}/stale/{batch}")
+        chosen = [x.join(stale.select("pool"), "pool", "left_semi") for x in (evidence, current, pools)]
+        rate_pools(*chosen).write.mode("overwrite").parquet(f"{folder}/runs/batch={batch}")
+        stale.write.mode("overwrite").parquet(f"{folder}/fits/batch={batch}")
+
+    # evidence of everyone who is ever a member
+    pools_members = members(1 << 30)
+    return write
 
 
 def fold_streaks(folder: str) -> Callable[[DataFrame, int], None]:
@@ -141,26 +222,6 @@ def streaks(spark: SparkSession, folder: str, trip: int = 3) -> DataFrame:
     return out.withColumn("tripped", F.col("longest") >= trip)
 
 
-def lapses(claims: DataFrame, silent_seconds: int) -> DataFrame:
-    """Claims that stay open for so long after their last message; a timer per claim in event time."""
-
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"claim_id": [key[0]], "lapsed": [True]})
-            return
-        rows = pd.concat(frames)
-        if (rows["state"] != "claimed").any():
-            if state.exists:
-                state.remove()
-        else:
-            state.update((True,))
-            state.setTimeoutTimestamp(int(rows["claimed_at"].max().timestamp() * 1000) + silent_seconds * 1000)
-
-    timed = claims.withWatermark("claimed_at", "1 minute")
-    return timed.groupBy("claim_id").applyInPandasWithState(step, "claim_id long, lapsed boolean", "open boolean", "append", "EventTimeTimeout")
-
-
 def latch_verdicts(folder: str, jobs: DataFrame, sums: list[str]) -> Callable[[DataFrame, int], None]:
     """After each batch of results: add the sums, test them, and keep each job's first verdict for good."""
 
@@ -172,12 +233,7 @@ def latch_verdicts(folder: str, jobs: DataFrame, sums: list[str]) -> Callable[[D
             new = old.select("job_id", *sums).unionByName(new).groupBy("job_id").agg(*(F.sum(c).alias(c) for c in sums)).join(old.select("job_id", "verdict"), "job_id", "left")
         else:
             new = new.withColumn("verdict", F.lit(None).cast("string"))
-        tested = with_test(new.join(F.broadcast(jobs), "job_id")).withColumn("verdict", F.coalesce("verdict", F.when(F.col("status") != "running", F.col("status"))))
+        tested = with_test(new.join(jobs, "job_id")).withColumn("verdict", F.coalesce("verdict", F.when(F.col("status") != "running", F.col("status"))))
         tested.select("job_id", *sums, "verdict").write.mode("overwrite").parquet(f"{folder}/verdicts/version={batch}")
 
     return write
-
-
-def expired(staged: DataFrame, as_of, hours: int = 24) -> DataFrame:
-    """Staged imports that are older than their time to live."""
-    return staged.filter(F.col("staged_at") < as_of - F.expr(f"INTERVAL {hours} HOURS"))

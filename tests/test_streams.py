@@ -10,24 +10,49 @@ from tallywright.operators import outcomes, quality
 from tallywright.plans import QUERIES
 from tallywright.plans.catalogue import Tables
 from tallywright.sources import messages
-from tallywright.streaming import streams
-
-CLAIM = "claim_id long, state string, claimed_at timestamp"
-
+from tallywright.streaming import streams, timers
 
 def at(minute):
     return datetime.datetime(2024, 1, 1, 0, 0) + datetime.timedelta(minutes=minute)
 
 
-def test_silent_claims_lapse_once(spark, tmp_path):
-    rows = [[(1, "claimed", at(0)), (2, "claimed", at(1))], [(2, "completed", at(5)), (3, "claimed", at(200))], [(4, "claimed", at(400))]]
-    source = tmp_path / "in"
-    for i, part in enumerate(rows):
-        spark.createDataFrame(part, CLAIM).coalesce(1).write.mode("append").parquet(str(source))
-    stream = spark.readStream.schema(CLAIM).option("maxFilesPerTrigger", 1).parquet(str(source))
-    streams.drained(streams.lapses(stream, 3600), str(tmp_path / "run"))
-    lapsed = [r.claim_id for r in spark.read.parquet(str(tmp_path / "run/out")).collect()]
-    assert 1 in lapsed and 2 not in lapsed and len(lapsed) == len(set(lapsed))
+MESSAGE = "key long, kind int, ms long, deadline long"
+
+
+def told(spark, folder, batches, make):
+    """What a stream of message batches tells, in any order."""
+    for rows in batches:
+        spark.createDataFrame(rows, MESSAGE).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    with timers.native_state(spark):
+        streams.drained(make(stream), folder)
+    return sorted(tuple(r) for r in spark.read.parquet(f"{folder}/out").collect())
+
+
+def test_messages_move_deadlines_and_lapses_are_final(spark, tmp_path):
+    batches = [
+        [(1, 0, 1, 500), (2, 0, 2, 500), (3, 0, 10, 100), (4, 0, 20, None), (5, 1, 30, None)],  # 5 was never opened
+        [(1, 1, 90, None), (2, 2, 99, None), (3, 1, 95, None), (4, 1, 119, None)],
+        [(1, 1, 189, None), (3, 1, 150, None), (2, 1, 195, None), (4, 1, 260, None)],  # 3 is past its deadline; 4 was silent for more than 100
+        [(1, 1, 280, None), (6, 0, 281, 290), (6, 1, 289, None), (6, 2, 400, None)],
+        [(9, 1, 10_000, None)],
+        [(9, 1, 10_001, None)],
+    ]
+    found = told(spark, str(tmp_path), batches, lambda s: timers.lapses(s, 100, 50))
+    assert found == [(1, 380, False), (3, 150, True), (4, 219, False), (6, 340, True)]
+
+
+def test_updates_are_put_together(spark, tmp_path):
+    batches = [[(1, 1, t, None) for t in (5, 7, 12)] + [(2, 1, 3, None)], [(1, 1, t, None) for t in (18, 31)], [(9, 1, 900, None)], [(9, 1, 901, None)]]
+    found = told(spark, str(tmp_path), batches, lambda s: timers.coalesced(s, 10))
+    assert [x for x in found if x[0] != 9] == [(1, 0, 2), (1, 10, 4), (1, 30, 5), (2, 0, 1)]
+
+
+def test_the_store_of_states_is_put_back(spark):
+    held = spark.conf.get(timers.PROVIDER)
+    with timers.native_state(spark):
+        assert spark.conf.get(timers.PROVIDER) == timers.ROCKSDB
+    assert spark.conf.get(timers.PROVIDER) == held
 
 
 def test_merge_is_the_same_when_a_batch_runs_again(spark, tmp_path):
@@ -57,10 +82,12 @@ def test_generations_complete_and_pools_go_stale(spark):
     assert [r.generation for r in streams.complete_generations(progress, [60, 80], none, none).collect()] == [1]
     assert streams.complete_generations(progress, [60, 80], spark.createDataFrame([(1,)], "generation long"), none).collect() == []
     evidence = spark.createDataFrame([(1, 0, 1, 5), (2, 0, 1, 5)], "pool long, a long, b long, games long")
-    fitted = streams.stale_pools(evidence, spark.createDataFrame([], "pool long, content decimal(38,0)"))
+    members = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "pool long, config long")
+    fitted = streams.stale_pools(streams.fingerprints(evidence, members), spark.createDataFrame([], "pool long, content decimal(38,0)"))
     assert {r.pool for r in fitted.collect()} == {1, 2}
     changed = evidence.withColumn("games", F.when(F.col("pool") == 2, 6).otherwise(F.col("games")))
-    assert {r.pool for r in streams.stale_pools(changed, fitted).collect()} == {2}
+    assert {r.pool for r in streams.stale_pools(streams.fingerprints(changed, members), fitted).collect()} == {2}
+    assert {r.pool for r in streams.stale_pools(streams.fingerprints(evidence, members.filter("config = 0")), fitted).collect()} == {1}
 
 
 def test_kinds_and_settings(spark):
