@@ -108,7 +108,7 @@ def explode_moves(moves: DataFrame) -> DataFrame:
     across, down = r"^(\d{1,2})([A-Za-z])\.(\S+)$", r"^([A-Za-z])(\d{1,2})\.(\S+)$"
     m = F.col("move")
     kind = F.when(m.rlike(across) | m.rlike(down), "place").when(m.rlike(r"^ex\."), "exchange").when(m == "pass", "pass").otherwise("other")
-    number = lambda x: F.try_to_number(x, F.lit("99")).cast("int")
+    number = lambda x: x.try_cast("int")
     row = F.when(m.rlike(across), number(F.regexp_extract(m, across, 1))).when(m.rlike(down), number(F.regexp_extract(m, down, 2)))
     col = F.when(m.rlike(across), F.regexp_extract(m, across, 2)).when(m.rlike(down), F.regexp_extract(m, down, 1))
     tiles = F.when(m.rlike(across), F.regexp_extract(m, across, 3)).when(m.rlike(down), F.regexp_extract(m, down, 3)).when(m.rlike(r"^ex\."), F.substr(m, F.lit(4)))

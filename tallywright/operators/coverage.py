@@ -68,9 +68,11 @@ def write_generation(table: DataFrame, path: str) -> None:
     table.select("rack", "n", "equity_sum").repartitionByRange("rack").sortWithinPartitions("rack").write.mode("overwrite").csv(path)
 
 
-def missing_keys(table: DataFrame, universe: DataFrame) -> DataFrame:
-    """Keys of the universe that a table lacks: empty when coverage is complete."""
-    return universe.select("rack").join(table.select("rack"), "rack", "left_anti")
+def missing_keys(tables: DataFrame, universe: DataFrame, generations: DataFrame) -> DataFrame:
+    """(generation, missing, extra): keys of the universe that a generation's table lacks, and keys that it has beyond; both 0 when coverage is complete."""
+    wanted = generations.select("generation").crossJoin(universe.select("rack", F.lit(1).alias("wanted")))
+    both = wanted.join(tables.select("generation", "rack", F.lit(1).alias("held")).distinct(), ["generation", "rack"], "full")
+    return both.groupBy("generation").agg(F.count_if(F.col("held").isNull()).alias("missing"), F.count_if(F.col("wanted").isNull()).alias("extra"))
 
 
 def content_hash(progress: DataFrame) -> DataFrame:
@@ -78,10 +80,11 @@ def content_hash(progress: DataFrame) -> DataFrame:
     return progress.groupBy("generation").agg(F.count("*").alias("keys"), F.sum(F.xxhash64("rack", "n", "equity_cents").cast("decimal(38,0)")).alias("content"))
 
 
-def generation_integrity(progress: DataFrame, recorded: DataFrame) -> DataFrame:
-    """Recorded hashes (generation, content) against those of the tables at hand."""
-    now = content_hash(progress).withColumnRenamed("content", "rebuilt")
-    return recorded.join(now, "generation", "left").select("generation", F.col("rebuilt").isNotNull().alias("present"), F.col("content").eqNullSafe(F.col("rebuilt")).alias("same"))
+def generation_integrity(rebuilt: DataFrame, recorded: DataFrame, builder: str) -> DataFrame:
+    """Recorded generations (generation, content, builder) against tables that were built again: present, of the same builder, of the same content."""
+    now = content_hash(rebuilt).withColumnRenamed("content", "rebuilt")
+    same = F.col("content").eqNullSafe(F.col("rebuilt"))
+    return recorded.join(now, "generation", "left").select("generation", F.col("rebuilt").isNotNull().alias("present"), (F.col("builder") == builder).alias("same_builder"), same.alias("same"))
 
 
 def universe_counts(bag: list[int], size: int) -> list[list[int]]:
@@ -142,9 +145,21 @@ def scattered(total: int):
     return ((F.col("index").cast("decimal(18,0)") * F.lit((1 << 61) - 1).cast("decimal(19,0)")) % F.lit(total).cast("decimal(18,0)")).cast("long")
 
 
-def select_coverage(progress: DataFrame, generation: int, target: int, cursor, busy: DataFrame, k: int, switch: int = 100) -> DataFrame:
-    """The next k keys: in key order behind the cursor, and once no more than `switch` batches are left, lowest counts first."""
-    left = progress.filter((F.col("generation") == generation) & (F.col("n") < target)).limit(switch * k + 1).count()
-    if left > switch * k:
-        return select_sweep(progress, generation, target, cursor, k).select("rack", "n")
-    return select_tail(progress, generation, target, busy, k)
+def select_coverage(progress: DataFrame, targets: list[int], cursors: DataFrame, busy: DataFrame, k: int, switch: int = 100) -> DataFrame:
+    """(generation, mode, place, rack, n): the next k keys of every generation that has keys below its target.
+
+    cursors: generation, cursor (of a lap under way); busy: generation, rack of keys in flight or staged. A lap goes on in key
+    order while a key is left behind its cursor ('sweep'). At its end, or without one, a new lap begins ('lap') while more
+    than `switch` times k keys are below target; then the lowest counts that aren't busy come first ('tail'). All
+    generations are decided by one aggregation, and each task passes on k keys of a generation at most.
+    """
+    below = progress.filter(F.col("n") < target_of(F.col("generation"), targets)).join(cursors, "generation", "left")
+    behind = F.coalesce(F.col("rack") > F.col("cursor"), F.lit(False))
+    left = below.groupBy("generation").agg(F.count("*").alias("left"), F.count_if(behind).alias("behind"))
+    mode = F.when(F.col("behind") > 0, "sweep").when(F.col("left") > switch * k, "lap").otherwise("tail")
+    taken = busy.filter("rack is not null").select("generation", "rack", F.lit(True).alias("busy")).distinct()
+    rows = below.withColumn("behind_cursor", behind).join(left.select("generation", mode.alias("mode")), "generation").join(taken, ["generation", "rack"], "left")
+    rows = rows.filter((F.col("mode") == "lap") | ((F.col("mode") == "sweep") & F.col("behind_cursor")) | ((F.col("mode") == "tail") & F.col("busy").isNull()))
+    first = F.when(F.col("mode") == "tail", F.col("n")).otherwise(0)
+    place = F.row_number().over(W.partitionBy("generation").orderBy(first, "rack"))
+    return rows.withColumn("place", place).filter(F.col("place") <= k).select("generation", "mode", F.col("place").cast("long").alias("place"), "rack", "n")

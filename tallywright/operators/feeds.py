@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import scratch, written
+
 
 def keyset_page(rows: DataFrame, at: str, key: str, before: tuple | None, limit: int) -> DataFrame:
     """The newest rows behind the key (at, key), newest first."""
@@ -36,8 +38,8 @@ def rack_lookup(records: DataFrame, moves: DataFrame, rack, budget: int = 32767)
 
 
 def rack_samples(records: DataFrame, k: int, seed: int) -> DataFrame:
-    """k keys drawn by a seeded hash: the same for the same rows, however they are partitioned."""
-    keys = records.select("rack").distinct().withColumn("draw", F.xxhash64(F.lit(seed), "rack"))
+    """k keys drawn by a seeded hash: the same for the same rows, however they lie."""
+    keys = records.select("rack").distinct().withColumn("draw", drawn(seed, F.col("rack")))
     return keys.orderBy("draw", "rack").limit(k).select("rack")
 
 
@@ -107,9 +109,14 @@ def cursor_time(text: Column) -> Column:
     return F.when(micros >= 0, F.timestamp_micros(micros))
 
 
+def json_line(rows: DataFrame) -> Column:
+    """A row as one JSON object, with its nulls."""
+    return F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+
+
 def export_ndjson(rows: DataFrame, path: str) -> DataFrame:
     """Write one JSON object a line, compressed; returns the manifest: file, bytes, SHA-256 and rows."""
-    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
+    rows.select(json_line(rows).alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
     return export_manifest(rows.sparkSession, path)
 
 
@@ -126,11 +133,54 @@ def export_finality(jobs: DataFrame, claims: DataFrame, staged: DataFrame) -> Da
     return jobs.join(busy.select("job_id", F.lit(True).alias("busy")), "job_id", "left").select("job_id", ((F.col("status") == "completed") & F.col("busy").isNull()).alias("final"))
 
 
-def truncated(moves: Column, plies: str, n: int, m: int) -> Column:
-    """The first n moves, each with its plies below m only."""
-    return F.transform(F.slice(moves, 1, n), lambda x: x.withField(plies, F.filter(x[plies], lambda p: p["ply"] < m)))
+def drawn(seed: int, *what) -> Column:
+    """A number below 2^60 from a seed and columns, by MD5: the same wherever that is at hand."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(x.cast("string") for x in what))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
 
+def random_records(records: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(draw, task, offset, record_id) of `draws` records, each as likely as any other, in two stages: a task by its weight, then a place in it.
 
-def random_record(records: DataFrame, seed: int) -> DataFrame:
-    """One record by a seeded hash of its key."""
-    return records.withColumn("draw", F.xxhash64(F.lit(seed), "record_id")).orderBy("draw", "record_id").limit(1).drop("draw")
+    Tasks lie one behind the other, each as long as it has records; a draw falls on a place, its task is found by the sums
+    before it, and what is left over is the record's offset in the order of record_id. Tasks are summed in slices, so no
+    task sees all sums; draws are few.
+    """
+    spark = records.sparkSession
+    tasks = records.groupBy("task").agg(F.count("*").alias("n"))
+    tasks = written(tasks.repartitionByRange("task").withColumn("slice", F.spark_partition_id()), f"{scratch(spark, 'draws')}/tasks")
+    order = W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)  # a row for each slice
+    slices = tasks.groupBy("slice").agg(F.sum("n").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(order), F.lit(0)))
+    total = slices.agg(F.sum("held").alias("total"))
+    asked = spark.range(draws).select(F.col("id").alias("draw"), drawn(seed, F.col("id")).alias("u")).crossJoin(total).select("draw", (F.col("u") % F.col("total")).alias("at"))
+    # draws find their slice among the slices, then their task inside it
+    asked = asked.join(slices, (F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("held"))).select("draw", "at", "slice")
+    inside = W.partitionBy("slice").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
+    starts = tasks.join(slices.select("slice", "before"), "slice").select("slice", "task", "n", (F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("start"))
+    picked = asked.join(starts, "slice").filter((F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("n"))).select("draw", "task", (F.col("at") - F.col("start")).alias("offset"))
+    place = F.row_number().over(W.partitionBy("task").orderBy("record_id")) - 1
+    found = records.join(picked.select("task").distinct(), "task", "left_semi").select("task", "record_id", place.cast("long").alias("offset"))
+    return picked.join(found, ["task", "offset"]).select("draw", "task", "offset", "record_id")
+
+
+EMPTY_MOVES = "array<struct<rank:bigint,move:string,score:bigint,plies:array<struct<ply:bigint,play:string,score:bigint>>>>"
+
+
+def nested_export(records: DataFrame, moves: DataFrame, plies: DataFrame, inference: DataFrame, consensus: DataFrame, at_most: int, below: int) -> DataFrame:
+    """Records with moves that hold plies, with their inference and its leaves, and with the consensus of their rack: (record_id, job_id, rack, moves, inference, consensus).
+
+    Moves and plies are cut to the recorded caps before they are gathered: the first `at_most` moves, plies below `below`.
+    inference: record_id, total_draws, leave, draws, equity; most draws first, then by leave. What a record hasn't got is an
+    empty list of moves, and null else. Each level is one aggregation with its parent's key, the last one with the record's.
+    """
+    held = plies.filter((F.col("ply") < below) & (F.col("rank") <= at_most)).groupBy("record_id", "rank").agg(F.array_sort(F.collect_list(F.struct("ply", "play", "score"))).alias("plies"))
+    each = moves.filter(F.col("rank") <= at_most).join(held, ["record_id", "rank"], "left")
+    none = F.array().cast("array<struct<ply:bigint,play:string,score:bigint>>")
+    each = each.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("rank", "move", "score", F.coalesce("plies", none).alias("plies")))).alias("moves"))
+    leaves = F.array_sort(F.collect_list(F.struct((-F.col("draws")).alias("order"), "leave", "draws", "equity")))
+    guessed = inference.groupBy("record_id").agg(F.count("*").alias("num_leaves"), F.max("total_draws").alias("total_draws"), leaves.alias("leaves"))
+    bare = F.transform("leaves", lambda x: F.struct(x["leave"].alias("leave"), x["draws"].alias("draws"), x["equity"].alias("equity")))
+    guessed = guessed.select("record_id", F.struct("num_leaves", "total_draws", bare.alias("leaves")).alias("inference"))
+    agreed = consensus.select("job_id", "rack", F.struct("results", "top_move", "top_count", "settled").alias("consensus"))
+    rows = records.join(each, "record_id", "left").join(guessed, "record_id", "left").join(agreed, ["job_id", "rack"], "left")
+    return rows.select("record_id", "job_id", "rack", F.coalesce("moves", F.array().cast(EMPTY_MOVES)).alias("moves"), "inference", "consensus")

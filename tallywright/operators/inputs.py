@@ -82,7 +82,7 @@ def read_distributions(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
     cells = F.split(F.regexp_replace("value", "\r$", ""), ",")
     rows = lines.filter(F.trim("value") != "").select("file", cells.alias("x"))
-    number = lambda i: F.try_to_number(F.trim(F.get("x", F.lit(i))), F.lit("9999")).cast("int")
+    number = lambda i: F.trim(F.get("x", F.lit(i))).try_cast("int")
     return rows.select("file", F.trim(F.get("x", F.lit(0))).alias("letter"), number(2).alias("count"), number(3).alias("score"), number(4).alias("is_vowel"), F.size("x").alias("columns"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .coverage import target_of
+
 HOUR = 3600
 
 
@@ -86,7 +88,7 @@ def job_list(jobs: DataFrame, results: DataFrame, stalled: DataFrame, limit: int
 def version_key(text) -> F.col:
     """Major, minor and patch as numbers; what can't be read counts as 0."""
     parts = F.split(text, r"\.")
-    return F.struct(*(F.coalesce(F.try_to_number(F.get(parts, F.lit(i)), F.lit("999999")), F.lit(0)).cast("long").alias(n) for i, n in enumerate(("major", "minor", "patch"))))
+    return F.struct(*(F.coalesce(F.when(F.get(parts, F.lit(i)).rlike("^[0-9]+$"), F.get(parts, F.lit(i)).try_cast("long")), F.lit(0).cast("long")).alias(n) for i, n in enumerate(("major", "minor", "patch"))))
 
 
 def allocation_report(jobs: DataFrame, claims: DataFrame, serving_seconds: int, least_version: str) -> DataFrame:
@@ -109,3 +111,24 @@ def task_states(claims: DataFrame) -> DataFrame:
     rows = claims.groupBy("task_id").agg(F.count_if(F.col("state") == "completed").alias("accepted"), F.count_if(F.col("state") == "claimed").alias("open"), F.max("completed_at").alias("at"))
     state = F.when(F.col("accepted") > 0, "completed").when(F.col("open") > 0, "in_progress").otherwise("pending")
     return rows.select("task_id", "accepted", "open", state.alias("state"), F.unix_micros("at").alias("completed_us"))
+
+
+def job_details(jobs: DataFrame, tasks: DataFrame, progress: DataFrame, audit: DataFrame, targets: list[int]) -> DataFrame:
+    """One row per job: its tasks by state, first passes and reissues among the completed, its generation, and its completion.
+
+    tasks: job_id, seed, state; jobs: first_pass (seeds below it are first passes); progress: job_id, generation, rack, n. The
+    generation is the first with a key below its target, one behind the last when all are done. The completion is the last
+    'job.completed' of a completed job: when, and whether somebody forced it.
+    """
+    done = F.col("state") == "completed"
+    of_tasks = tasks.join(jobs.select("job_id", "first_pass"), "job_id").groupBy("job_id").agg(
+        F.count("*").alias("tasks"), *(F.count_if(F.col("state") == s).alias(s) for s in ("completed", "in_progress", "pending")),
+        F.count_if(done & (F.col("seed") < F.col("first_pass"))).alias("first_passes"), F.count_if(done & (F.col("seed") >= F.col("first_pass"))).alias("reissues"),
+    )
+    below = progress.groupBy("job_id", "generation").agg(F.count_if(F.col("n") < target_of(F.col("generation"), targets)).alias("below"))
+    generation = below.groupBy("job_id").agg(F.coalesce(F.min(F.when(F.col("below") > 0, F.col("generation"))), F.max("generation") + 1).alias("generation"))
+    ended = audit.filter("action = 'job.completed'").groupBy("job_id").agg(F.max_by(F.struct(F.unix_micros("created_at").alias("completed_us"), F.col("actor").isNotNull().alias("forced")), "audit_id").alias("e"))
+    rows = jobs.select("job_id", "job_type", "status").join(of_tasks, "job_id", "left").join(generation, "job_id", "left").join(ended, "job_id", "left")
+    over = F.col("status") == "completed"
+    counts = ["tasks", "completed", "in_progress", "pending", "first_passes", "reissues"]
+    return rows.fillna(0, counts).select("job_id", "job_type", "status", *counts, F.when(F.col("job_type") == "leave_gen", F.col("generation")).alias("generation"), F.when(over, F.col("e.completed_us")).alias("completed_us"), F.when(over, F.col("e.forced")).alias("forced"))

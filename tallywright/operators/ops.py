@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .jobs import task_states
@@ -136,3 +138,64 @@ def anonymised(table: DataFrame, salt: str, ids: list[str], blanked: list[str] =
 def job_purge(facts: DataFrame, jobs: list[int]) -> DataFrame:
     """What stays of a fact table when jobs go; rows without a job stay."""
     return facts.filter(~F.col("job_id").isin(jobs) | F.col("job_id").isNull())
+
+
+def stored_tables(tables: dict[str, DataFrame], folder: str, buckets: int = 16) -> None:
+    """Fact tables as folders of job buckets, version 0; a purge rewrites whole buckets."""
+    for name, df in tables.items():
+        df.withColumn("bucket", F.pmod(F.coalesce(F.col("job_id"), F.lit(0)), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}/version=0")
+
+
+def finished(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, bucket, version) of what purges have written and listed."""
+    kind = "name string, bucket int, version int"
+    try:
+        return spark.read.schema(kind).parquet(f"{folder}/done")
+    except AnalysisException as e:  # no purge yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], kind)
+
+
+def current_tables(spark: SparkSession, folder: str, names: list[str], below: int = 1 << 30) -> dict[str, DataFrame]:
+    """Each table with the newest version of each of its buckets that a finished purge names; files of versions from `below` on aren't opened."""
+    out = {}
+    for name in names:
+        rows = spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}").filter(F.col("version") < below)
+        columns = [c for c in rows.columns if c not in ("version", "bucket")]
+        newest = finished(spark, folder).filter(F.col("name") == name).groupBy("bucket").agg(F.max("version").alias("newest"))
+        out[name] = rows.join(newest, "bucket", "left").filter(F.col("version") == F.coalesce("newest", F.lit(0))).select(*columns)
+    return out
+
+
+def purge_tables(spark: SparkSession, folder: str, names: list[str], jobs: list[int], version: int, buckets: int = 16) -> None:
+    """Delete all facts of jobs from stored tables: their buckets are written anew as a version, and count from when a list of them is there.
+
+    The list is the swap: until it is written, readers see the tables as they were. A purge that broke off is run again
+    under its version and replaces what it had written; one that is listed isn't done twice. Versions grow.
+    """
+    touched = sorted({j % buckets for j in jobs})
+    if not finished(spark, folder).filter(F.col("version") == version).isEmpty():
+        return
+    rows = current_tables(spark, folder, names, version)
+    for name in names:
+        kept = job_purge(rows[name], jobs).withColumn("bucket", F.pmod(F.coalesce(F.col("job_id"), F.lit(0)), F.lit(buckets))).filter(F.col("bucket").isin(touched))
+        kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}/version={version}")
+    listed = spark.createDataFrame([(name, b, version) for name in names for b in touched], "name string, bucket int, version int")
+    listed.write.mode("overwrite").parquet(f"{folder}/done/purge={version}")
+
+
+def user_census(tables: dict[str, tuple[DataFrame, str]], user) -> DataFrame:
+    """Rows of an account in each table, by the column that names it there."""
+    return tagged_counts({k: df.filter(F.col(c) == user) for k, (df, c) in tables.items()})
+
+
+def newest_first():
+    """The order of a list that is newest first, for places in a page."""
+    return W.orderBy(F.desc("created_at"), F.desc("audit_id"))
+
+
+def ban_list(audit: DataFrame, names: DataFrame, on: str = "user.ban", off: str = "user.unban") -> DataFrame:
+    """Bans in force, newest first by place: the last action on a target decides; names: target, name, where there is one."""
+    last = audit.filter(F.col("action").isin(on, off)).groupBy("target").agg(F.max_by(F.struct("audit_id", "action", "actor", "created_at"), "audit_id").alias("last")).select("target", "last.*")
+    return last.filter(F.col("action") == on).join(names, "target", "left").select("target", "name", "actor", "created_at", "audit_id")

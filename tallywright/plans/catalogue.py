@@ -405,13 +405,6 @@ def generation_table(spark, sf_dir):
     return rounded(coverage.generation_table(Tables(spark, sf_dir).merged, 1), "mean")
 
 
-@query(f"SELECT generation, true AS present, generation <> 2 AS same FROM (SELECT DISTINCT generation FROM {MERGED})")
-def generation_integrity(spark, sf_dir):
-    merged = Tables(spark, sf_dir).merged
-    recorded = coverage.content_hash(merged.withColumn("n", F.when(F.col("generation") == 2, F.col("n") + 1).otherwise(F.col("n")))).select("generation", "content")
-    return coverage.generation_integrity(merged, recorded)
-
-
 # The bag grows with the tables: tiles are the first letters of parts, as many as a hundredth of them, five at most.
 _BAG = "(SELECT upper(substring(p_name, 1, 1)) AS letter, CAST(least(5, 1 + count(*) // 100) AS INT) AS n FROM part GROUP BY 1)"
 

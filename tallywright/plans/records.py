@@ -131,7 +131,7 @@ def rack_lookup(spark, sf_dir):
     return feeds.rack_lookup(t.analyses, t.moves, 7, 12).withColumn("analysis", F.col("analysis").cast("long"))
 
 
-@query()
+@query(f"SELECT rack FROM (SELECT DISTINCT rack FROM {sql('analyses')}) ORDER BY CAST('0x' || substring(md5('42:' || CAST(rack AS VARCHAR)), 1, 15) AS BIGINT), rack LIMIT 20")
 def rack_samples(spark, sf_dir):
     return feeds.rack_samples(Tables(spark, sf_dir).analyses, 20, 42)
 
@@ -622,19 +622,18 @@ def play_squares(spark, sf_dir):
 
 # ---- nested exports, cursors, reissues and job counters
 
-_FRESH = f"(SELECT audit_id, action, actor AS target FROM {sql('audit')} WHERE audit_id % 16 = 1)"
+_FRESH = f"(SELECT audit_id, action, actor * 1000 + audit_id % 100 AS target FROM {sql('audit')})"
 
 
 @query(
-    f"""SELECT u.target, coalesce(a.now, u.target % 2 = 0) AS banned FROM (SELECT DISTINCT actor AS target FROM {sql("audit")}) u LEFT JOIN
+    f"""SELECT u.target, coalesce(a.now, u.target % 2 = 0) AS banned FROM (SELECT DISTINCT target FROM {_FRESH}) u LEFT JOIN
     (SELECT target, arg_max(action = 'user.ban', audit_id) FILTER (action IN ('user.ban', 'user.census')) AS now, bool_or(action = 'job.delete') AS gone FROM {_FRESH} GROUP BY target) a ON a.target = u.target
     WHERE NOT coalesce(a.gone, FALSE)"""
 )
 def apply_actions(spark, sf_dir):
-    """Actors as a dimension; of the log, a sixteenth is new. A census stands for lifting a ban, a deleted job for a deletion."""
-    audit = Tables(spark, sf_dir).audit
-    users = audit.select(F.col("actor").alias("target")).distinct().withColumn("banned", F.col("target") % 2 == 0)
-    fresh = audit.filter("audit_id % 16 = 1").select("audit_id", "action", F.col("actor").alias("target"))
+    """Identities (a hundred of each actor) as a dimension, after all actions on them. A census stands for lifting a ban, a deleted job for a deletion."""
+    fresh = Tables(spark, sf_dir).audit.select("audit_id", "action", (F.col("actor") * 1000 + F.col("audit_id") % 100).alias("target"))
+    users = fresh.select("target").distinct().withColumn("banned", F.col("target") % 2 == 0)
     return ops.apply_actions(users, fresh, ["user.ban"], ["user.census"], ["job.delete"])
 
 
@@ -737,15 +736,6 @@ def versions_versus(spark, sf_dir):
 # ---- sinks and messages
 
 
-@query(f"SELECT count(*) AS records, CAST(sum(n) AS BIGINT) AS moves FROM (SELECT record_id, count(*) AS n FROM {MOVES} GROUP BY ALL)")
-def export_lines(spark, sf_dir):
-    """Nested records through the compressed NDJSON sink, and read again."""
-    t, path = Tables(spark, sf_dir), scratch(spark, "export")
-    manifest = feeds.export_ndjson(feeds.nested_records(t.analyses.drop("top_move"), t.moves, t.standings), path)
-    again = spark.read.schema("record_id long, moves array<struct<rank:long>>").json(path)
-    return manifest.agg(F.sum("rows").alias("records")).join(again.agg(F.sum(F.size("moves")).alias("moves")))
-
-
 @query(f"SELECT CAST(rack AS VARCHAR) AS rack, CAST(n AS VARCHAR) AS n, CAST(equity_cents // 100 AS VARCHAR) || '.' || lpad(CAST(equity_cents % 100 AS VARCHAR), 2, '0') || '00000000' AS equity_sum FROM {MERGED} WHERE generation = 2")
 def generation_csv(spark, sf_dir):
     """A generation through the CSV sink, and read again."""
@@ -754,12 +744,6 @@ def generation_csv(spark, sf_dir):
     return spark.read.schema("rack string, n string, equity_sum string").csv(path)
 
 
-@query(f"SELECT rack, n FROM {MERGED} WHERE generation = 1 AND n < 5000 AND rack > 10 ORDER BY rack LIMIT 1")
-def select_coverage(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return coverage.select_coverage(t.merged, 1, 5000, 10, t.claims.filter("state = 'claimed'").select(F.col("worker").alias("rack")), 1)
-
-
 @query(f"SELECT job_id, count(*) AS messages, CAST(sum(games) AS BIGINT) AS games, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in PENT)}, count(*) FILTER (wins + losses + ties <> games) AS broken FROM {sql('results_faulty')} GROUP BY job_id")
 def result_messages(spark, sf_dir):
     """Faulty results as JSON messages, parsed, flattened and validated."""
@@ -772,11 +756,6 @@ def result_messages(spark, sf_dir):
     return flat.groupBy(job.alias("job_id")).agg(F.count("*").alias("messages"), F.sum("games").alias("games"), *(F.sum(c).alias(c) for c in PENT), broken.alias("broken"))
 
 
-@query()
-def random_record(spark, sf_dir):
-    return feeds.random_record(Tables(spark, sf_dir).analyses, 42)
-
-
 @query(
     f"""SELECT pool, config, low, high, round(min(low) OVER p - greatest(10, 0.08 * (max(high) OVER p - min(low) OVER p)), 6) AS axis_low, round(max(high) OVER p + greatest(10, 0.08 * (max(high) OVER p - min(low) OVER p)), 6) AS axis_high FROM
     (SELECT pool, run_id AS config, round(rating - least(1.96 * (run_id % 300), 400), 6) AS low, round(rating + least(1.96 * (run_id % 300), 400), 6) AS high FROM {sql("runs")}) WINDOW p AS (PARTITION BY pool)"""
