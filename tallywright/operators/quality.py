@@ -83,6 +83,42 @@ def validate_positions(positions: DataFrame, games: int) -> DataFrame:
     return violations(positions.withColumn("same", same), "record_id", rules)
 
 
+def registered(found: dict[str, DataFrame]) -> DataFrame:
+    """(table, key, rule): what the validators of unlike tables have found, as one table; a validator's first column is its key."""
+    out = None
+    for name, df in found.items():
+        rows = df.select(F.lit(name).alias("table"), F.col(df.columns[0]).cast("string").alias("key"), "rule")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def split(rows: DataFrame, key: Column, table: str, registry: DataFrame) -> DataFrame:
+    """The rows of a table with `rules`: the sorted rules that each breaks, by the registry; none for clean rows."""
+    broken = registry.filter(F.col("table") == table).groupBy("key").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
+    keyed = rows.withColumn("key", key.cast("string")).join(broken, "key", "left").drop("key")
+    return keyed.withColumn("rules", F.coalesce("rules", F.array().cast("array<string>")))
+
+
+def validate_boards(positions: DataFrame, batches: DataFrame) -> DataFrame:
+    """Batches of pairs (task, pairs) against the first divergences that they keep: one of each divergent pair, whose two positions have one board.
+
+    positions: task, game_index, position; the board is a position's first field.
+    """
+    board = F.substring_index("position", " ", 1)
+    pairs = positions.groupBy("task", F.floor(c("game_index") / 2).cast("long").alias("pair")).agg(F.min(board).alias("b0"), F.max(board).alias("b1"))
+    kept = pairs.groupBy("task").agg(F.count("*").alias("kept"), F.count_if(c("b0") != c("b1")).alias("unlike"))
+    rows = batches.join(kept, "task", "left").fillna(0, ["kept", "unlike"])
+    return violations(rows, "task", {"divergent_count": c("kept") != c("pairs"), "boards_differ": c("unlike") > 0})
+
+
+def validate_pairings(jobs: DataFrame, configs: DataFrame) -> DataFrame:
+    """Jobs whose two unlike players have unlike win models; a player without one goes with any. configs: config, model."""
+    rows = jobs.select("job_id", "p1", "p2")
+    for p in ("p1", "p2"):
+        rows = rows.join(configs.select(c("config").alias(p), c("model").alias(f"{p}_model")), p, "left")
+    return violations(rows, "job_id", {"win_models_differ": (c("p1") != c("p2")) & (c("p1_model") != c("p2_model"))})
+
+
 def validate_divergences(positions: DataFrame) -> DataFrame:
     """Pairs of games whose first divergence isn't two positions, one per game, with one turn and one rack."""
     pairs = positions.groupBy("task", F.floor(c("game_index") / 2).cast("long").alias("pair")).agg(
@@ -167,7 +203,7 @@ def validate_plies(moves: DataFrame) -> DataFrame:
     numbers = F.transform("plies", lambda p: p["ply"])
     rising = F.forall(F.zip_with(numbers, F.slice(numbers, 2, 1 << 20), lambda a, b: b.isNull() | (a < b)), lambda x: x)
     rules = {
-        "ply_order": ~rising | (F.element_at(numbers, 1) < 0),
+        "ply_order": ~rising | (F.coalesce(F.get(numbers, F.lit(0)), F.lit(0)) < 0),
         "bingo_range": F.exists("plies", lambda p: ~p["bingo_percentage"].between(0, 100)),
         "score_range": F.exists("plies", lambda p: ~p["average_score"].between(-MAX_SCORE, MAX_SCORE)),
     }
@@ -229,9 +265,9 @@ def validate_staging(staged: DataFrame) -> DataFrame:
 
 
 def validate_distribution(rows: DataFrame) -> DataFrame:
-    """Letter distributions (file, letter, count, score, is_vowel): counts and flags in range, 50 letters, none twice."""
+    """Letter distributions (file, letter, count, score, is_vowel, columns): counts and flags in range, 50 letters, none twice, 5 or 7 columns."""
     rows = rows.withColumns({"same": F.count("*").over(W.partitionBy("file", "letter")), "letters": F.count("*").over(W.partitionBy("file"))})
-    rules = {"count": ~c("count").between(0, 255), "vowel": ~c("is_vowel").isin(0, 1), "letters": c("letters") > 50, "repeated": c("same") > 1}
+    rules = {"count": ~c("count").between(0, 255), "vowel": ~c("is_vowel").isin(0, 1), "letters": c("letters") > 50, "repeated": c("same") > 1, "columns": ~c("columns").isin(5, 7)}
     return violations(rows.withColumn("id", F.concat_ws(":", "file", "letter")), "id", rules)
 
 
