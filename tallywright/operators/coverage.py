@@ -14,13 +14,22 @@ def stage(deltas: DataFrame) -> DataFrame:
 
 def fold(staged: DataFrame) -> DataFrame:
     """Sums per generation and key of staged parallel arrays; partial sums come before the shuffle."""
-    rows = staged.select("generation", F.explode(F.arrays_zip("rack", "n", "equity_cents")).alias("d")).select("generation", "d.*")
+    return fold_rows(staged.select("generation", F.explode(F.arrays_zip("rack", "n", "equity_cents")).alias("d")).select("generation", "d.*"))
+
+
+def fold_rows(rows: DataFrame) -> DataFrame:
+    """The same of deltas that aren't staged, one row each."""
     return rows.groupBy("generation", "rack").agg(F.sum("n").alias("n"), F.sum("equity_cents").alias("equity_cents"))
 
 
 def merge_deltas(staged: DataFrame, progress: DataFrame) -> DataFrame:
     """Progress (generation, rack, n, equity_cents) with the deltas added; keys outside it are dropped."""
-    new = fold(staged).withColumnsRenamed({"n": "dn", "equity_cents": "de"})
+    return added(fold(staged), progress)
+
+
+def added(sums: DataFrame, progress: DataFrame) -> DataFrame:
+    """Progress with sums per key added."""
+    new = sums.withColumnsRenamed({"n": "dn", "equity_cents": "de"})
     return progress.join(new, ["generation", "rack"], "left").select(
         "generation", "rack", (F.col("n") + F.coalesce("dn", F.lit(0))).alias("n"), (F.col("equity_cents") + F.coalesce("de", F.lit(0))).alias("equity_cents")
     )

@@ -68,6 +68,17 @@ def next_key(keys: DataFrame, probes: DataFrame) -> DataFrame:
     return found.unionByName(wrapped)
 
 
+def by_keys(positions: DataFrame, keys: DataFrame) -> DataFrame:
+    """Positions by given keys (task, game_index, turn), for as many keys as there are; a key that is given twice counts once."""
+    return positions.join(keys.select("task", "game_index", "turn").distinct(), ["task", "game_index", "turn"], "left_semi")
+
+
+def line_stream(rows: DataFrame):
+    """Lines of an export one after another, for a reader: a partition at a time reaches the driver, never the whole."""
+    for row in rows.select(json_line(rows).alias("line")).toLocalIterator(prefetchPartitions=False):
+        yield row["line"] + "\n"
+
+
 def partners(positions: DataFrame) -> DataFrame:
     """Positions with the position of the pair's other game at the same task and turn, as a struct (null without one)."""
     other = positions.select("task", "turn", F.col("game_index").bitwiseXOR(F.lit(1).cast("long")).alias("game_index"), F.struct("record_id", "rack").alias("partner"))

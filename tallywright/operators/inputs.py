@@ -77,9 +77,9 @@ def fleet(claims: DataFrame, as_of, days: int = 7) -> DataFrame:
     return done.unionByName(still).groupBy("version").agg(F.count("*").alias("claims"), F.count_distinct("worker", "is_anon").alias("workers"))
 
 
-def read_distributions(spark: SparkSession, path: str) -> DataFrame:
-    """Letter distributions without a header (letter, lower, count, score, is_vowel and two more at times), many files at once."""
-    lines = spark.read.text(path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+def read_distributions(spark: SparkSession, path: str, name: str = r"([^/]+)$") -> DataFrame:
+    """Letter distributions without a header (letter, lower, count, score, is_vowel and two more at times), many files at once; name: the part of a path that names its file."""
+    lines = spark.read.text(path).select("value", F.regexp_extract(F.input_file_name(), name, 1).alias("file"))
     cells = F.split(F.regexp_replace("value", "\r$", ""), ",")
     rows = lines.filter(F.trim("value") != "").select("file", cells.alias("x"))
     number = lambda i: F.trim(F.get("x", F.lit(i))).try_cast("int")

@@ -85,6 +85,22 @@ def job_list(jobs: DataFrame, results: DataFrame, stalled: DataFrame, limit: int
     return rows.orderBy(rank, F.desc("job_id")).offset(offset).limit(limit).select("job_id", "status", name.alias("name"), played.alias("units"), F.coalesce("stalled", F.lit(False)).alias("stalled"))
 
 
+def job_units(jobs: DataFrame, results: DataFrame, standings: DataFrame, generations: DataFrame) -> DataFrame:
+    """(job_id, job_type, units, of): what a job has done and is to do, in its type's unit: games, pairs, settled racks or closed generations.
+
+    jobs: max_units, racks and generations, of which each type reads its own; standings: job_id, settled; generations: job_id, closed.
+    """
+    parts = [results.groupBy("job_id").agg(F.sum("games").alias("games")), standings.groupBy("job_id").agg(F.count_if("settled").alias("settled")), generations.groupBy("job_id").agg(F.count_if("closed").alias("closed"))]
+    rows = jobs
+    for part in parts:
+        rows = rows.join(part, "job_id", "left")
+    rows = rows.fillna(0, ["games", "settled", "closed"])
+    kind = F.col("job_type")
+    units = F.when(kind == "games", F.col("games")).when(kind == "game_pairs", F.floor(F.col("games") / 2)).when(kind == "opening_rack", F.col("settled")).when(kind == "leave_gen", F.col("closed"))
+    of = F.when(kind.isin("games", "game_pairs"), F.col("max_units")).when(kind == "opening_rack", F.col("racks")).when(kind == "leave_gen", F.col("generations"))
+    return rows.select("job_id", "job_type", units.cast("long").alias("units"), of.cast("long").alias("of"))
+
+
 def version_key(text) -> F.col:
     """Major, minor and patch as numbers; what can't be read counts as 0."""
     parts = F.split(text, r"\.")

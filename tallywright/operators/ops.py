@@ -135,6 +135,33 @@ def anonymised(table: DataFrame, salt: str, ids: list[str], blanked: list[str] =
     return table.drop(*dropped).withColumns({**{c: pseudonym(c) for c in ids}, **blank})
 
 
+def audit_rows(events: DataFrame, known: DataFrame) -> DataFrame:
+    """Events (audit_id, action, actor, target, created_at) as rows of the log: each once, the actor's name as it is now; of a stream, a stream."""
+    return events.join(known.select(F.col("worker").alias("actor"), "name"), "actor", "left").select("audit_id", "action", "actor", "name", "target", "created_at")
+
+
+def stale_backups(backups: DataFrame, as_of, hours: int) -> DataFrame:
+    """(name, age, stale): whole hours since each name's newest successful backup; a name without one is stale. backups: name, finished_at, succeeded."""
+    newest = backups.groupBy("name").agg(F.max(F.when(F.col("succeeded"), F.col("finished_at"))).alias("last"))
+    age = F.expr("timestampdiff(HOUR, last, as_of)")
+    return newest.withColumn("as_of", as_of).select("name", age.cast("long").alias("age"), F.coalesce(age >= hours, F.lit(True)).alias("stale"))
+
+
+def rack_counters(records: DataFrame, standings: DataFrame) -> DataFrame:
+    """Per job: racks analysed, settled, and settled without consensus, from facts."""
+    analysed = records.groupBy("job_id").agg(F.count_distinct("rack").alias("analysed"))
+    counts = standings.groupBy("job_id").agg(F.count_if("settled").alias("settled"), F.count_if("without").alias("without"))
+    return analysed.join(counts, "job_id", "left").fillna(0, ["settled", "without"])
+
+
+def repaired(stored: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Stored counters as facts have them, and whether that changed them; keys without facts are zero, keys that weren't stored are added."""
+    names = [c for c in facts.columns if c != key]
+    both = facts.join(stored.select(key, F.lit(True).alias("held"), *(F.col(c).alias(f"old_{c}") for c in names)), key, "full").fillna(0, names)
+    same = F.struct(*names).eqNullSafe(F.struct(*(F.col(f"old_{c}").alias(c) for c in names)))
+    return both.select(key, *names, (F.col("held").isNull() | ~same).alias("changed"))
+
+
 def job_purge(facts: DataFrame, jobs: list[int]) -> DataFrame:
     """What stays of a fact table when jobs go; rows without a job stay."""
     return facts.filter(~F.col("job_id").isin(jobs) | F.col("job_id").isNull())

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scoring import PENT, game_sample, half_width, num, pair_sample, verdict
+from ..scratch import running, scratch, sliced
 
 SUMS = ("games", "wins", "losses", "ties", *PENT, "divergent_games", "divergent_wins", "divergent_losses", "divergent_ties")
 
@@ -48,21 +48,45 @@ def match_test(results: DataFrame, jobs: DataFrame) -> DataFrame:
 def monitor_matches(results: DataFrame, jobs: DataFrame) -> DataFrame:
     """The first verdict of each match job in submission order; later results don't move it.
 
-    Running sums are taken per day, on top of the sums of all days before it, so that no task has to hold a whole job.
+    Running sums are taken inside slices of all results, on top of the sums of a job's slices before, so that no task has to
+    hold a job or one of its days.
     """
     matches = jobs.filter(F.col("job_type").isin("games", "game_pairs"))
-    counts = ("wins", "losses", "ties", *PENT)
-    rows = results.join(F.broadcast(matches), "job_id").withColumn("day", F.to_date("submitted_at"))
-    days = rows.groupBy("job_id", "day").agg(*(F.sum(c).alias(c) for c in counts))
-    earlier = W.partitionBy("job_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-    before = days.select("job_id", "day", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in counts))
-    so_far = W.partitionBy("job_id", "day").orderBy("submitted_at", "result_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    running = rows.join(before, ["job_id", "day"]).withColumns({c: F.sum(c).over(so_far) + F.col(f"{c}_before") for c in counts})
-    decided = with_test(running).filter("status <> 'running'")
+    counts = ["wins", "losses", "ties", *PENT]
+    rows = results.select("job_id", "result_id", "submitted_at", *counts).join(matches.select("job_id"), "job_id", "left_semi")
+    rows = running(sliced(rows, f"{scratch(results.sparkSession, 'monitor')}/rows", "job_id", "submitted_at", "result_id"), "job_id", counts)
+    decided = with_test(rows.join(matches, "job_id")).filter("status <> 'running'")
     first = F.min_by(F.struct("result_id", "units", "status"), F.struct("submitted_at", "result_id")).alias("first")
     return decided.groupBy("job_id").agg(first).select("job_id", "first.*")
 
 
+def signed(x: Column, places: int) -> Column:
+    """A number with its sign and so many places; what rounds to zero has none."""
+    rounded = F.round(x, places)
+    text = F.format_string(f"%.{places}f", F.abs(rounded))
+    return F.when(rounded > 0, F.concat(F.lit("+"), text)).when(rounded < 0, F.concat(F.lit("-"), text)).otherwise(text)
+
+
+def score_lines(summary: DataFrame) -> DataFrame:
+    """How a match stands as it is printed, from its summary: shares, averages, leader, the spread's points and who is ahead by it.
+
+    Figures are rounded first, so that what rounds to zero is 0.00, ahead of nobody; without games, shares and spread are null.
+    """
+    played = F.col("wins") + F.col("losses") + F.col("ties")
+    share = F.try_divide(num(F.col("wins")) + 0.5 * num(F.col("ties")), num(played))
+    percent = lambda x: F.when(x.isNotNull(), F.format_string("%.2f%%", F.round(100 * x, 2)))
+    leader = F.when(F.col("wins") > F.col("losses"), 1).when(F.col("losses") > F.col("wins"), 2).otherwise(0)
+    spread = F.round("spread_mean", 2)
+    pairs = sum((F.col(c) for c in PENT[1:]), F.col(PENT[0]))
+    shares = [F.format_string("%.1f", F.round(F.coalesce(F.try_divide(100 * num(F.col(c)), num(pairs)), F.lit(0.0)), 1)) for c in PENT]
+    return summary.select(
+        "job_id", played.alias("played"), percent(share).alias("share1"), percent(1 - share).alias("share2"), leader.alias("leader"),
+        *(F.when(F.col(c).isNotNull(), F.format_string("%.2f", F.round(c, 2))).alias(c) for c in ("p1_mean", "p2_mean")),
+        F.when(spread.isNotNull(), F.format_string("%.2f", F.abs(spread))).alias("points"), F.when(spread > 0, 1).when(spread < 0, 2).otherwise(0).alias("ahead"),
+        signed(F.col("spread_mean"), 1).alias("spread"), F.concat_ws("/", *shares).alias("pair_shares"),
+    )
+
+
 def pair_outcomes(results: DataFrame) -> DataFrame:
     """Per job: pairs, the share of each of the five outcomes, and player 1's half-points."""
     sums = results.groupBy("job_id").agg(*(F.sum(c).alias(c) for c in PENT)).withColumn("pairs", sum(map(F.col, PENT[1:]), F.col(PENT[0])))

@@ -17,6 +17,12 @@ def resolve_pseudonym(contributors: DataFrame, name: str) -> DataFrame:
     return contributors.filter(F.lit(name).rlike("^[0-9a-f]{16}$") & (pseudonym(F.col("worker")) == name))
 
 
+def resolve_pseudonyms(contributors: DataFrame, names: DataFrame) -> DataFrame:
+    """Contributors behind any number of pseudonyms (name), with them; a name that hasn't the shape of one is nobody's."""
+    asked = names.filter(F.col("name").rlike("^[0-9a-f]{16}$")).select("name").distinct()
+    return contributors.withColumn("name", pseudonym(F.col("worker"))).join(asked, "name", "left_semi")
+
+
 def totals(claims: DataFrame) -> DataFrame:
     """Per contributor: completed tasks, milliseconds, moves generated and the last completion."""
     done = claims.filter("state = 'completed'")
@@ -46,7 +52,7 @@ def contributions_by_type(claims: DataFrame, jobs: DataFrame, types: list[str])
     """Per job type: tasks, milliseconds and contributors; absent types are zero. Claims are summed per job first."""
     done = claims.filter("state = 'completed'")
     per_job = done.groupBy("job_id", "worker", "is_anon").agg(F.count("*").alias("tasks"), F.sum("held_ms").alias("compute_ms"))
-    per_type = per_job.join(F.broadcast(jobs.select("job_id", "job_type")), "job_id").groupBy("job_type").agg(F.sum("tasks").alias("tasks"), F.sum("compute_ms").alias("compute_ms"), F.count_distinct("worker", "is_anon").alias("contributors"))
+    per_type = per_job.join(jobs.select("job_id", "job_type"), "job_id").groupBy("job_type").agg(F.sum("tasks").alias("tasks"), F.sum("compute_ms").alias("compute_ms"), F.count_distinct("worker", "is_anon").alias("contributors"))
     known = claims.sparkSession.range(1).select(F.explode(F.lit(types)).alias("job_type"))
     return known.join(per_type, "job_type", "left").fillna(0, ["tasks", "compute_ms", "contributors"])
 

@@ -1,6 +1,6 @@
 """Queries by name, and their DuckDB twins."""
 
-from . import records, rules, streams, work  # noqa: F401  register their queries
+from . import reads, records, rules, streams, work  # noqa: F401  register their queries
 from .catalogue import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -75,7 +75,7 @@ class Tables:
 
     @property
     def merged(self) -> DataFrame:
-        return coverage.merge_deltas(coverage.stage(self.deltas), self.progress)
+        return coverage.added(coverage.fold_rows(self.deltas), self.progress)
 
     @property
     def standings(self) -> DataFrame:
@@ -372,7 +372,9 @@ def first_pass_leaders(spark, sf_dir):
 
 @query(f"SELECT * FROM {MERGED}")
 def merge_deltas(spark, sf_dir):
-    return Tables(spark, sf_dir).merged
+    """From submissions as they are staged: parallel arrays."""
+    t = Tables(spark, sf_dir)
+    return coverage.merge_deltas(coverage.stage(t.deltas), t.progress)
 
 
 @query(f"SELECT generation, count(*) AS keys, CAST(sum(n) AS BIGINT) AS n FROM {FOLDED} WHERE rack NOT IN (SELECT rack FROM {sql('universe')}) GROUP BY ALL")

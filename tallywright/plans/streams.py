@@ -89,16 +89,6 @@ def stream_streaks(spark, sf_dir):
     return streams.streaks(spark, folder).select("job_id", "longest")
 
 
-@query()
-def stream_verdicts(spark, sf_dir):
-    folder, t = streams.scratch(spark, "verdicts"), Tables(spark, sf_dir)
-    results = replayed(t.results_skewed.select("job_id", "result_id", "submitted_at", "wins", "losses", "ties", *PENT), f"{folder}/in", "submitted_at")
-    streams.drained(results, folder, streams.latch_verdicts(folder, t.jobs.filter("job_type in ('games', 'game_pairs')"), ["wins", "losses", "ties", *PENT]))
-    held = spark.read.parquet(f"{folder}/verdicts")
-    last = held.agg(F.max("version")).head()[0]
-    return held.filter(F.col("version") == last).select("job_id", "verdict")
-
-
 # ---- native state
 
 def leases(t: Tables):

@@ -34,6 +34,19 @@ def tallies(messages: DataFrame) -> DataFrame:
     return messages.select("claim_token", *(F.col(f"{games}.{c}").cast("long").alias(c) for c in ("games", "wins", "losses", "ties")), *pent, F.col(f"{games}.p1_score_mean").alias("p1_score_mean"), F.col(f"{games}.p2_score_mean").alias("p2_score_mean"))
 
 
+def analyses(messages: DataFrame) -> DataFrame:
+    """Rack messages as rows of moves: claim_token, rack, num_moves, rank (from 1), move, score, equity, plies."""
+    racks = messages.select("claim_token", F.explode("result.racks").alias("r"))
+    moves = racks.select("claim_token", "r.rack", "r.num_moves", F.posexplode("r.moves").alias("i", "m"))
+    return moves.select("claim_token", "rack", "num_moves", (F.col("i") + 1).cast("long").alias("rank"), "m.move", "m.score", "m.equity", F.size(F.coalesce("m.plies", F.array())).alias("plies"))
+
+
+def captured(messages: DataFrame) -> DataFrame:
+    """Positions of games messages, one row each, with the leaves of their inference."""
+    rows = messages.select("claim_token", F.explode("result.positions").alias("p"))
+    return rows.select("claim_token", *(F.col(f"p.{c}").cast("long").alias(c) for c in ("game_index", "turn_number", "player")), "p.rack", F.size("p.moves").alias("moves"), "p.inference.total_draws", F.size(F.coalesce("p.inference.leaves", F.array())).alias("leaves"))
+
+
 def leave_deltas(messages: DataFrame, generation: Column) -> DataFrame:
     """Leave messages as staged parallel arrays; a mean is worth count times itself, in hundredths."""
     racks = "result.racks"
