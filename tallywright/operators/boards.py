@@ -118,8 +118,8 @@ def explode_moves(moves: DataFrame) -> DataFrame:
 def parse_moves(moves: DataFrame) -> DataFrame:
     """moves with kind (play, exchange, pass; null if unreadable), direction, tiles of an exchange and squares of a play.
 
-    "8G HUH" lies across and "E9 (E)RUVIM" down, from row 1 and column A; tiles in parentheses, or each dot, stand on the
-    board already (`through`), a dot without its letter. "(exch HIR)" swaps tiles.
+    "3C FOXY" lies across and "H7 (T)ABLE" down, from row 1 and column A; tiles in parentheses, or each dot, stand on the
+    board already (`through`), a dot without its letter. "(exch ABC)" swaps tiles.
     """
     text = F.trim("move")
     across, down, swap = r"^(\d+)([A-Z])\s+(\S+)$", r"^([A-Z])(\d+)\s+(\S+)$", r"^\(exch (.+)\)$"

@@ -32,10 +32,10 @@ from ..scratch import scratch, written
 PRIOR_GAMES, FADE_GAMES, FLOOR_GAMES, PRIOR_SCALE = 2.0, 200.0, 0.2, 2.0
 PULL_IN_ERROR = 1.5
 #: Members of a pool that is fitted densely at most; the longest step of a finished fit; steps of a fit and of a system.
-DENSE, DONE, STEPS, ROUNDS = 200, 1e-8, 60, 400
+DENSE, DONE, STEPS, ROUNDS = 200, 1e-7, 60, 400
 #: How far a Newton step's system is solved, and an error's; random projections of a large pool's edges; rounds
 #: between two looks at how far systems are.
-INNER, SOLVED, PROBES, CHECK = 1e-3, 1e-6, 256, 4
+INNER, SOLVED, PROBES, CHECK = 1e-2, 1e-5, 256, 3
 RATED = "pool long, config long, rating double, stderr double, pairs double, connected boolean"
 
 

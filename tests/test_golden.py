@@ -190,10 +190,10 @@ def test_distribution_files(spark, tmp_path):
 def test_moves_are_read_square_by_square(spark):
     from tallywright.operators import boards
 
-    moves = ["8G HUH", "E9 (E)R.[NY]m", " pass ", "(exch A[QU]?)", "0A HAT", "8H (HAT", "8H )", "8H ()", "8H [A", "(exch [)", "", None, "99999999999A HAT"]
+    moves = ["8G FOX", "E9 (E)R.[NY]m", " pass ", "(exch A[QU]?)", "0A HAT", "8H (HAT", "8H )", "8H ()", "8H [A", "(exch [)", "", None, "99999999999A HAT"]
     rows = boards.parse_moves(spark.createDataFrame(list(enumerate(moves)), "id int, move string")).orderBy("id").collect()
     assert [r.kind for r in rows] == ["play", "play", "pass", "exchange", *[None] * 9]
-    assert [tuple(q) for q in rows[0].squares] == [(7, 6, "H", False), (7, 7, "U", False), (7, 8, "H", False)]
+    assert [tuple(q) for q in rows[0].squares] == [(7, 6, "F", False), (7, 7, "O", False), (7, 8, "X", False)]
     assert [tuple(q) for q in rows[1].squares] == [(8, 4, "E", True), (9, 4, "R", False), (10, 4, None, True), (11, 4, "NY", False), (12, 4, "m", False)]
     assert rows[3].tiles == ["A", "QU", "?"] and rows[1].direction == "down" and rows[4].squares is None
     assert boards.placed_squares(boards.parse_moves(spark.createDataFrame([], "id int, move string"))).count() == 0
