@@ -16,9 +16,9 @@ The second round joins the trees of nodes that still hold several components: po
 points there meet those of other components only. No true link between components is lost, whatever the first round
 found.
 
-Edge cases: null texts and texts without words are empty sets, linked with nothing; equal sets are linked (sets are named
-by a digest of 64 bits, never by the id of a row, so rows that repeat an id with the same or another text each take part
-and give a row each); a null id counts as the smallest id; ties of sizes go by digest, which changes work, never results;
+Edge cases: null texts and texts without words are empty sets, linked with nothing; equal sets are linked (a set is named
+by a digest of 64 bits, and where unlike sets share that one, by a second one that doesn't depend on it, see `shared_by`;
+never by the id of a row, so rows that repeat an id with the same or another text each take part and give a row each); a null id counts as the smallest id; ties of sizes go by digest, which changes work, never results;
 a very long text is hashed block by block, its set of eight bytes a shingle is one value; other columns are left out; an
 empty table gives an empty result.
 """
@@ -42,11 +42,13 @@ from .words import mix, shingles, words_hashed
 POINT, COARSE, LEAF, INNER, PAGE = 256, 8, 32, 8, 2048
 #: Groups of up to so many points are compared without a tree.
 FEW = 12
-ROWS = "doc_id long, mark long, n_shingles long, digest long, point binary"
+ROWS = "doc_id long, mark long, n_shingles long, digest long, second long, point binary"
 #: Sets that a task remembers, so as not to send the nodes of equal ones again.
 REMEMBERED = 100_000
 #: Bits of a second-level node's name. Nodes that share a name only cost time, so a shorter name does.
 KEY = np.uint64((1 << 48) - 1)
+#: The most digests that unlike sets may share: some 6 x 10^12 different sets have so many.
+SHARED = 1 << 20
 
 
 def size_classes(most: int = 1 << 40) -> list[int]:
@@ -75,8 +77,35 @@ def point_of(hashes: np.ndarray) -> bytes:
     return np.minimum(np.bincount(group_of(hashes, POINT).astype(np.int64), minlength=POINT), 255).astype(np.uint8).tobytes()
 
 
-def digest_of(hashes: np.ndarray) -> int:
-    return int((mix(hashes).sum(dtype=np.uint64) ^ np.uint64(len(hashes))).view(np.int64)) if len(hashes) else 0
+def digest_of(hashes: np.ndarray, bits: int = 64) -> int:
+    """Names a set, in so many bits."""
+    total = mix(hashes).sum(dtype=np.uint64) ^ np.uint64(len(hashes))
+    return int((total & np.uint64((1 << bits) - 1)).view(np.int64)) if len(hashes) else 0
+
+
+def second_of(hashes: np.ndarray) -> int:
+    """A digest that two sets of the same `digest_of` don't share for that reason."""
+    return digest_of(mix(hashes) + np.uint64(0x9E3779B97F4A7C15))
+
+
+def name_of(hashes: np.ndarray, shared: np.ndarray, bits: int = 64) -> int:
+    """The digest of a set, or the second one if the first is among the shared (in order)."""
+    digest = digest_of(hashes, bits)
+    at = int(np.searchsorted(shared, digest))
+    return second_of(hashes) if at < len(shared) and shared[at] == digest else digest
+
+
+def shared_by(rows: DataFrame, path: str) -> tuple[DataFrame, np.ndarray]:
+    """Digests that unlike sets share, as a table and, in order, for the tasks that name sets from texts.
+
+    Of n different sets about n * n / 2^65 digests are shared: some ten of 2 x 10^10 sets.
+    """
+    both = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("second").alias("lo"), F.max("second").alias("hi"))
+    table = written(both.filter("lo < hi").select("digest"), path)
+    found = np.array(sorted(r.digest for r in table.limit(SHARED + 1).collect()), np.int64)
+    if len(found) > SHARED:
+        raise ValueError(f"more than {SHARED} digests are shared by unlike sets: name them in more bits")
+    return table, found
 
 
 def keys_of(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -303,8 +332,8 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return two.filter((den + num) * overlap >= num * (F.size("x") + F.size("y"))).select("a", "b")
 
 
-def linked_rows(docs: DataFrame, size: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, mark, n_shingles, component) of every row; mark: a hash of its text, component: a digest, null for empty sets."""
+def linked_rows(docs: DataFrame, size: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
+    """(doc_id, mark, n_shingles, component) of every row; mark: a hash of its text, component: a set's name, null for empty sets; bits: of a digest."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession, "jaccard")
     texts = texts_of(docs, id_col, text_col)
 
@@ -316,8 +345,8 @@ def linked_rows(docs: DataFrame, size: int, num: int, den: int, id_col: str = "d
     def to_rows(batches):
         for batch in batches:
             for part, chunk in pieces(batch):
-                rows = [(len(x), digest_of(x), point_of(x) if len(x) else b"") for x in sets_of(chunk)]
-                kinds = (pa.int64(), pa.int64(), pa.binary())
+                rows = [(len(x), digest_of(x, bits), second_of(x), point_of(x) if len(x) else b"") for x in sets_of(chunk)]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=[x.split()[0] for x in ROWS.split(", ")])
 
     def to_keys(batches):
@@ -326,7 +355,7 @@ def linked_rows(docs: DataFrame, size: int, num: int, den: int, id_col: str = "d
             for _, chunk in pieces(batch, chars=PIECE_CHARS // 4):
                 keys, digests, sizes = [np.empty(0, np.uint64)], [], []
                 for x in sets_of(chunk):
-                    digest = digest_of(x)
+                    digest = name_of(x, shared, bits)
                     if len(x) and digest not in met:
                         met.add(digest)
                         keys.append(keys_of(x, num, den))
@@ -346,7 +375,7 @@ def linked_rows(docs: DataFrame, size: int, num: int, den: int, id_col: str = "d
         for batch in batches:
             for _, chunk in unpacked(batch):
                 sets = list(sets_of(chunk))
-                yield pa.RecordBatch.from_arrays([pa.array([digest_of(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["digest", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([name_of(x, shared, bits) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["digest", "hashes"])
 
     def sets_for(pairs: DataFrame, but: DataFrame | None, name: str) -> DataFrame:
         """(digest, hashes) of the sets in these pairs, besides those there are; one row of each set gives them."""
@@ -362,6 +391,10 @@ def linked_rows(docs: DataFrame, size: int, num: int, den: int, id_col: str = "d
         return sets if but is None else but.unionByName(sets)
 
     rows = written(texts.withColumn("mark", F.xxhash64("text")).mapInArrow(to_rows, ROWS), f"{folder}/rows")
+    again, shared = shared_by(rows, f"{folder}/shared")
+    if len(shared):
+        renamed = rows.join(again.withColumn("taken", F.lit(True)), "digest", "left")
+        rows = written(renamed.withColumn("digest", F.when(F.col("taken"), F.col("second")).otherwise(F.col("digest"))).select(*rows.columns), f"{folder}/renamed")
     # nodes where unlike sets meet; a set is named by its digest, and one of its rows stands for it
     node = W.partitionBy("key")
     keys = texts.mapInArrow(to_keys, "key long, digest long")
@@ -387,9 +420,9 @@ def linked_rows(docs: DataFrame, size: int, num: int, den: int, id_col: str = "d
     return out
 
 
-def jaccard_components(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id under links of Jaccard similarity num/den or more."""
-    rows = linked_rows(docs, size, num, den, id_col, text_col)
+    rows = linked_rows(docs, size, num, den, id_col, text_col, bits)
     least = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
     real = lambda c: F.nullif(c, F.lit(NO_ID))
     return rows.join(least, "component", "left").select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.coalesce("least", "doc_id")).alias("component_id"))

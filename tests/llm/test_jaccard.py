@@ -61,6 +61,22 @@ def test_same_components_as_brute_force(docs):
     assert result(jaccard.jaccard_components(docs(rows))) == brute(rows)
 
 
+def test_unlike_sets_that_share_a_digest_stay_apart(docs):
+    rows = family(3, 5, 12, 60) + [(900 + i, f"one two three {i}") for i in range(300)] + [(2000, "one two three 7"), (2001, None)]
+    for bits in (4, 12):  # all digests shared, and some
+        assert result(jaccard.jaccard_components(docs(rows), bits=bits)) == brute(rows)
+
+
+def test_second_digests_differ_where_first_ones_do_not():
+    sets = [np.arange(i, i + 5, dtype=np.uint64) for i in range(500)]
+    shared = np.array(sorted({jaccard.digest_of(x, 6) for x in sets[:250]}), np.int64)
+    names = [jaccard.name_of(x, shared, 6) for x in sets]
+    held = set(shared.tolist())
+    taken = [n for n, x in zip(names, sets) if jaccard.digest_of(x, 6) in held]
+    assert len(set(taken)) == len(taken) >= 250
+    assert all(n == jaccard.digest_of(x, 6) for n, x in zip(names, sets) if jaccard.digest_of(x, 6) not in held)
+
+
 def test_pages_of_a_large_node_lose_no_link(docs, monkeypatch):
     rows = family(2, 2, 60, 80)
     for name, value in (("PAGE", 16), ("LEAF", 4), ("INNER", 2), ("FEW", 3)):
