@@ -13,6 +13,10 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
 
     Every round hangs each node's neighbours on the smallest of them, first the larger neighbours, then the smaller
     ones; rounds grow with the logarithm of the nodes. Neighbours are never gathered, only their minimum is.
+
+    Edges of a node to itself or to null are left out, so a node without others has no row; repeated edges and both
+    directions of one are one edge; columns other than a and b are left out; a node of very many edges is one key of each
+    round's groupings and joins, streamed by one task where the engine doesn't split it; no edges give no rows.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/edges0")
     held, k = None, 0
