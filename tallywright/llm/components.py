@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+def hung(now: DataFrame) -> DataFrame:
+    """The edges (a > b) of a round's end: larger neighbours hung on the smallest one, then smaller ones.
+
+    Both sides of each join grow with the edges, so none is broadcast, and the plan is the same at every size.
+    """
+    both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    large = both.join(least.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = large.filter("a <> b").groupBy("a").agg(F.min("b").alias("m"))
+    small = large.filter("a <> b").join(least.hint("merge"), "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+    return small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, component): the smallest node that each node of edges (a, b) reaches.
 
@@ -22,13 +35,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     held, k = None, 0
     while True:
         k += 1
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.filter("a <> b").groupBy("a").agg(F.min("b").alias("m"))
-        small = large.filter("a <> b").join(least, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        small = small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        now = written(small, f"{folder}/edges{k}")
+        now = written(hung(now), f"{folder}/edges{k}")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
         if state == held:
             break

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NO_ID, scratch, written
@@ -56,15 +56,19 @@ def blocks(fingerprint: Column) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, WIDTH * i).bitwiseAND(F.lit((1 << WIDTH) - 1)).alias("bits")) for i in range(BLOCKS)))
 
 
+def masks(spark: SparkSession) -> DataFrame:
+    """mask: the 2,517 values of a block with RADIUS // BLOCKS bits at most; as rows, since as literals they would stand in every plan on the driver."""
+    return spark.range(0, 1 << WIDTH, 1, 1).filter(F.bit_count("id") <= RADIUS // BLOCKS).select(F.col("id").alias("mask"))
+
+
 def within_radius(windows: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of windows (with keys and fingerprint) and items (with keys, item and other) whose fingerprints differ in RADIUS bits at most.
 
     A block of an item stands in the index with each value that differs from it in RADIUS // BLOCKS bits at most: 2,517
     values, 15 in 100 of the items of a window's length. Some 10,000 rows an item are never broadcast.
     """
-    near = [x for x in range(1 << WIDTH) if x.bit_count() <= RADIUS // BLOCKS]
     right = items.select(*keys, "item", "other", F.explode(blocks(F.col("other"))).alias("b")).select(*keys, "item", "other", "b.block", "b.bits")
-    right = right.select(*keys, "item", "other", "block", "bits", F.explode(F.lit(near)).alias("mask")).withColumn("bits", F.col("bits").bitwiseXOR(F.col("mask").cast("long"))).drop("mask")
+    right = right.crossJoin(F.broadcast(masks(items.sparkSession))).withColumn("bits", F.col("bits").bitwiseXOR(F.col("mask"))).drop("mask")
     left = windows.select("*", F.explode(blocks(F.col("fingerprint"))).alias("b")).select(*windows.columns, "b.block", "b.bits")
     close = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("other"))) <= RADIUS
     return left.join(right.hint("merge"), [*keys, "block", "bits"]).filter(close).select(*windows.columns, "item").distinct()

@@ -130,3 +130,13 @@ def hash5(words):
     import xxhash
 
     return xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63)
+
+
+def test_the_index_adds_little_to_the_plan(spark):
+    """The driver holds and rewrites plans, so the 2,517 masks of the index are rows of a table, never literals."""
+    left = spark.range(1).select(F.col("id").alias("doc"), F.lit(5).alias("m"), F.col("id").alias("fingerprint"))
+    right = spark.range(1).select(F.col("id").alias("item"), F.lit(5).alias("m"), F.col("id").alias("other"))
+    plans = decontam.within_radius(left, right, ["m"])._jdf.queryExecution()
+    assert max(len(plans.analyzed().toJSON()), len(plans.optimizedPlan().toJSON())) < 150_000
+    masks = {r.mask for r in decontam.masks(spark).collect()}
+    assert masks == {x for x in range(1 << 16) if x.bit_count() <= 4} and len(masks) == 2517

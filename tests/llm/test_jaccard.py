@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 
 from tallywright.llm import jaccard
-from tallywright.llm.components import components
+from tallywright.llm.components import components, hung
 from tallywright.llm.common import scratch
 
 
@@ -168,3 +168,11 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901)], "a long, b long")
     found = {r.node: r.component for r in components(edges, scratch(spark, "chain")).collect()}
     assert found == {i: 0 for i in range(1, 201)} | {901: 900}
+
+
+def test_rounds_of_components_broadcast_nothing(spark, tmp_path):
+    """A broadcast costs the driver some megabytes and threads, and a round has a plan of its own, however few its edges."""
+    spark.createDataFrame([(3, 1), (2, 1), (9, 3)], "a long, b long").write.parquet(f"{tmp_path}/edges")
+    round_ = hung(spark.read.parquet(f"{tmp_path}/edges"))
+    assert {(r.a, r.b) for r in round_.collect()} == {(2, 1), (3, 1), (9, 1)}
+    assert "Broadcast" not in round_._jdf.queryExecution().executedPlan().toString()
