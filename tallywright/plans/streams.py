@@ -12,6 +12,8 @@ from .catalogue import CLAIMS, DONE, MEMBERS, MERGED, Tables, _EVIDENCE, query
 
 #: Files of a replay at least, rows of a file, and batches that a long replay has about.
 FILES, FILE_ROWS, BATCHES = 4, 250_000, 16
+#: Slices of the keys of timed messages for each file of a replay.
+FILE_SLICES = 4
 #: Times of leases in milliseconds: how long a claim may be silent, and may overrun its deadline; life of a staged import.
 SILENT, GRACE, DAY = 20 * 60_000, 30 * 60_000, 24 * 3_600_000
 
@@ -32,13 +34,14 @@ def claims_stream(spark, sf_dir, folder):
 
 
 def timed(spark, messages, folder):
-    """Messages (key, kind, ms, deadline) as a stream in their order of time, behind which time goes on until all timers are due."""
-    stream = streams.in_order(messages, folder, *shape(messages), "ms")
+    """Messages (key, kind, ms, deadline) as a stream in their order of time, behind which time goes on until all timers are due; and how many slices its keys fill."""
+    files, at_once = shape(messages)
+    stream = streams.in_order(messages, folder, files, at_once, "ms")
     last = messages.agg(F.coalesce(F.max("ms"), F.lit(0)).alias("ms"))
     for days in (10, 11):  # two batches: what one tells of the time holds from the next one on
         end = last.select(F.lit(-1).cast("long").alias("key"), F.lit(1).alias("kind"), (F.col("ms") + days * DAY).alias("ms"), F.lit(None).cast("long").alias("deadline"))
         end.write.mode("append").parquet(folder)
-    return stream
+    return stream, files * FILE_SLICES
 
 
 @query(f"SELECT job_id, count(*) FILTER (state = 'completed') AS completed, CAST(coalesce(sum(movegens) FILTER (state = 'completed'), 0) AS BIGINT) AS movegens FROM {CLAIMS} GROUP BY job_id")
@@ -120,8 +123,9 @@ def _lapsed(messages: str, silent: int, grace: int) -> str:
 def stream_lapses(spark, sf_dir):
     """Claims that fall silent or overrun their deadline, while what they report moves the time that they have."""
     folder = streams.scratch(spark, "lapses")
+    stream, slices = timed(spark, leases(Tables(spark, sf_dir)), f"{folder}/in")
     with timers.native_state(spark):
-        streams.drained(timers.lapses(timed(spark, leases(Tables(spark, sf_dir)), f"{folder}/in"), SILENT, GRACE), folder)
+        streams.drained(timers.lapses(stream, SILENT, GRACE, slices=slices), folder)
     return spark.read.parquet(f"{folder}/out").withColumnRenamed("key", "claim_id")
 
 
@@ -134,8 +138,9 @@ def stream_expiry(spark, sf_dir):
     folder, audit = streams.scratch(spark, "expiry"), Tables(spark, sf_dir).audit
     kind = F.when(F.col("audit_id") % 5 == 0, timers.OPENED).when(F.col("audit_id") % 5 == 4, timers.CLOSED).otherwise(timers.SEEN)
     rows = audit.select(F.floor(F.col("audit_id") / 5).alias("key"), kind.alias("kind"), F.unix_millis("created_at").alias("ms"), F.lit(None).cast("long").alias("deadline")).filter("kind < 2 OR key % 3 = 0")
+    stream, slices = timed(spark, rows, f"{folder}/in")
     with timers.native_state(spark):
-        streams.drained(timers.lapses(timed(spark, rows, f"{folder}/in"), DAY), folder)
+        streams.drained(timers.lapses(stream, DAY, slices=slices), folder)
     return spark.read.parquet(f"{folder}/out").select(F.col("key").alias("import_id"), F.col("lapsed_ms").alias("expired_ms"))
 
 
@@ -147,8 +152,9 @@ def stream_updates(spark, sf_dir):
     """What is pushed of each job: its completions so far, once a minute at most."""
     folder, claims = streams.scratch(spark, "updates"), Tables(spark, sf_dir).claims
     done = claims.filter("state = 'completed'").select(F.col("job_id").alias("key"), F.lit(timers.SEEN).alias("kind"), F.unix_millis("completed_at").alias("ms"), F.lit(None).cast("long").alias("deadline"))
+    stream, _ = timed(spark, done, f"{folder}/in")
     with timers.native_state(spark):
-        streams.drained(timers.coalesced(timed(spark, done, f"{folder}/in"), 60_000), folder)
+        streams.drained(timers.coalesced(stream, 60_000), folder)
     return spark.read.parquet(f"{folder}/out").filter("key >= 0").withColumnRenamed("key", "job_id")
 
 

@@ -32,9 +32,11 @@ def in_order(df: DataFrame, folder: str, files: int, at_once: int, column: str)
     A file source takes files by their age, and tasks of one write end in any order; so rows are dealt into ranges once, and
     the ranges of a batch are appended when those of the batch before are there.
     """
-    rows = written(df.repartitionByRange(files, column).withColumn("_range_", F.spark_partition_id()), f"{folder}-ranges")
-    for first in range(0, files, at_once):
-        rows.filter(F.col("_range_").between(first, first + at_once - 1)).drop("_range_").repartition(at_once).write.mode("append").parquet(folder)
+    rows = df.repartitionByRange(files, column).withColumn("_batch_", F.floor(F.spark_partition_id() / at_once).cast("int"))
+    rows.write.partitionBy("_batch_").parquet(f"{folder}-ranges")
+    held = df.sparkSession.read.schema(rows.schema).parquet(f"{folder}-ranges")
+    for batch in range(-(-files // at_once)):  # reads the files of the batch only
+        held.filter(F.col("_batch_") == batch).drop("_batch_").repartition(at_once).write.mode("append").parquet(folder)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", at_once).parquet(folder)
 
 

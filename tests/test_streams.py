@@ -42,6 +42,58 @@ def test_messages_move_deadlines_and_lapses_are_final(spark, tmp_path):
     assert found == [(1, 380, False), (3, 150, True), (4, 219, False), (6, 340, True)]
 
 
+def by_rule(rows, silent, grace):
+    """(key, lapsed_ms, overran) of the keys that lapse, a message after the other."""
+    found = []
+    for key in {r[0] for r in rows}:
+        last = deadline = None
+        for _, kind, ms, new in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1])):
+            due = None if last is None else last + silent if deadline is None else min(last + silent, deadline + grace)
+            if due is not None and (ms > due or kind == timers.CLOSED):
+                if ms > due:
+                    found.append((key, due, deadline is not None and last + silent >= deadline + grace))
+                break
+            if last is not None or kind == timers.OPENED:
+                last, deadline = ms, new if kind == timers.OPENED else deadline
+        else:
+            if last is not None:
+                due = last + silent if deadline is None else min(last + silent, deadline + grace)
+                found.append((key, due, deadline is not None and last + silent >= deadline + grace))
+    return sorted(found)
+
+
+def test_many_keys_lapse_by_few_states(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(key, rng.choice([0, 0, 1, 1, 1, 2]), ms := rng.randrange(6000), rng.choice([None, ms + rng.randrange(300)])) for key in range(2000) for _ in range(rng.randrange(1, 9))]
+    rows += [(2**53 + i, 0, 50 + i, 2**53 + 1) for i in range(4)] + [(i, k, 6000 + 40 * k, None) for i in range(0, 2000, 7) for k in (0, 1, 1, 2)]
+    rows = [(*r[:3], r[3] if r[1] == timers.OPENED else None) for r in rows]
+    edges = [0, 40, 700, 701, 2500, 4100, 5990, 7000]
+    batches = [[r for r in rows if a <= r[2] < b] for a, b in zip(edges, edges[1:], strict=False)] + [[(-1, 1, 9000, None)], [(-1, 1, 9001, None)]]
+    for part in batches:
+        spark.createDataFrame(part, MESSAGE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = timers.lapses(spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), 400, 50)
+    with timers.native_state(spark):
+        query = stream.writeStream.option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).format("parquet").option("path", f"{tmp_path}/out").start()
+        query.awaitTermination()
+    found = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert found == by_rule(rows, 400, 50) and len(found) > 1000
+    # a call of the store for each key would take most of the time
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 64
+
+
+def test_slices_and_batches_grow_with_messages(spark, tmp_path, monkeypatch):
+    from tallywright.plans import streams as plans
+
+    monkeypatch.setattr(plans, "FILE_ROWS", 50)
+    monkeypatch.setattr(plans, "BATCHES", 5)
+    messages = spark.range(1000).select(F.col("id").alias("key"), F.lit(0).alias("kind"), (F.col("id") * 7 % 1000).alias("ms"), F.lit(None).cast("long").alias("deadline"))
+    stream, slices = plans.timed(spark, messages, f"{tmp_path}/in")
+    assert slices >= 20
+    seen = []
+    streams.drained(stream, str(tmp_path), lambda rows, batch: seen.append(sorted(r.ms for r in rows.collect())))
+    assert [x for part in seen for x in part] == [*range(1000), *(999 + d * plans.DAY for d in (10, 11))] and len(seen) >= 5
+
+
 def test_updates_are_put_together(spark, tmp_path):
     batches = [[(1, 1, t, None) for t in (5, 7, 12)] + [(2, 1, 3, None)], [(1, 1, t, None) for t in (18, 31)], [(9, 1, 900, None)], [(9, 1, 901, None)]]
     found = told(spark, str(tmp_path), batches, lambda s: timers.coalesced(s, 10))
