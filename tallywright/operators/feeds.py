@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..scratch import scratch, written
+from ..scratch import scratch, sliced, written
 
 
 def keyset_page(rows: DataFrame, at: str, key: str, before: tuple | None, limit: int) -> DataFrame:
@@ -43,29 +43,21 @@ def rack_samples(records: DataFrame, k: int, seed: int) -> DataFrame:
     return keys.orderBy("draw", "rack").limit(k).select("rack")
 
 
-#: Places that one range of a level spans, and levels; the last level has one range for all that is left.
-SPAN, LEVELS = 1024, 4
-
-
 def next_key(keys: DataFrame, probes: DataFrame) -> DataFrame:
     """Forward as-of join: the first key at or after each probe, else the first key of all.
 
-    Probes and keys meet in ranges of the key. A probe with no key behind it in its range goes on to the next level, where
-    each range stands for one place, held by its least key; so no window spans more than SPAN places' keys.
+    Probes and keys are cut into slices, ranges of both in order. The least key so far, from a slice's end backwards, is what
+    a probe meets; one with no key behind it in its slice takes the least key of the slices that follow.
     """
-    held = keys.select(F.col("rack").alias("at"), F.col("rack").alias("key")).distinct()
-    asked, found = probes.select(F.col("probe").alias("at"), "probe"), None
-    for level in range(LEVELS):
-        place = F.floor(F.col("at") / SPAN) if level < LEVELS - 1 else F.lit(0).cast("long")
-        both = held.select("at", "key", F.lit(None).cast("long").alias("probe")).unionByName(asked.select("at", F.lit(None).cast("long").alias("key"), "probe")).withColumn("range", place)
-        ahead = W.partitionBy("range").orderBy("at").rangeBetween(W.currentRow, W.unboundedFollowing)
-        answered = both.withColumn("rack", F.min("key").over(ahead)).filter("probe is not null")
-        hits = answered.filter("rack is not null").select("probe", "rack")
-        found = hits if found is None else found.unionByName(hits)
-        asked = answered.filter("rack is null").select((F.col("range") + 1).alias("at"), "probe")
-        held = held.groupBy(place.alias("at")).agg(F.min("key").alias("key"))
-    wrapped = asked.select("probe").join(F.broadcast(keys.agg(F.min("rack").alias("rack"))))
-    return found.unionByName(wrapped)
+    held = keys.filter("rack is not null").select(F.col("rack").alias("place"), F.col("rack").alias("key")).distinct()
+    asked = probes.select(F.col("probe").alias("place"), F.lit(None).cast("long").alias("key"))
+    rows = sliced(held.unionByName(asked), scratch(keys.sparkSession, "next-key"), F.col("place").asc_nulls_first(), F.col("key").asc_nulls_first())
+    backwards = W.partitionBy("slice").orderBy(F.desc("at")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    after = W.orderBy(F.desc("slice")).rowsBetween(W.unboundedPreceding, -1)
+    least = rows.groupBy("slice").agg(F.min("key").alias("least"))  # a row a slice
+    later = least.select("slice", F.coalesce(F.min("least").over(after), F.min("least").over(W.partitionBy())).alias("later"))
+    found = rows.withColumn("met", F.min("key").over(backwards)).filter("key is null")
+    return found.join(F.broadcast(later), "slice").select(F.col("place").alias("probe"), F.coalesce("met", "later").alias("rack"))
 
 
 def by_keys(positions: DataFrame, keys: DataFrame) -> DataFrame:

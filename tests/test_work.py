@@ -1,6 +1,9 @@
 """Next work, draws, exports, purges and details, on small tables made for the purpose."""
 
+import bisect
 import json
+import random
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -36,6 +39,29 @@ def test_draws_reach_every_record_alike(spark):
     assert feeds.random_records(records.limit(0), 3, 5).collect() == []
 
 
+def test_next_keys_in_many_slices(spark):
+    rng = random.Random(5)
+    keys = sorted({rng.choice([rng.randrange(-50, 50), rng.randrange(5000), rng.randrange(2**40)]) for _ in range(400)})
+    probes = [rng.choice([rng.randrange(-99, 99), rng.randrange(6000), rng.randrange(2**41), rng.choice(keys), keys[-1] + 1]) for _ in range(2000)]
+    expected = Counter((p, keys[bisect.bisect_left(keys, p) % len(keys)]) for p in probes) + Counter({(None, keys[0]): 1})
+    held = spark.createDataFrame([(k,) for k in [*keys, *keys, None]], "rack long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = feeds.next_key(held, spark.createDataFrame([(p,) for p in [*probes, None]], "probe long")).collect()
+        none = feeds.next_key(held.limit(0), spark.createDataFrame([(1,), (2,)], "probe long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert Counter((r.probe, r.rack) for r in found) == expected
+    assert {(r.probe, r.rack) for r in none} == {(1, None), (2, None)}
+
+
+def test_probes_behind_the_last_key_dont_take_the_square_of_their_number(spark):
+    began = time.time()
+    found = feeds.next_key(spark.range(5, 9).toDF("rack"), spark.range(9, 500_000).toDF("probe"))
+    assert [tuple(r) for r in found.groupBy("rack").count().collect()] == [(5, 499_991)]
+    assert time.time() - began < 60
+
+
 def test_lines_come_one_by_one(spark):
     lines = list(feeds.line_stream(spark.createDataFrame([(1, None), (2, "x")], "a long, b string").coalesce(1)))
     assert [json.loads(x) for x in lines] == [{"a": 1, "b": None}, {"a": 2, "b": "x"}] and all(x.endswith("\n") for x in lines)
