@@ -12,8 +12,8 @@ from .catalogue import CLAIMS, DONE, MEMBERS, MERGED, Tables, _EVIDENCE, query
 
 #: Files of a replay at least, rows of a file, and batches that a long replay has about.
 FILES, FILE_ROWS, BATCHES = 4, 250_000, 16
-#: Slices of the keys of timed messages for each file of a replay.
-FILE_SLICES = 4
+#: Slices of the keys of timed messages for each file of a replay, those of a partition of the state, and such partitions at least.
+FILE_SLICES, TOGETHER, PARTITIONS = 4, 8, 8
 #: Times of leases in milliseconds: how long a claim may be silent, and may overrun its deadline; life of a staged import.
 SILENT, GRACE, DAY = 20 * 60_000, 30 * 60_000, 24 * 3_600_000
 
@@ -124,7 +124,7 @@ def stream_lapses(spark, sf_dir):
     """Claims that fall silent or overrun their deadline, while what they report moves the time that they have."""
     folder = streams.scratch(spark, "lapses")
     stream, slices = timed(spark, leases(Tables(spark, sf_dir)), f"{folder}/in")
-    with timers.native_state(spark):
+    with timers.native_state(spark, max(PARTITIONS, slices // TOGETHER)):
         streams.drained(timers.lapses(stream, SILENT, GRACE, slices=slices), folder)
     return spark.read.parquet(f"{folder}/out").withColumnRenamed("key", "claim_id")
 
@@ -139,7 +139,7 @@ def stream_expiry(spark, sf_dir):
     kind = F.when(F.col("audit_id") % 5 == 0, timers.OPENED).when(F.col("audit_id") % 5 == 4, timers.CLOSED).otherwise(timers.SEEN)
     rows = audit.select(F.floor(F.col("audit_id") / 5).alias("key"), kind.alias("kind"), F.unix_millis("created_at").alias("ms"), F.lit(None).cast("long").alias("deadline")).filter("kind < 2 OR key % 3 = 0")
     stream, slices = timed(spark, rows, f"{folder}/in")
-    with timers.native_state(spark):
+    with timers.native_state(spark, max(PARTITIONS, slices // TOGETHER)):
         streams.drained(timers.lapses(stream, DAY, slices=slices), folder)
     return spark.read.parquet(f"{folder}/out").select(F.col("key").alias("import_id"), F.col("lapsed_ms").alias("expired_ms"))
 

@@ -22,20 +22,27 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OPENED, SEEN, CLOSED = 0, 1, 2
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SHUFFLE = "spark.sql.shuffle.partitions"
 KEPT_MS = 24 * 3_600_000
 #: No deadline, or no end, in a packed state; slices of the keys of a stream that doesn't say how many.
 NONE, SLICES = -(1 << 63), 64
 
 
 @contextmanager
-def native_state(spark: SparkSession):
-    """The session's state store is RocksDB inside."""
-    held = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+def native_state(spark: SparkSession, partitions: int | None = None):
+    """The session's state store is RocksDB inside; partitions: how many a stream needs, where the session has more.
+
+    Partitions of a state aren't coalesced as those of other shuffles are, and each commits files with every batch.
+    """
+    new = {PROVIDER: ROCKSDB} | ({SHUFFLE: str(min(partitions, int(spark.conf.get(SHUFFLE))))} if partitions else {})
+    held = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, held) if held else spark.conf.unset(PROVIDER)
+        for k, v in held.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
 class Deadlines:

@@ -107,6 +107,15 @@ def test_the_store_of_states_is_put_back(spark):
     assert spark.conf.get(timers.PROVIDER) == held
 
 
+def test_states_lie_in_no_more_partitions_than_slices_need(spark):
+    held = spark.conf.get(timers.SHUFFLE)
+    with timers.native_state(spark, 2):
+        assert spark.conf.get(timers.SHUFFLE) == "2"
+    with timers.native_state(spark, 1000):
+        assert spark.conf.get(timers.SHUFFLE) == held
+    assert spark.conf.get(timers.SHUFFLE) == held
+
+
 def test_merge_is_the_same_when_a_batch_runs_again(spark, tmp_path):
     first = spark.createDataFrame([(1, 10, 0, 0)], "generation long, rack long, n long, equity_cents long")
     staged = spark.createDataFrame([(1, 5, [10, 11], [2, 9], [200, 900])], "generation long, submission long, rack array<long>, n array<long>, equity_cents array<long>")
